@@ -18,19 +18,15 @@ WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x0b\p{Z}\x1c-\x1f\x85"
 
 # One-word contractions that the Penn Treebank convention splits in two.
-CONTRACTIONS = {
-    "cannot": "can not",
-    "gimme": "gim me",
-    "gonna": "gon na",
-    "gotta": "got ta",
-    "lemme": "lem me",
-    "wanna": "wan na",
-}
+CONTRACTIONS = (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na"))
 
 
 def collapse_whitespace(text: Column) -> Column:
-    """Every run of white space becomes one space; the ends are not trimmed."""
-    return F.regexp_replace(text, f"[{SPACE}]+", " ")
+    """Every run of white space becomes one space; the ends are not trimmed.
+
+    A lone space is left alone, so that ordinary text is hardly rewritten at all.
+    """
+    return F.regexp_replace(text, f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " ")
 
 
 def remove_links(text: Column) -> Column:
@@ -53,9 +49,11 @@ def remove_single_characters(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Lower case, no links, single spaces, no digits, no punctuation, in this order.
 
-    Spaces that stood around a removed number stay, so two in a row can occur.
+    Spaces that stood around a removed number stay, so two in a row can occur. Digits and
+    punctuation go in one pass, which equals one pass for each.
     """
-    return remove_punctuation(remove_digits(collapse_whitespace(remove_links(F.lower(text)))))
+    spaced = collapse_whitespace(remove_links(F.lower(text)))
+    return F.regexp_replace(spaced, rf"[^\p{{L}}\p{{Nl}}\p{{No}}_{SPACE}]+", "")
 
 
 def clean_author(author: Column) -> Column:
@@ -90,12 +88,15 @@ def join_title(title: Column, abstract: Column) -> Column:
     return F.concat(title, F.lit(". "), abstract)
 
 
+def _pieces(text: Column) -> Column:
+    first_parts = "|".join(f"{first}(?={rest}(?![{WORD}]))" for first, rest in CONTRACTIONS)
+    spaced = F.regexp_replace(text, f"(?<![{WORD}])({first_parts})", "$1 ")
+    return F.split(spaced, f"[{SPACE}]+")
+
+
 def tokenize(text: Column) -> Column:
     """Split cleaned text into tokens, contractions in their two parts."""
-    spaced = text
-    for word, parts in CONTRACTIONS.items():
-        spaced = F.regexp_replace(spaced, f"(?<![{WORD}]){word}(?![{WORD}])", parts)
-    return F.filter(F.split(spaced, f"[{SPACE}]+"), lambda token: token != "")
+    return F.filter(_pieces(text), lambda token: token != "")
 
 
 def remove_stopwords(tokens: Column, words: Sequence[str] = stopwords.ENGLISH) -> Column:
@@ -105,7 +106,7 @@ def remove_stopwords(tokens: Column, words: Sequence[str] = stopwords.ENGLISH) -
 
 def clean_tokens(text: Column) -> Column:
     """Cleaned text as a token list without stop words."""
-    return remove_stopwords(tokenize(clean_text(text)))
+    return remove_stopwords(_pieces(clean_text(text)), [*stopwords.ENGLISH, ""])
 
 
 def parse_token_list(printed: Column) -> Column:
@@ -115,14 +116,16 @@ def parse_token_list(printed: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams of a token list, joined by one space; none when the list is shorter."""
-    last = F.size(tokens) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    grams = F.slice(tokens, 1, count)
+    for place in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(tokens, place, count), lambda left, right: F.concat(left, F.lit(" "), right))
+    return grams
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """All overlapping runs of n characters, found by an n-wide look-ahead at every position."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+    """All overlapping runs of n characters: look n ahead, then step over one character."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))."), F.lit(1))
 
 
 def spans(tokens: Column, window: int = 128, stride: int = 96) -> Column:

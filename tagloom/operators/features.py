@@ -7,17 +7,26 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, NGram, OneHotEncoder, StringIndexer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import ngrams, spans
 from tagloom.operators.rows import dense_index
 
 
+def each(df: DataFrame, items: Column, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per array item.
+
+    A plain explode makes Catalyst test the array for emptiness first, which computes a long text
+    expression twice; the outer form computes it once, and its null row for an empty array goes here.
+    """
+    return df.select(*keys, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def vocabulary(df: DataFrame, tokens: str = "tokens", min_count: int = 3) -> DataFrame:
     """``(token, n)`` for the tokens seen at least ``min_count`` times."""
     return (
-        df.select(F.explode(tokens).alias("token"))
+        each(df, F.col(tokens), "token")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= min_count)
@@ -27,7 +36,7 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", min_count: int = 3) -> Dat
 def ngram_counts(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[str] = ()) -> DataFrame:
     """n-gram frequencies over the corpus, or per document when keys are given."""
     return (
-        df.select(*keys, F.explode(ngrams(F.col(tokens), n)).alias("ngram"))
+        each(df, ngrams(F.col(tokens), n), "ngram", keys)
         .groupBy(*keys, "ngram")
         .agg(F.count("*").alias("n"))
     )
@@ -37,7 +46,8 @@ def span_chunks(
     df: DataFrame, tokens: str = "tokens", window: int = 128, stride: int = 96, keys: Sequence[str] = ("row_id",)
 ) -> DataFrame:
     """One row per overlapping token span: ``(keys, span, start, tokens)``."""
-    chunked = df.select(*keys, F.posexplode(spans(F.col(tokens), window, stride)).alias("span", "_chunk"))
+    # an empty token list still has one, empty, span
+    chunked = df.select(*keys, F.posexplode_outer(spans(F.col(tokens), window, stride)).alias("span", "_chunk"))
     return chunked.select(*keys, "span", "_chunk.start", "_chunk.tokens")
 
 
@@ -76,9 +86,14 @@ def category_encoder(columns: Sequence[str], handle_invalid: str = "error") -> P
 
 
 def encode_categories(
-    df: DataFrame, columns: Sequence[str], model: PipelineModel | None = None
+    df: DataFrame, columns: Sequence[str], model: PipelineModel | None = None, na_rep: str | None = None
 ) -> tuple[DataFrame, PipelineModel]:
-    """Replace category columns by their one-hot vectors ``<column>_encoded``."""
+    """Replace category columns by their one-hot vectors ``<column>_encoded``.
+
+    With ``na_rep`` missing and empty values are one category of that name; without it they raise.
+    """
+    if na_rep is not None:
+        df = df.withColumns({name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(na_rep)) for name in columns})
     model = model or category_encoder(columns).fit(df)
     drop = [*columns, *[f"{name}_indexed" for name in columns]]
     return model.transform(df).drop(*drop), model

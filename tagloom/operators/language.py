@@ -2,44 +2,49 @@
 
 A profile holds how often each character n-gram occurs in each language of a labelled table. A text
 is scored per language by the sum, over its n-grams, of ``log((count + 1) / (total + grams))``;
-n-grams the profile has never seen say nothing and are skipped. The best language wins, ties to the
-first by name.
+n-grams the profile has never seen say nothing. The best language wins, ties to the first by name.
+
+The profile is built by one aggregation. Scoring a text needs nothing but the profile, so a profile
+of checked size goes to every task and each text is scored where it lies: no text is shuffled. A
+larger profile is joined to the n-grams instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import char_ngrams, collapse_whitespace
-from tagloom.session import pin_small
+from tagloom.operators.features import each
+
+POINT_BITS = 21  # a Unicode code point fits, and three of them fit a 64-bit integer
 
 
-def _grams(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
-    grams = char_ngrams(collapse_whitespace(F.lower(F.col(text))), n)
-    return df.select(*keep, F.explode(grams).alias("gram"))
+def _squeezed(text: str) -> Column:
+    return collapse_whitespace(F.lower(F.col(text)))
 
 
 def language_profile(df: DataFrame, text: str = "text", lang: str = "lang", n: int = 3) -> DataFrame:
     """``(lang, gram, n)`` counts of a labelled table, summed inside each task before the shuffle."""
-    return _grams(df, text, n, F.col(lang).alias("lang")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    grams = each(df.withColumnRenamed(lang, "lang"), char_ngrams(_squeezed(text), n), "gram", ["lang"])
+    return grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
 
 def profile_weights(profile: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """One row per n-gram with its log probability in every language, smoothed by one."""
-    wide = profile.groupBy("gram").agg(
-        *[F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"_n{i}") for i, name in enumerate(languages)]
-    )
-    totals = wide.agg(F.count("*"), *[F.sum(f"_n{i}") for i in range(len(languages))]).first()
-    grams, sums = totals[0], totals[1:]
-    return wide.select(
-        "gram",
-        *[
-            F.log((F.col(f"_n{i}") + 1) / F.lit(float((sums[i] or 0) + grams))).alias(f"_w{i}")
-            for i in range(len(languages))
-        ],
+    """``(gram, w0, w1, ...)``: log probabilities in each language, smoothed by one."""
+    places = range(len(languages))
+    counts = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)) for name in languages]
+    wide = profile.filter(F.col("lang").isin(*languages)).groupBy("gram")
+    wide = wide.agg(*[counts[i].alias(f"n{i}") for i in places])
+    totals = wide.agg(F.count("*").alias("grams"), *[F.sum(f"n{i}").alias(f"total{i}") for i in places])
+    # the totals are one row
+    return wide.join(F.broadcast(totals)).select(
+        "gram", *[F.log((F.col(f"n{i}") + 1) / (F.col(f"total{i}") + F.col("grams"))).alias(f"w{i}") for i in places]
     )
 
 
@@ -49,25 +54,28 @@ def detect_language(
     languages: Sequence[str],
     text: str = "text",
     key: str = "doc_id",
+    out: str = "detected",
     n: int = 3,
-    max_grams: int = 2_000_000,
+    max_grams: int = 1_000_000,
 ) -> DataFrame:
-    """``(key, detected)`` for every text with at least one known n-gram.
+    """Add the language of each text; null where the text has no known n-gram.
 
-    The weights are broadcast while the profile has at most ``max_grams`` n-grams, so n-grams never
-    leave their task: what is shuffled is one partial sum per text and task.
+    With more than ``max_grams`` n-grams in the profile, texts are scored by a join on the n-gram,
+    and ``key`` brings the scores back to the rows.
     """
     languages = sorted(languages)
-    weights = pin_small(profile_weights(profile, languages), max_grams)
-    sums = (
-        _grams(df, text, n, key)
-        .join(weights, "gram")
-        .groupBy(key)
-        .agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(languages))])
-    )
-    best = F.greatest(*[F.col(f"_s{i}") for i in range(len(languages))]) if len(languages) > 1 else F.col("_s0")
-    detected = F.coalesce(*[F.when(F.col(f"_s{i}") == best, F.lit(name)) for i, name in enumerate(languages)])
-    return sums.select(key, detected.alias("detected"))
+    weights = profile_weights(profile, languages)
+    if n * POINT_BITS < 64:
+        small = weights.limit(max_grams + 1).toArrow()
+        if small.num_rows <= max_grams:
+            score = _scorer(df, small.to_pandas(), languages, n)
+            return df.withColumn(out, score(_squeezed(text)))
+    places = range(len(languages))
+    grams = each(df, char_ngrams(_squeezed(text), n), "gram", [key])
+    scores = grams.join(weights, "gram").groupBy(key).agg(F.array(*[F.sum(f"w{i}") for i in places]).alias("_scores"))
+    best = F.array_position("_scores", F.array_max("_scores")).cast("int")
+    names = F.array(*[F.lit(name) for name in languages])
+    return df.join(scores.select(key, F.element_at(names, best).alias(out)), key, "left")
 
 
 def keep_language(
@@ -78,11 +86,43 @@ def keep_language(
     text: str = "text",
     key: str = "doc_id",
 ) -> DataFrame:
-    """The rows whose text is in one language; the helper columns do not stay."""
-    found = detect_language(df, profile, languages, text, key).filter(F.col("detected") == language)
-    return df.join(found.select(key), key, "left_semi")
+    """The rows whose text is in one language; the helper column does not stay."""
+    found = detect_language(df, profile, languages, text, key, out="_detected")
+    return found.filter(F.col("_detected") == language).drop("_detected")
 
 
 def keep_language_column(df: DataFrame, language: str = "en", lang: str = "lang") -> DataFrame:
     """The same where a trusted language column exists; the column does not stay."""
     return df.filter(F.col(lang) == language).drop(lang)
+
+
+def _packed(text: str, n: int) -> np.ndarray:
+    """Every n-gram of a text as one integer."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    length = max(len(points) - n + 1, 0)
+    packed = np.zeros(length, dtype=np.int64)
+    for place in range(n):
+        packed = (packed << POINT_BITS) | points[place : place + length]
+    return packed
+
+
+def _scorer(df: DataFrame, weights: pd.DataFrame, languages: Sequence[str], n: int):
+    """A vectorised function ``text -> language`` over a profile that every task holds."""
+    grams = _packed("".join(weights["gram"]), n)[::n]
+    order = np.argsort(grams)
+    table = weights.drop(columns="gram").to_numpy()[order]
+    profile: Broadcast = df.sparkSession.sparkContext.broadcast((grams[order], table))
+
+    @F.pandas_udf("string")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, weight = profile.value
+        for texts in batches:
+            yield texts.map(lambda text: None if text is None else best(text, known, weight))
+
+    def best(text: str, known: np.ndarray, weight: np.ndarray) -> str | None:
+        grams = _packed(text, n)
+        at = np.searchsorted(known, grams)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == grams)]
+        return languages[int(weight[at].sum(axis=0).argmax())] if len(at) else None
+
+    return score

@@ -168,9 +168,7 @@ def report_text(report: DataFrame, digits: int = 4) -> DataFrame:
     return report.withColumn("text", text)
 
 
-def category_scores(
-    df: DataFrame, labels: Labels, buckets: int = 1024, probabilities: str = "probs"
-) -> DataFrame:
+def category_scores(df: DataFrame, labels: Labels, probabilities: str = "probs") -> DataFrame:
     """Scores of label probabilities: per-label, micro and macro P, R and F1, and ROC AUC.
 
     The predicted label is the first maximum. The macro AUC counts labels without an AUC as 0.
@@ -178,7 +176,7 @@ def category_scores(
     best = argmax_array(F.col(probabilities), labels)
     pairs = df.select("label", best["prediction"].alias("prediction"))
     counts = _class_counts(pairs, labels, ())
-    auc = label_auc(df, labels, buckets, probabilities)
+    auc = label_auc(df, labels, probabilities)
     scored = _with_scores(counts).join(auc.select(F.col("label").alias("class"), "auc"), "class")
     per_label = scored.select(F.col("class").cast("string").alias("label"), *SCORES, "auc")
     micro = _with_scores(counts.agg(*[F.sum(name).alias(name) for name in ("tp", "predicted", "support")]))
@@ -193,7 +191,7 @@ def category_scores(
 
 
 def label_auc(
-    df: DataFrame, labels: Labels, buckets: int = 1024, probabilities: str = "probs"
+    df: DataFrame, labels: Labels, probabilities: str = "probs", rows_per_bucket: int = 1_000_000
 ) -> DataFrame:
     """One-vs-rest area under the ROC curve per label; null when a label has only one side.
 
@@ -210,11 +208,14 @@ def label_auc(
     merged = scored.groupBy(F.col("_label").alias("label"), "score").agg(
         F.count_if(is_hit).alias("pos"), F.count_if(~is_hit).alias("neg")
     )
-    cuts = df.select(F.explode(probabilities).alias("score")).approxQuantile(
-        "score", [i / buckets for i in range(1, buckets)], 0.5 / buckets
-    )
-    bounds = [-math.inf, *sorted({0.0, *cuts}), math.inf]
-    bucketed = Bucketizer(splits=bounds, inputCol="score", outputCol="_bucket").transform(merged)
+    buckets = min(10_000, 1 + df.count() // rows_per_bucket)
+    if buckets > 1:
+        scores = df.select(F.explode(probabilities).alias("score"))
+        cuts = scores.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
+        bounds = [-math.inf, *sorted({0.0, *cuts}), math.inf]
+        bucketed = Bucketizer(splits=bounds, inputCol="score", outputCol="_bucket").transform(merged)
+    else:
+        bucketed = merged.withColumn("_bucket", F.lit(0.0))
     inside = Window.partitionBy("label", "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
     # twice the ordered pairs, so that ties stay whole numbers

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.session import pin_small
+from tagloom.session import collect_small, pin_small
 
 PREFIX = 4  # hex digits of the hash that form a counting bucket: 65,536 buckets per class
 
@@ -44,35 +44,30 @@ def class_cuts(
     df: DataFrame, by: str, test_size: float, key: str, seed: int, rare_rules: bool = False
 ) -> DataFrame:
     """Per class: its size, train quota, first key, and the (hash, key) of its last train row."""
-    rows = df.select(F.col(by).alias("_class"), key, row_hash(key, seed).alias("_hash"))
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, PREFIX))
-    buckets = rows.groupBy("_class", "_bucket").agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
-    sizes = buckets.groupBy("_class").agg(F.sum("_n").alias("n"), F.min("_first").alias("first_key"))
+    sizes = df.groupBy(F.col(by).alias("_class")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+    local = collect_small(sizes)
+    # every table below has one row per class, so the check of the sizes holds for them too
+    side = F.broadcast if local is not None else (lambda table: table)
+    sizes = sizes if local is None else local
     quotas = class_quotas(sizes.filter("n > 1") if rare_rules else sizes, "_class", test_size)
     if rare_rules:
-        quotas = quotas.unionByName(sizes.filter("n = 1").select("_class", "n", "first_key", F.col("n").alias("quota")))
-
-    through = F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket"))
-    reached = buckets.withColumn("_through", through).withColumnRenamed("_class", "_bucket_class")
-    holds_cut = (F.col("quota") > F.col("_through") - F.col("_n")) & (F.col("quota") <= F.col("_through"))
-    edges = quotas.join(reached, F.col("_class").eqNullSafe(F.col("_bucket_class")) & holds_cut, "left")
-    edges = pin_small(
-        edges.select(
-            F.col("_class").alias("_edge_class"),
-            F.col("_bucket").alias("_edge"),
-            (F.col("quota") - F.col("_through") + F.col("_n")).alias("_need"),
-            "n",
-            "quota",
-            "first_key",
-        )
-    )
+        quotas = quotas.unionByName(sizes.filter("n = 1").withColumn("quota", F.col("n")))
 
-    same = F.col("_class").eqNullSafe(F.col("_edge_class"))
-    near = rows.join(edges, same & (F.col("_bucket") == F.col("_edge")))
-    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_hash", key))
+    rows = df.select(F.col(by).alias("_row_class"), key, row_hash(key, seed).alias("_hash"))
+    rows = rows.withColumn("_bucket", F.substring("_hash", 1, PREFIX))
+    same = F.col("_class").eqNullSafe(F.col("_row_class"))
+    running = Window.partitionBy("_row_class").orderBy("_bucket")
+    reached = (
+        rows.groupBy("_row_class", "_bucket").agg(F.count("*").alias("_n")).withColumn("_through", F.sum("_n").over(running))
+    )
+    needed = F.col("quota") - F.col("_through") + F.col("_n")
+    edges = reached.join(side(quotas), same).filter((needed > 0) & (F.col("quota") <= F.col("_through")))
+    edges = edges.select("_class", F.col("_bucket").alias("_edge"), needed.alias("_need"))
+    near = rows.join(side(edges), same & (F.col("_bucket") == F.col("_edge")))
+    rank = F.row_number().over(Window.partitionBy("_row_class").orderBy("_hash", key))
     last = near.withColumn("_rank", rank).filter("_rank = _need")
-    last = last.select("_class", F.col("_hash").alias("cut_hash"), F.col(key).alias("cut_key"))
-    return edges.join(last, same, "left").select("_edge_class", "n", "quota", "first_key", "cut_hash", "cut_key")
+    last = last.select("_row_class", F.col("_hash").alias("cut_hash"), F.col(key).alias("cut_key"))
+    return quotas.join(last, same, "left").drop("_row_class")
 
 
 def _flag_after_cut(
@@ -86,7 +81,7 @@ def _flag_after_cut(
             .when(F.col("quota") == F.col("n"), F.col(key) == F.col("first_key"))
             .otherwise(held_out)
         )
-    joined = df.join(pin_small(cuts), F.col(by).eqNullSafe(F.col("_edge_class")), "left")
+    joined = df.join(pin_small(cuts), F.col(by).eqNullSafe(F.col("_class")), "left")
     return joined.withColumn(flag, held_out).drop(*cuts.columns)
 
 

@@ -66,7 +66,7 @@ def _clean(text: str) -> str:
     return _no_punctuation(_no_digits(_collapse(_no_links(f"lower({text})"))))
 
 
-_PAIRS = ", ".join(f"'{word}': ['{parts.split()[0]}', '{parts.split()[1]}']" for word, parts in CONTRACTIONS.items())
+_PAIRS = ", ".join(f"'{first}{rest}': ['{first}', '{rest}']" for first, rest in CONTRACTIONS)
 _STOP = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH)
 
 TOKENS = f"""pieces AS (

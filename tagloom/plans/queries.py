@@ -318,24 +318,25 @@ def one_hot_index(spark, folder):
 LANGUAGES = ("de", "en", "es", "fr")
 
 
-def _profile(spark: SparkSession, folder: str) -> DataFrame:
-    return language.language_profile(spread(tables.documents(spark, folder).select("doc_id", "text", "lang"), "doc_id"))
+def _texts_with_language(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(tables.documents(spark, folder), "doc_id")
 
 
 @query
 def lang_profile(spark, folder):
-    return _profile(spark, folder)
+    return language.language_profile(_texts_with_language(spark, folder))
 
 
 @query
 def lang_detect(spark, folder):
-    return language.detect_language(_texts(spark, folder), _profile(spark, folder), LANGUAGES)
+    docs = _texts_with_language(spark, folder)
+    return language.detect_language(docs, language.language_profile(docs), LANGUAGES).select("doc_id", "detected")
 
 
 @query
 def lang_filter_detected(spark, folder):
-    docs = spread(tables.documents(spark, folder), "doc_id")
-    kept = language.keep_language(docs, _profile(spark, folder), LANGUAGES, "en")
+    docs = _texts_with_language(spark, folder)
+    kept = language.keep_language(docs, language.language_profile(docs), LANGUAGES, "en")
     return kept.select("doc_id", "lang", "source")
 
 

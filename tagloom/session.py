@@ -31,16 +31,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def collect_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
+    """Evaluate a derived table once into a local relation; None if it has more than ``max_rows`` rows."""
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
 def pin_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Evaluate a derived side table once and mark it for broadcast if it is proven small.
 
     At most ``max_rows + 1`` rows reach the driver. A larger table is returned as it came, so the
     join that uses it is planned as a shuffle join.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    local = collect_small(df, max_rows)
+    return df if local is None else F.broadcast(local)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -84,18 +84,14 @@ def preds(spark: SparkSession, folder: str, seeds: tuple[int, ...] = (0,)) -> Da
 
 def probs(spark: SparkSession, folder: str) -> DataFrame:
     """Ten label probabilities per item as an array, with the true label."""
-    first = F.transform(F.slice("embedding", 1, 10), lambda value: value.cast("double"))
-    low = F.array_min("raw")
-    lifted = F.transform("raw", lambda value: value - low + 0.1)
+    raw = F.slice("embedding", 1, 10).cast("array<double>")
+    # a lambda would compute an outer value once per item, so the outer value is zipped in
+    lifted = F.zip_with("raw", F.array_repeat(F.array_min("raw"), 10), lambda value, low: value - low + 0.1)
     total = F.aggregate("lifted", F.lit(0.0), lambda acc, value: acc + value)
+    shares = F.zip_with("lifted", F.array_repeat(total, 10), lambda value, whole: F.round(value / whole, 6))
     return (
         table(spark, folder, "embeddings")
-        .select("vec_id", (F.col("label") + 1).alias("label"), first.alias("raw"))
+        .select("vec_id", (F.col("label") + 1).alias("label"), raw.alias("raw"))
         .withColumn("lifted", lifted)
-        .withColumn("total", total)
-        .select(
-            "vec_id",
-            "label",
-            F.transform("lifted", lambda value: F.round(value / F.col("total"), 6)).alias("probs"),
-        )
+        .select("vec_id", "label", shares.alias("probs"))
     )
