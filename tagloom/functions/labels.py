@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,12 @@ def argmax_map(probabilities: Column) -> Column:
     )
     best = F.array_max(ranked)
     return F.struct(best["prediction"].alias("prediction"), best["probability"].alias("probability"))
+
+
+def predictions_table(
+    docs: DataFrame, probabilities: DataFrame, labels: Sequence[int], key: str = "row_id", label: str = "sdg"
+) -> DataFrame:
+    """Documents with their best label and its probability, matched by key."""
+    best = argmax_array(F.col("probs"), labels)
+    found = probabilities.select(key, best.alias("_best"))
+    return docs.withColumnRenamed(label, "label").join(found, key).select("*", "_best.*").drop("_best")

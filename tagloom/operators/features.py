@@ -111,12 +111,13 @@ def fit_embedding(
 ) -> Word2VecModel:
     """Fit word vectors; a document's vector is the mean over its words.
 
-    Training runs over ``partitions`` tasks, one per core unless given. The vectors depend on how
-    rows are dealt to tasks, so rows are placed by key and sorted: the same corpus gives the same
-    vectors whatever its files look like.
+    Training runs over ``partitions`` tasks, one per core unless given. Spark's tasks then train on
+    shared arrays, so two fits differ a little. One task, fed in key order, always gives the same
+    vectors whatever the files look like; that is for corpora that a single task can train on.
     """
     partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    placed = df.select(key, tokens).repartition(partitions, key).sortWithinPartitions(key)
+    rows = df.select(key, tokens)
+    placed = rows.repartition(1).sortWithinPartitions(key) if partitions == 1 else rows
     word2vec = Word2Vec(
         vectorSize=vector_size, minCount=min_count, numPartitions=partitions, inputCol=tokens, outputCol=out, seed=seed
     )

@@ -35,17 +35,11 @@ def language_profile(df: DataFrame, text: str = "text", lang: str = "lang", n: i
     return grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
 
-def profile_weights(profile: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """``(gram, w0, w1, ...)``: log probabilities in each language, smoothed by one."""
-    places = range(len(languages))
+def gram_counts(profile: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """``(gram, n0, n1, ...)``: one row per n-gram with its count in each language."""
     counts = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)) for name in languages]
     wide = profile.filter(F.col("lang").isin(*languages)).groupBy("gram")
-    wide = wide.agg(*[counts[i].alias(f"n{i}") for i in places])
-    totals = wide.agg(F.count("*").alias("grams"), *[F.sum(f"n{i}").alias(f"total{i}") for i in places])
-    # the totals are one row
-    return wide.join(F.broadcast(totals)).select(
-        "gram", *[F.log((F.col(f"n{i}") + 1) / (F.col(f"total{i}") + F.col("grams"))).alias(f"w{i}") for i in places]
-    )
+    return wide.agg(*[count.alias(f"n{i}") for i, count in enumerate(counts)])
 
 
 def detect_language(
@@ -64,18 +58,28 @@ def detect_language(
     and ``key`` brings the scores back to the rows.
     """
     languages = sorted(languages)
-    weights = profile_weights(profile, languages)
+    counts = gram_counts(profile, languages)
     if n * POINT_BITS < 64:
-        small = weights.limit(max_grams + 1).toArrow()
+        small = counts.limit(max_grams + 1).toArrow()
         if small.num_rows <= max_grams:
             score = _scorer(df, small.to_pandas(), languages, n)
             return df.withColumn(out, score(_squeezed(text)))
+    return df.join(_detect_by_join(df, counts, languages, text, key, out, n), key, "left")
+
+
+def _detect_by_join(
+    df: DataFrame, counts: DataFrame, languages: Sequence[str], text: str, key: str, out: str, n: int
+) -> DataFrame:
+    """``(key, out)``: every n-gram meets its counts by a join, and scores are summed per text."""
     places = range(len(languages))
+    total = counts.agg(F.count("*").alias("grams"), *[F.sum(f"n{i}").alias(f"n{i}") for i in places]).first()
+    below = [float(total["grams"] + (total[f"n{i}"] or 0)) for i in places]
+    weights = counts.select("gram", *[F.log((F.col(f"n{i}") + 1) / below[i]).alias(f"w{i}") for i in places])
     grams = each(df, char_ngrams(_squeezed(text), n), "gram", [key])
     scores = grams.join(weights, "gram").groupBy(key).agg(F.array(*[F.sum(f"w{i}") for i in places]).alias("_scores"))
     best = F.array_position("_scores", F.array_max("_scores")).cast("int")
     names = F.array(*[F.lit(name) for name in languages])
-    return df.join(scores.select(key, F.element_at(names, best).alias(out)), key, "left")
+    return scores.select(key, F.element_at(names, best).alias(out))
 
 
 def keep_language(
@@ -106,12 +110,13 @@ def _packed(text: str, n: int) -> np.ndarray:
     return packed
 
 
-def _scorer(df: DataFrame, weights: pd.DataFrame, languages: Sequence[str], n: int):
+def _scorer(df: DataFrame, counts: pd.DataFrame, languages: Sequence[str], n: int):
     """A vectorised function ``text -> language`` over a profile that every task holds."""
-    grams = _packed("".join(weights["gram"]), n)[::n]
+    grams = _packed("".join(counts["gram"]), n)[::n]
     order = np.argsort(grams)
-    table = weights.drop(columns="gram").to_numpy()[order]
-    profile: Broadcast = df.sparkSession.sparkContext.broadcast((grams[order], table))
+    seen = counts.drop(columns="gram").to_numpy(dtype=np.float64)[order]
+    weights = np.log((seen + 1) / (seen.sum(axis=0) + len(seen)))
+    profile: Broadcast = df.sparkSession.sparkContext.broadcast((grams[order], weights))
 
     @F.pandas_udf("string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -122,7 +127,8 @@ def _scorer(df: DataFrame, weights: pd.DataFrame, languages: Sequence[str], n: i
     def best(text: str, known: np.ndarray, weight: np.ndarray) -> str | None:
         grams = _packed(text, n)
         at = np.searchsorted(known, grams)
-        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == grams)]
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == grams)] if len(known) else at[:0]
         return languages[int(weight[at].sum(axis=0).argmax())] if len(at) else None
 
-    return score
+    # keeps Catalyst from scoring a text again for each use of the column, or below a shuffle
+    return score.asNondeterministic()

@@ -289,6 +289,12 @@ SELECT vec_id, CAST(list_position(probs, list_max(probs)) AS VARCHAR) AS predict
        list_max(probs) AS probability FROM probs"""
 
 
+ORACLES["predictions_table"] = f"""WITH {DOCS}, {PROBS}
+SELECT row_id, abstract, sdg AS label, CAST(list_position(probs, list_max(probs)) AS INTEGER) AS prediction,
+       list_max(probs) AS probability
+FROM docs JOIN probs ON vec_id = row_id"""
+
+
 def _confusion(preds: str, labels: str, keys: str = "") -> str:
     key_list = f"{keys}, " if keys else ""
     from_keys = f"(SELECT DISTINCT {keys} FROM preds), " if keys else ""

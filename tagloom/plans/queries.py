@@ -362,6 +362,13 @@ def argmax_label_map(spark, folder):
     return tables.probs(spark, folder).select("vec_id", best["prediction"].alias("prediction"), best["probability"].alias("probability"))
 
 
+@query
+def predictions_table(spark, folder):
+    docs = tables.docs(spark, folder).select("row_id", "abstract", "sdg")
+    probs = tables.probs(spark, folder).select(F.col("vec_id").alias("row_id"), "probs")
+    return lab.predictions_table(docs, probs, PROB_LABELS)
+
+
 # --- metrics -----------------------------------------------------------------------------------
 
 

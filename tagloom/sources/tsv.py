@@ -61,10 +61,15 @@ def write_tsv(
     header: bool = True,
     rows_per_file: int = 1_000_000,
     mode: str = "overwrite",
+    sort_by: str | None = None,
 ) -> None:
-    """Write a TSV table; nulls become ``na_rep``. Files are kept small, so readers stay parallel."""
+    """Write a TSV table; nulls become ``na_rep``. Files are kept small, so readers stay parallel.
+
+    With ``sort_by`` the rows are in key order across the files, too.
+    """
+    ordered = df.orderBy(sort_by) if sort_by else df
     (
-        df.write.mode(mode)
+        ordered.write.mode(mode)
         .option("sep", "\t")
         .option("header", header)
         .option("nullValue", na_rep)
