@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, NGram, OneHotEncoder, StringIndexer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import ngrams, spans
 from tagloom.operators.rows import dense_index
+from tagloom.session import pin_small
 
 
 def each(df: DataFrame, items: Column, name: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +35,7 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", min_count: int = 3) -> Dat
 
 
 def ngram_counts(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[str] = ()) -> DataFrame:
-    """n-gram frequencies over the corpus, or per document when keys are given."""
+    """n-gram frequencies over the corpus, or per group when keys are given."""
     return (
         each(df, ngrams(F.col(tokens), n), "ngram", keys)
         .groupBy(*keys, "ngram")
@@ -42,6 +43,25 @@ def ngram_counts(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[s
     )
 
 
+def document_ngrams(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``(keys, ngram, n)`` for a table with one document per row, counted inside each row.
+
+    Sorting a document's n-grams brings equal ones together, and the places where the value changes
+    give the counts. Nothing is shuffled.
+    """
+    grams = df.select(*keys, F.sort_array(ngrams(F.col(tokens), n)).alias("_grams"))
+    size = F.size("_grams")
+    places = F.when(size > 0, F.sequence(F.lit(1), size))
+    begins = F.filter(places, lambda i: (i == 1) | (F.get("_grams", i - 1) != F.get("_grams", i - 2)))
+    ends = F.concat(F.slice("_begins", 2, size), F.array(size + 1))
+    counted = F.zip_with(
+        "_begins",
+        ends,
+        lambda begin, end: F.struct(F.get("_grams", begin - 1).alias("ngram"), (end - begin).cast("bigint").alias("n")),
+    )
+    return grams.withColumn("_begins", begins).select(*keys, F.inline_outer(counted)).filter("ngram is not null")
+
+
 def span_chunks(
     df: DataFrame, tokens: str = "tokens", window: int = 128, stride: int = 96, keys: Sequence[str] = ("row_id",)
 ) -> DataFrame:
@@ -86,17 +106,25 @@ def category_encoder(columns: Sequence[str], handle_invalid: str = "error") -> P
 
 
 def encode_categories(
-    df: DataFrame, columns: Sequence[str], model: PipelineModel | None = None, na_rep: str | None = None
-) -> tuple[DataFrame, PipelineModel]:
+    df: DataFrame, columns: Sequence[str], na_rep: str | None = None, max_categories: int = 100_000
+) -> DataFrame:
     """Replace category columns by their one-hot vectors ``<column>_encoded``.
 
     With ``na_rep`` missing and empty values are one category of that name; without it they raise.
+    A fitted indexer keeps its categories on the driver, so it takes only the columns that have few
+    of them. A column with many, such as author keys, is numbered by a distributed sort and joined.
     """
     if na_rep is not None:
         df = df.withColumns({name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(na_rep)) for name in columns})
-    model = model or category_encoder(columns).fit(df)
-    drop = [*columns, *[f"{name}_indexed" for name in columns]]
-    return model.transform(df).drop(*drop), model
+    distinct = df.agg(*[F.approx_count_distinct(name).alias(name) for name in columns]).first()
+    few = [name for name in columns if distinct[name] <= max_categories]
+    if few:
+        df = category_encoder(few).fit(df).transform(df)
+    for name in sorted(set(columns) - set(few)):
+        index = string_index(df, name).select(name, F.col(f"{name}_indexed").cast("double"))
+        df = df.join(pin_small(index, max_categories), name)
+        df = OneHotEncoder(inputCol=f"{name}_indexed", outputCol=f"{name}_encoded").fit(df).transform(df)
+    return df.drop(*columns, *[f"{name}_indexed" for name in columns])
 
 
 def fit_embedding(

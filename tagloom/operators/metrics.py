@@ -26,10 +26,10 @@ def pair_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys, "label", "prediction").agg(F.count("*").alias("n"))
 
 
-def class_distribution(df: DataFrame, by: str = "sdg", flag: str = "is_test") -> DataFrame:
-    """Train and test rows per class, and each class's share of the train rows in percent."""
+def class_distribution(df: DataFrame, by: str = "sdg", flag: str = "is_test", more: Sequence[Column] = ()) -> DataFrame:
+    """Train and test rows per class, each class's share of the train rows in percent, and ``more`` sums."""
     counts = df.groupBy(by).agg(
-        F.count_if(~F.col(flag)).alias("n_train"), F.count_if(F.col(flag)).alias("n_test")
+        F.count_if(~F.col(flag)).alias("n_train"), F.count_if(F.col(flag)).alias("n_test"), *more
     )
     total = F.sum("n_train").over(Window.partitionBy())
     return counts.withColumn("train_percent", F.round(100.0 * F.col("n_train") / total, 1))

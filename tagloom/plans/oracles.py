@@ -229,6 +229,10 @@ SELECT ngram, count(*) AS n FROM grams GROUP BY ngram"""
 ORACLES["doc_ngram_counts"] = f"""WITH {TOKENS}, {_grams(3)}
 SELECT doc_id, ngram, count(*) AS n FROM grams GROUP BY doc_id, ngram"""
 
+ORACLES["source_ngram_counts"] = f"""WITH {TOKENS}, words AS (
+  SELECT source, unnest(tokens) AS ngram FROM tokens JOIN documents USING (doc_id))
+SELECT source, ngram, count(*) AS n FROM words GROUP BY source, ngram"""
+
 ORACLES["span_chunks"] = f"""WITH {TOKENS}, placed AS (
   SELECT doc_id, tokens, unnest(range(0, 1 + CAST(ceil(greatest(len(tokens) - 128, 0) / 96.0::DOUBLE) AS BIGINT))) AS span
   FROM tokens), cut AS (
@@ -276,6 +280,19 @@ ORACLES["lang_detect"] = f"WITH {DETECTED} SELECT doc_id, detected FROM detected
 ORACLES["lang_filter_detected"] = f"""WITH {DETECTED}
 SELECT d.doc_id, d.lang, d.source FROM documents d JOIN detected x ON x.doc_id = d.doc_id AND x.detected = 'en'"""
 
+ORACLES["prepared_titled"] = f"""WITH {DOCS}, {DETECTED}, kept AS (
+  SELECT row_id, sdg, faculty, year, translate(title, '?!', '..') AS d, {_collapse('abstract')} AS body
+  FROM docs JOIN detected ON doc_id = row_id AND detected = 'en' WHERE abstract <> 'unknown')
+SELECT row_id, sdg, faculty, year,
+  CASE WHEN strpos(d, '.') > 0 THEN left(d, strpos(d, '.') - 1) ELSE d END || '. ' || body AS abstract FROM kept"""
+
+ORACLES["prepared_voted"] = f"""WITH {DOCS}, {VOTES}, shares AS (
+  SELECT user_id, sdg, abstract, labels_positive, labels_negative, agreement,
+         CAST(labels_negative AS DOUBLE) / nullif(labels_negative + labels_positive, 0) AS p
+  FROM docs JOIN votes ON user_id = row_id WHERE faculty = 'en')
+SELECT user_id, sdg, abstract, labels_positive, labels_negative, round(agreement, 6) AS agreement,
+       round(p, 6) AS prob_neg FROM shares WHERE agreement >= 0.5 AND p <= 0.5"""
+
 ORACLES["label_map"] = f"""WITH {DOCS}
 SELECT row_id, CAST(label AS VARCHAR) AS label, CAST(label = sdg AS INTEGER) AS hit
 FROM docs, (SELECT unnest(range(1, 18)) AS label)"""
@@ -434,3 +451,11 @@ ORACLES["label_docs_sink"] = f"""WITH {NAMED}
 SELECT n.row_id, 'a' AS dataset, n.split, CAST(length(d.abstract) AS INTEGER) AS n_chars,
        CAST(l.label AS VARCHAR) AS label, CAST(l.label = n.sdg AS INTEGER) AS hit
 FROM named n JOIN docs d USING (row_id), (SELECT unnest(range(1, 18)) AS label) l"""
+
+ORACLES["w2v_vocabulary"] = f"""WITH {TOKENS}
+SELECT word, 10 AS dims FROM (SELECT unnest(tokens) AS word FROM tokens) GROUP BY word HAVING count(*) >= 3"""
+
+ORACLES["lr_predict_rules"] = f"""WITH vectors AS (SELECT vec_id AS row_id, label + 1 AS sdg FROM embeddings),
+{_split('flagged', 'vectors', 0.3, 'is_test')}
+SELECT row_id, sdg AS label, CAST((SELECT max(sdg) FROM flagged WHERE NOT is_test) + 1 AS INTEGER) AS slots,
+       true AS sums_to_one, true AS is_best FROM flagged WHERE is_test"""

@@ -158,6 +158,25 @@ def label_format(spark, folder):
     return preds.select("vec_id", lab.label_name(F.col("label")).alias("name"), lab.label_name(shifted).alias("shifted"))
 
 
+@query
+def prepared_titled(spark, folder):
+    """The whole preparation of a titled corpus, its language filter learned from the documents."""
+    labelled = _texts_with_language(spark, folder)
+    profile = language.language_profile(labelled)
+    raw = spread(tables.docs(spark, folder), "row_id").withColumn("sdg", F.col("raw_label")).drop("raw_label")
+    english = lambda df: language.keep_language(df, profile, LANGUAGES, "en", "abstract", "row_id")
+    return prepare.prepare_titled(raw, english)
+
+
+@query
+def prepared_voted(spark, folder):
+    """The whole preparation of a voted corpus: agreement, votes against, language."""
+    docs = tables.docs(spark, folder).select(F.col("row_id").alias("user_id"), "sdg", F.col("abstract").alias("text"), "faculty")
+    raw = docs.join(tables.votes(spark, folder), "user_id")
+    kept = prepare.prepare_voted(raw, lambda df: language.keep_language_column(df, "en", "faculty"))
+    return _rounded(kept, "agreement", "prob_neg")
+
+
 # --- row identity ------------------------------------------------------------------------------
 
 
@@ -259,9 +278,7 @@ def corpus_profile(spark, folder):
     docs = filters.drop_missing_text(spread(tables.docs(spark, folder).select("row_id", "sdg", "abstract"), "row_id"))
     flagged = split.stratified_split(docs)
     cleaned = flagged.withColumn("n_tokens", F.size(text.clean_tokens(F.col("abstract"))).cast("bigint"))
-    sizes = metrics.class_distribution(cleaned)
-    tokens = cleaned.groupBy("sdg").agg(F.sum("n_tokens").alias("n_tokens"))
-    return sizes.join(tokens, "sdg")
+    return metrics.class_distribution(cleaned, more=[F.sum("n_tokens").alias("n_tokens")])
 
 
 # --- token and vector features -----------------------------------------------------------------
@@ -279,7 +296,14 @@ def ngram_counts(spark, folder):
 
 @query
 def doc_ngram_counts(spark, folder):
-    return features.ngram_counts(_tokens(spark, folder), 3, keys=("doc_id",))
+    return features.document_ngrams(_tokens(spark, folder), 3, keys=("doc_id",))
+
+
+@query
+def source_ngram_counts(spark, folder):
+    docs = spread(tables.documents(spark, folder).select("doc_id", "source", "text"), "doc_id")
+    tokens = docs.select("source", text.clean_tokens(F.col("text")).alias("tokens"))
+    return features.ngram_counts(tokens, 1, keys=("source",))
 
 
 @query
@@ -303,7 +327,7 @@ def string_index(spark, folder):
 @query
 def one_hot_index(spark, folder):
     docs = tables.docs(spark, folder).select("row_id", "faculty", "year")
-    encoded, _ = features.encode_categories(docs, ["faculty", "year"])
+    encoded = features.encode_categories(docs, ["faculty", "year"])
     slots = {name: features.vector_to_array(f"{name}_encoded") for name in ("faculty", "year")}
     return encoded.select(
         "row_id",
@@ -499,7 +523,14 @@ def w2v_embed(spark, folder):
 
 
 @query
-def lr_predict(spark, folder):
+def w2v_vocabulary(spark, folder):
+    docs = spread(tables.docs(spark, folder).select("row_id", "abstract"), "row_id")
+    tokens = docs.select("row_id", text.clean_tokens(F.col("abstract")).alias("tokens"))
+    words = features.word_vectors(features.fit_embedding(tokens, "tokens", "vector"))
+    return words.select("word", F.size("vector").alias("dims"))
+
+
+def _lr_predictions(spark: SparkSession, folder: str) -> DataFrame:
     vectors = tables.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("row_id"), (F.col("label") + 1).alias("sdg"), features.array_to_vector("embedding").alias("vector")
     )
@@ -508,6 +539,25 @@ def lr_predict(spark, folder):
     return model.predict(fitted, flagged.filter("is_test"))
 
 
+@query
+def lr_predict(spark, folder):
+    return _lr_predictions(spark, folder)
+
+
+@query
+def lr_predict_rules(spark, folder):
+    """What holds for every prediction: which rows are scored, and how the probabilities relate."""
+    rows = _lr_predictions(spark, folder)
+    total = F.aggregate("probability", F.lit(0.0), lambda acc, value: acc + value)
+    return rows.select(
+        "row_id",
+        "label",
+        F.size("probability").alias("slots"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.get("probability", F.col("prediction")) == F.col("max_prob")).alias("is_best"),
+    )
+
+
 @query
 def ablation(spark, folder):
     return model.feature_ablation(_split_tokens(spread(tables.authored_docs(spark, folder), "row_id")), max_iter=20)

@@ -43,7 +43,7 @@ def run_ablation(
     """
     embedded, vectors = model.embed(corpus, partitions=partitions)
     columns = sorted({column for used in conditions.values() for column in used})
-    encoded, _ = features.encode_categories(embedded, columns, na_rep="NA") if columns else (embedded, None)
+    encoded = features.encode_categories(embedded, columns, na_rep="NA") if columns else embedded
     names = ["abstract_vectorized", *[f"{column}_encoded" for column in columns]]
     encoded = encoded.select("row_id", "sdg", "is_test", *names).persist(StorageLevel.MEMORY_AND_DISK)
     stored = None

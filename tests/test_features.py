@@ -18,6 +18,9 @@ def test_vocabulary_and_ngrams(spark):
     assert got == {"a b": 2, "b a": 1}
     per_doc = {(r["row_id"], r["ngram"]): r["n"] for r in features.ngram_counts(df, 1, keys=["row_id"]).collect()}
     assert per_doc == {(0, "a"): 2, (0, "b"): 1, (2, "a"): 1, (2, "b"): 1}
+    in_row = features.document_ngrams(df, 1)
+    assert {(r["row_id"], r["ngram"]): r["n"] for r in in_row.collect()} == per_doc
+    assert "Exchange" not in in_row._jdf.queryExecution().executedPlan().toString()
 
 
 def test_span_chunks_keep_every_document(spark):
@@ -42,7 +45,10 @@ def test_string_index(spark):
 def test_string_index_equals_the_fitted_encoder(spark):
     docs = tables.docs(spark, SMALL).select("row_id", "year")
     index = {r["year"]: r["year_indexed"] for r in features.string_index(docs, "year").collect()}
-    encoded, _ = features.encode_categories(docs.withColumn("name", F.col("year")), ["year"])
+    docs = docs.withColumn("name", F.col("year"))
+    encoded = features.encode_categories(docs, ["year"])
+    many = features.encode_categories(docs, ["year"], max_categories=3)
+    assert sorted(map(str, encoded.collect())) == sorted(map(str, many.select(encoded.columns).collect()))
     for row in encoded.select("name", vector_to_array("year_encoded").alias("v")).distinct().collect():
         slot = index[row["name"]]
         assert row["v"] == [float(i == slot) for i in range(len(index) - 1)]
@@ -50,11 +56,11 @@ def test_string_index_equals_the_fitted_encoder(spark):
 
 def test_missing_categories(spark):
     df = spark.createDataFrame([("x",), ("x",), ("",), (None,), ("y",)], "c string")
-    encoded, _ = features.encode_categories(df, ["c"], na_rep="NA")
+    encoded = features.encode_categories(df, ["c"], na_rep="NA")
     vectors = Counter(tuple(r[0]) for r in encoded.select(vector_to_array("c_encoded")).collect())
     assert sorted(vectors.values()) == [1, 2, 2]
     with pytest.raises(Exception):
-        features.encode_categories(df, ["c"])[0].collect()
+        features.encode_categories(df, ["c"]).collect()
 
 
 @pytest.fixture(scope="module")

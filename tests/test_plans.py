@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from tagloom.__main__ import main  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-MODELS = {"w2v_embed", "lr_predict", "ablation", "cross_corpus", "bow_classifier"}
+MODELS = {"w2v_embed", "w2v_vocabulary", "lr_predict", "lr_predict_rules", "ablation", "cross_corpus", "bow_classifier"}
 IN_PLACE = {"lang_detect", "lang_filter_detected"}
 
 
