@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 def label_name(label: Column, prefix: str = "sdg_") -> Column:
     """``sdg_01`` .. ``sdg_09``, ``sdg_10`` and up, and ``sdg_-1`` for the no-class label."""
-    bare = F.concat(F.lit(prefix), label.cast("string"))
-    padded = F.concat(F.lit(f"{prefix}0"), label.cast("string"))
-    return F.when((label > 9) | (label == -1), bare).otherwise(padded)
+    digits = label.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) == 1, "0").otherwise(""), digits)
 
 
 def label_map(label: Column, labels: Sequence[int]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, NGram, OneHotEncoder, StringIndexer, Word2Vec, Word2VecModel
+from pyspark.ml.feature import HashingTF, OneHotEncoder, StringIndexer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +159,6 @@ def word_vectors(model: Word2VecModel) -> DataFrame:
 
 def ngram_vectors(df: DataFrame, tokens: str, out: str, n: int = 1, num_features: int = 1 << 18) -> DataFrame:
     """Counts of all 1..n-grams in a hashed vector of fixed length, without a vocabulary."""
-    names = [f"_gram{size}" for size in range(1, n + 1)]
-    for size, name in enumerate(names, start=1):
-        df = NGram(n=size, inputCol=tokens, outputCol=name).transform(df)
-    df = df.withColumn("_grams", F.concat(*names)).drop(*names)
-    return HashingTF(numFeatures=num_features, inputCol="_grams", outputCol=out).transform(df).drop("_grams")
+    grams = F.concat(*[ngrams(F.col(tokens), size) for size in range(1, n + 1)])
+    hashing = HashingTF(numFeatures=num_features, inputCol="_grams", outputCol=out)
+    return hashing.transform(df.withColumn("_grams", grams)).drop("_grams")

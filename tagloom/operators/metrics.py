@@ -7,7 +7,8 @@ counts inside each task before the shuffle, so a hot class or condition costs no
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,21 @@ def confusion_matrix(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) ->
     return listed.unionByName(zeros).groupBy(*keys, "prediction", "label").agg(F.sum("n").alias("n"))
 
 
+def confusion_by_condition(
+    df: DataFrame, labels_of: Mapping[object, Labels], keys: Sequence[str] = (), condition: str = "condition"
+) -> DataFrame:
+    """Confusion matrices where each condition has a label list of its own."""
+    matrices = [
+        confusion_matrix(
+            df.filter(F.col(condition).isin(*[name for name in labels_of if tuple(labels_of[name]) == listed])),
+            listed,
+            [condition, *keys],
+        )
+        for listed in dict.fromkeys(tuple(labels) for labels in labels_of.values())
+    ]
+    return reduce(DataFrame.unionByName, matrices)
+
+
 def confusion_table(df: DataFrame, labels: Labels, keys: Sequence[str] = (), prefix: str = "true_") -> DataFrame:
     """Wide form: one row per predicted label, one column per true label."""
     wide = confusion_matrix(df, labels, keys).groupBy(*keys, "prediction").pivot("label", list(labels)).sum("n")
@@ -208,7 +224,7 @@ def label_auc(
     merged = scored.groupBy(F.col("_label").alias("label"), "score").agg(
         F.count_if(is_hit).alias("pos"), F.count_if(~is_hit).alias("neg")
     )
-    buckets = min(10_000, 1 + df.count() // rows_per_bucket)
+    buckets = min(4_000, 1 + df.count() // rows_per_bucket)
     if buckets > 1:
         scores = df.select(F.explode(probabilities).alias("score"))
         cuts = scores.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.5 / buckets)

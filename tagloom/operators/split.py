@@ -67,7 +67,7 @@ def class_cuts(
     rank = F.row_number().over(Window.partitionBy("_row_class").orderBy("_hash", key))
     last = near.withColumn("_rank", rank).filter("_rank = _need")
     last = last.select("_row_class", F.col("_hash").alias("cut_hash"), F.col(key).alias("cut_key"))
-    return quotas.join(last, same, "left").drop("_row_class")
+    return quotas.join(side(last), same, "left").drop("_row_class")
 
 
 def _flag_after_cut(

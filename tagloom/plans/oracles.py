@@ -81,7 +81,7 @@ ORACLES["drop_missing"] = f"""WITH {DOCS}
 SELECT row_id, abstract FROM docs WHERE row_id % 13 > 1 AND abstract <> 'unknown'"""
 
 ORACLES["agreement_filter"] = f"""WITH {VOTES}
-SELECT user_id, labels_positive, labels_negative, round(agreement, 6) AS agreement FROM votes WHERE agreement >= 0.05"""
+SELECT user_id, labels_positive, labels_negative, round(agreement, 6) AS agreement FROM votes WHERE agreement >= 0.5"""
 
 ORACLES["negative_filter"] = f"""WITH {VOTES}, shares AS (
   SELECT user_id, labels_positive, labels_negative,
@@ -332,6 +332,9 @@ FROM matrix GROUP BY prediction"""
 ORACLES["eval_grid_confusion"] = f"""WITH {_confusion(GRID_PREDS, 'range(1, 11)', 'condition, model, seed')}
 SELECT * FROM matrix"""
 
+ORACLES["eval_grid_lists"] = f"""WITH {_confusion(GRID_PREDS, 'range(1, 11)', 'condition, model, seed')}
+SELECT * FROM matrix WHERE condition > 0 OR (label < 10 AND prediction < 10)"""
+
 
 def _report(preds: str, labels: str, keys: str = "") -> str:
     key_list = f"{keys}, " if keys else ""
@@ -428,6 +431,9 @@ SELECT CAST(line AS BIGINT) AS line, lpad(label, 12, ' ') || ' ' || {_number('pr
 ORACLES["tsv_round_trip"] = f"""WITH {VOTES}
 SELECT user_id, labels_positive, labels_negative, round(agreement, 6) AS agreement FROM votes"""
 
+ORACLES["quoted_lines_scan"] = f"""WITH {VOTES}
+SELECT user_id, labels_positive, labels_negative FROM votes"""
+
 ORACLES["null_token"] = f"""WITH {MERGED}
 SELECT row_id, coalesce(faculty, 'NA') AS faculty, coalesce(year, 'NA') AS year, subset,
        CAST(faculty IS NULL AS INTEGER) AS missing FROM merged"""

@@ -58,7 +58,7 @@ def drop_missing(spark, folder):
 
 @query
 def agreement_filter(spark, folder):
-    kept = filters.keep_agreed(tables.votes(spark, folder), minimum=0.05)
+    kept = filters.keep_agreed(tables.votes(spark, folder))
     return _rounded(kept, "agreement")
 
 
@@ -436,6 +436,13 @@ def eval_grid_confusion(spark, folder):
     return metrics.confusion_matrix(preds, PROB_LABELS, ["condition", "model", "seed"])
 
 
+@query
+def eval_grid_lists(spark, folder):
+    """One condition lacks the last class, so its matrix is one class smaller."""
+    preds = tables.preds(spark, folder, tables.SEEDS)
+    return metrics.confusion_by_condition(preds, {0: range(1, 10), 1: PROB_LABELS, 2: PROB_LABELS}, ["model", "seed"])
+
+
 @query
 def macro_auc(spark, folder):
     auc = metrics.label_auc(tables.probs(spark, folder), PROB_LABELS)
@@ -465,6 +472,17 @@ def tsv_round_trip(spark, folder):
     return _rounded(back, "agreement")
 
 
+@query
+def quoted_lines_scan(spark, folder):
+    path = scratch_path(spark, "quoted-lines")
+    votes = tables.votes(spark, folder)
+    line = F.concat(F.lit('""'), F.concat_ws("\t", "user_id", "labels_positive", "labels_negative"), F.lit('"'))
+    votes.select(line.alias("value")).write.text(f"{path}/raw")
+    tsv.strip_quoted_lines(spark, f"{path}/raw", f"{path}/stripped")
+    lines = spark.read.text(f"{path}/stripped")
+    return tsv.parse_tsv_lines(lines, "user_id bigint, labels_positive int, labels_negative int")
+
+
 @query
 def null_token(spark, folder):
     path = scratch_path(spark, "merged-tsv")

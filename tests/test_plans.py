@@ -13,7 +13,7 @@ from tagloom.__main__ import main  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 MODELS = {"w2v_embed", "w2v_vocabulary", "lr_predict", "lr_predict_rules", "ablation", "cross_corpus", "bow_classifier"}
-IN_PLACE = {"lang_detect", "lang_filter_detected"}
+IN_PLACE = {"lang_detect", "lang_filter_detected", "prepared_titled"}
 
 
 def plan(df):
@@ -74,3 +74,18 @@ def test_command_line_from_raw_files_to_scores(spark, tmp_path):
     sums = {r["test_set"]: r["n"] for r in matrix.groupBy("test_set").agg(F.sum("n").alias("n")).collect()}
     assert sums == {"default": tests, "none": tests}
     assert spark.read.text(path("runs") + "/reports/linear-ab").count() == 2
+
+
+def test_text_steps_apply_to_a_stream(spark, tmp_path):
+    from tagloom.functions import text
+    from tagloom.operators import filters
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumnRenamed("text", "abstract")
+    docs.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    steps = lambda df: filters.drop_missing_text(df).select(
+        "doc_id", text.clean_tokens(F.col("abstract")).alias("tokens")
+    )
+    run = steps(stream).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(spark.table("cleaned").collect()) == sorted(steps(docs).collect())
