@@ -27,6 +27,17 @@ def pair_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys, "label", "prediction").agg(F.count("*").alias("n"))
 
 
+def _one_row_per_key(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The observed key combinations, or one row without columns.
+
+    The sum ties them to the pair counts, so that Spark reuses that shuffle; a plain distinct would
+    be planned as a second scan.
+    """
+    if not keys:
+        return counts.sparkSession.range(1).select()
+    return counts.groupBy(*keys).agg(F.sum("n").alias("_n")).filter("_n > 0").select(*keys)
+
+
 def class_distribution(df: DataFrame, by: str = "sdg", flag: str = "is_test", more: Sequence[Column] = ()) -> DataFrame:
     """Train and test rows per class, each class's share of the train rows in percent, and ``more`` sums."""
     counts = df.groupBy(by).agg(
@@ -39,13 +50,15 @@ def class_distribution(df: DataFrame, by: str = "sdg", flag: str = "is_test", mo
 def confusion_matrix(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) -> DataFrame:
     """Long form ``(keys, prediction, label, n)``, zero-filled; pairs off the list are ignored."""
     counts = pair_counts(df, keys)
-    grid = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     zeros = (
-        grid.withColumn("label", F.explode(_values(labels)))
+        _one_row_per_key(counts, keys)
+        .withColumn("label", F.explode(_values(labels)))
         .withColumn("prediction", F.explode(_values(labels)))
         .withColumn("n", F.lit(0).cast("bigint"))
     )
-    listed = counts.filter(F.col("label").isin(*labels) & F.col("prediction").isin(*labels))
+    # a test of the count as well stays above the shuffle, which the keys then share
+    on_list = F.col("label").isin(*labels) & F.col("prediction").isin(*labels)
+    listed = counts.withColumn("n", F.when(on_list, F.col("n"))).filter("n > 0")
     return listed.unionByName(zeros).groupBy(*keys, "prediction", "label").agg(F.sum("n").alias("n"))
 
 
@@ -85,8 +98,7 @@ def _class_counts(df: DataFrame, labels: Labels, keys: Sequence[str]) -> DataFra
         side(F.col("label"), hit, zero, F.col("n")), side(F.col("prediction"), zero, F.col("n"), zero)
     )
     seen = counts.select(*keys, F.inline(sides)).filter(F.col("class").isin(*labels))
-    grid = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    listed = grid.select(*keys, F.explode(_values(labels)).alias("class"))
+    listed = _one_row_per_key(counts, keys).select(*keys, F.explode(_values(labels)).alias("class"))
     listed = listed.withColumns({"tp": zero, "predicted": zero, "support": zero})
     return (
         seen.unionByName(listed)
