@@ -43,23 +43,29 @@ def ngram_counts(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[s
     )
 
 
-def document_ngrams(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``(keys, ngram, n)`` for a table with one document per row, counted inside each row.
+def item_counts(df: DataFrame, items: Column, name: str, keys: Sequence[str]) -> DataFrame:
+    """``(keys, name, n)``: how often each array item occurs in its own row.
 
-    Sorting a document's n-grams brings equal ones together, and the places where the value changes
-    give the counts. Nothing is shuffled.
+    Sorting a row's items brings equal ones together, and the places where the value changes give
+    the counts. Nothing is shuffled.
     """
-    grams = df.select(*keys, F.sort_array(ngrams(F.col(tokens), n)).alias("_grams"))
-    size = F.size("_grams")
+    sorted_items = df.select(*keys, F.sort_array(items).alias("_items"))
+    size = F.size("_items")
     places = F.when(size > 0, F.sequence(F.lit(1), size))
-    begins = F.filter(places, lambda i: (i == 1) | (F.get("_grams", i - 1) != F.get("_grams", i - 2)))
+    begins = F.filter(places, lambda i: (i == 1) | (F.get("_items", i - 1) != F.get("_items", i - 2)))
     ends = F.concat(F.slice("_begins", 2, size), F.array(size + 1))
     counted = F.zip_with(
         "_begins",
         ends,
-        lambda begin, end: F.struct(F.get("_grams", begin - 1).alias("ngram"), (end - begin).cast("bigint").alias("n")),
+        lambda begin, end: F.struct(F.get("_items", begin - 1).alias(name), (end - begin).cast("bigint").alias("n")),
     )
-    return grams.withColumn("_begins", begins).select(*keys, F.inline_outer(counted)).filter("ngram is not null")
+    with_begins = sorted_items.withColumn("_begins", begins)
+    return with_begins.select(*keys, F.inline_outer(counted)).filter(F.col(name).isNotNull())
+
+
+def document_ngrams(df: DataFrame, n: int, tokens: str = "tokens", keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``(keys, ngram, n)`` for a table with one document per row."""
+    return item_counts(df, ngrams(F.col(tokens), n), "ngram", keys)
 
 
 def span_chunks(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import char_ngrams, collapse_whitespace
-from tagloom.operators.features import each
+from tagloom.operators.features import each, item_counts
 
 POINT_BITS = 21  # a Unicode code point fits, and three of them fit a 64-bit integer
 
@@ -70,13 +70,14 @@ def detect_language(
 def _detect_by_join(
     df: DataFrame, counts: DataFrame, languages: Sequence[str], text: str, key: str, out: str, n: int
 ) -> DataFrame:
-    """``(key, out)``: every n-gram meets its counts by a join, and scores are summed per text."""
+    """``(key, out)``: a text's different n-grams meet their counts by a join, and scores are summed per text."""
     places = range(len(languages))
     total = counts.agg(F.count("*").alias("grams"), *[F.sum(f"n{i}").alias(f"n{i}") for i in places]).first()
     below = [float(total["grams"] + (total[f"n{i}"] or 0)) for i in places]
     weights = counts.select("gram", *[F.log((F.col(f"n{i}") + 1) / below[i]).alias(f"w{i}") for i in places])
-    grams = each(df, char_ngrams(_squeezed(text), n), "gram", [key])
-    scores = grams.join(weights, "gram").groupBy(key).agg(F.array(*[F.sum(f"w{i}") for i in places]).alias("_scores"))
+    grams = item_counts(df, char_ngrams(_squeezed(text), n), "gram", [key])
+    sums = F.array(*[F.sum(F.col("n") * F.col(f"w{i}")) for i in places])
+    scores = grams.join(weights, "gram").groupBy(key).agg(sums.alias("_scores"))
     best = F.array_position("_scores", F.array_max("_scores")).cast("int")
     names = F.array(*[F.lit(name) for name in languages])
     return scores.select(key, F.element_at(names, best).alias(out))

@@ -1,3 +1,7 @@
+import random
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +146,28 @@ def test_predictions_table_matches_by_key(spark):
     rows = {r["row_id"]: r for r in labels.predictions_table(docs, probs, [1, 2]).collect()}
     assert (rows[7]["label"], rows[7]["prediction"], rows[7]["probability"]) == (1, 1, 0.8)
     assert (rows[3]["abstract"], rows[3]["prediction"]) == ("y", 2)
+
+
+def plain_clean(raw):
+    """What cleaning means, with Python's own character classes."""
+    lowered = re.sub(r"http[^\s]+", "", raw.lower())
+    return "".join(c for c in re.sub(r"\s+", " ", lowered) if not re.fullmatch(r"\d", c) and re.fullmatch(r"[\w\s]", c))
+
+
+def plain_author(raw):
+    names = "".join(c for c in raw.lower() if re.fullmatch(r"[\w\s]", c))
+    return "".join(name for name in names.split() if len(name) > 1)
+
+
+def test_cleaning_equals_python_on_random_unicode(spark):
+    rng = random.Random(11)
+    # the JVM knows fewer of the characters that Unicode added later
+    letters = [chr(i) for i in range(1, 0x530) if unicodedata.category(chr(i)) != "Cn"]
+    common = list("ab yz  \t\n09_.,;:http/!") + ["http://", "²", "é", "Σ", "İ", "\xa0", "\u2028", "\u3000"]
+    texts = ["".join(rng.choice(common if rng.random() < 0.7 else letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("i", text.clean_text(F.col("t")).alias("c"), text.clean_author(F.col("t")).alias("a")).collect()
+    for row in got:
+        raw = texts[row["i"]]
+        assert row["c"] == plain_clean(raw), ascii(raw)
+        assert row["a"] == plain_author(raw), ascii(raw)
