@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tagloom.session import checkpoint_dir, pin_small
 
@@ -73,15 +74,18 @@ def number_keys(df: DataFrame, part: str, key: str, out: str, buckets: int = 65_
     so one source holding most rows is still numbered by many tasks. Only the row count per range
     is summed up in one place.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    keys = df.select(part, key).persist(StorageLevel.MEMORY_AND_DISK)
+    low, high = keys.agg(F.min(key), F.max(key)).first()
     if low is None:
         return df.withColumn(out, F.lit(None).cast("bigint"))
     width = (high - low) // buckets + 1
     cut = F.expr(f"({key} - {low}L) div {width}L")
-    counts = df.groupBy(part, cut.alias("_range")).agg(F.count("*").alias("_n"))
+    counts = keys.groupBy(part, cut.alias("_range")).agg(F.count("*").alias("_n"))
     before = Window.orderBy(part, "_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    offsets = pin_small(offsets, max_rows=10 * buckets)
+    counted = counts.select(part, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = pin_small(counted, max_rows=10 * buckets)
+    if offsets is not counted:
+        keys.unpersist()
     within = F.row_number().over(Window.partitionBy(part, "_range").orderBy(key))
     return (
         df.withColumn("_range", cut)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tagloom.session import collect_small, pin_small
 
@@ -43,8 +44,14 @@ def class_quotas(sizes: DataFrame, by: str, test_size: float) -> DataFrame:
 def class_cuts(
     df: DataFrame, by: str, test_size: float, key: str, seed: int, rare_rules: bool = False
 ) -> DataFrame:
-    """Per class: its size, train quota, first key, and the (hash, key) of its last train row."""
-    sizes = df.groupBy(F.col(by).alias("_class")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+    """Per class: its size, train quota, first key, and the (hash, key) of its last train row.
+
+    Class and key are kept while the cuts are found, so that what leads up to ``df``, such as a
+    filter on its texts, runs once for them and not once per step.
+    """
+    kept = df.select(F.col(by).alias("_row_class"), key).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = kept.groupBy(F.col("_row_class").alias("_class"))
+    sizes = sizes.agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
     local = collect_small(sizes)
     # every table below has one row per class, so the check of the sizes holds for them too
     side = F.broadcast if local is not None else (lambda table: table)
@@ -53,8 +60,7 @@ def class_cuts(
     if rare_rules:
         quotas = quotas.unionByName(sizes.filter("n = 1").withColumn("quota", F.col("n")))
 
-    rows = df.select(F.col(by).alias("_row_class"), key, row_hash(key, seed).alias("_hash"))
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, PREFIX))
+    rows = kept.withColumn("_hash", row_hash(key, seed)).withColumn("_bucket", F.substring("_hash", 1, PREFIX))
     same = F.col("_class").eqNullSafe(F.col("_row_class"))
     running = Window.partitionBy("_row_class").orderBy("_bucket")
     reached = (
@@ -67,7 +73,11 @@ def class_cuts(
     rank = F.row_number().over(Window.partitionBy("_row_class").orderBy("_hash", key))
     last = near.withColumn("_rank", rank).filter("_rank = _need")
     last = last.select("_row_class", F.col("_hash").alias("cut_hash"), F.col(key).alias("cut_key"))
-    return quotas.join(side(last), same, "left").drop("_row_class")
+    cuts = quotas.join(side(last), same, "left").drop("_row_class")
+    pinned = pin_small(cuts)
+    if pinned is not cuts:
+        kept.unpersist()
+    return pinned
 
 
 def _flag_after_cut(
@@ -81,7 +91,7 @@ def _flag_after_cut(
             .when(F.col("quota") == F.col("n"), F.col(key) == F.col("first_key"))
             .otherwise(held_out)
         )
-    joined = df.join(pin_small(cuts), F.col(by).eqNullSafe(F.col("_class")), "left")
+    joined = df.join(cuts, F.col(by).eqNullSafe(F.col("_class")), "left")
     return joined.withColumn(flag, held_out).drop(*cuts.columns)
 
 
