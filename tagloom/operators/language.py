@@ -101,19 +101,27 @@ def keep_language_column(df: DataFrame, language: str = "en", lang: str = "lang"
     return df.filter(F.col(lang) == language).drop(lang)
 
 
-def _packed(text: str, n: int) -> np.ndarray:
-    """Every n-gram of a text as one integer."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    length = max(len(points) - n + 1, 0)
-    packed = np.zeros(length, dtype=np.int64)
-    for place in range(n):
-        packed = (packed << POINT_BITS) | points[place : place + length]
+def _packer(n: int):
+    """A function that turns every n-gram of a text into one integer.
+
+    It is made here, not named in the module, so that tasks get it with the job and need no package.
+    """
+
+    def packed(text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        length = max(len(points) - n + 1, 0)
+        grams = np.zeros(length, dtype=np.int64)
+        for place in range(n):
+            grams = (grams << POINT_BITS) | points[place : place + length]
+        return grams
+
     return packed
 
 
 def _scorer(df: DataFrame, counts: pd.DataFrame, languages: Sequence[str], n: int):
     """A vectorised function ``text -> language`` over a profile that every task holds."""
-    grams = _packed("".join(counts["gram"]), n)[::n]
+    packed = _packer(n)
+    grams = packed("".join(counts["gram"]))[::n]
     order = np.argsort(grams)
     seen = counts.drop(columns="gram").to_numpy(dtype=np.float64)[order]
     weights = np.log((seen + 1) / (seen.sum(axis=0) + len(seen)))
@@ -126,7 +134,7 @@ def _scorer(df: DataFrame, counts: pd.DataFrame, languages: Sequence[str], n: in
             yield texts.map(lambda text: None if text is None else best(text, known, weight))
 
     def best(text: str, known: np.ndarray, weight: np.ndarray) -> str | None:
-        grams = _packed(text, n)
+        grams = packed(text)
         at = np.searchsorted(known, grams)
         at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == grams)] if len(known) else at[:0]
         return languages[int(weight[at].sum(axis=0).argmax())] if len(at) else None

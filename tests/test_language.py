@@ -1,7 +1,10 @@
 import math
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tagloom.operators import language
@@ -83,3 +86,11 @@ def test_detects_the_labelled_language(spark):
     got = language.detect_language(docs.filter(~half), profile, ["de", "en", "es", "fr"])
     total, right = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("detected"))).first()
     assert right / total > 0.98
+
+
+def test_tasks_need_no_package():
+    """What the scoring function calls travels whole: tasks may run where the package is not installed."""
+    sent = cloudpickle.dumps(language._packer(3))
+    script = "import pickle, sys; print(pickle.loads(bytes.fromhex(sys.argv[1]))('abcd').tolist())"
+    done = subprocess.run([sys.executable, "-I", "-c", script, sent.hex()], capture_output=True, text=True, cwd="/")
+    assert done.stdout.strip() == str(language._packer(3)("abcd").tolist()), done.stderr
