@@ -6,6 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,10 @@ def blobs(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], name: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that their texts stay below ``most`` bytes; a longer text stands alone."""
     for batch in batches:
-        sizes = [len(b) for b in blobs(batch, name)]
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
         begin = held = 0
         for row, size in enumerate(sizes):
             if held and held + size > most:
@@ -59,4 +56,17 @@ def fold(doc_id: str | Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % folds
 
 
+def join_by_weight(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, parts: int = 1000, how: str = "left") -> DataFrame:
+    """Join (left or inner) of rows to the groups they belong to, where ``weight`` is how many rows a group has.
+
+    Groups of more than ``total / parts`` rows are broadcast: there are fewer than ``parts`` of them.
+    The others, none of them hot, are joined by a shuffle.
+    """
+    heavy = groups.filter(F.col(weight) * parts > total)
+    light = groups.filter(F.col(weight) * parts <= total)
+    hot = rows.join(F.broadcast(heavy), on)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    return hot.unionByName(rest)
+
+
 portable(__name__)

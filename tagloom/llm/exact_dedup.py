@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import BLANKS, blobs, chunks, portable, stored
+from tagloom.llm.common import BLANKS, blobs, chunks, join_by_weight, portable, stored
 
 SLOT_BITS = 10  # slots of a filter range
 DROP = BLANKS.encode()
@@ -166,17 +166,4 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     )
 
 
-def join_by_weight(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, parts: int = 1000) -> DataFrame:
-    """Left join of rows to the groups they belong to, where ``weight`` is how many rows a group has.
-
-    Groups of more than ``total / parts`` rows are broadcast: there are fewer than ``parts`` of them.
-    The others, none of them hot, are joined by a shuffle.
-    """
-    heavy = groups.filter(F.col(weight) * parts > total)
-    light = groups.filter(F.col(weight) * parts <= total)
-    hot = rows.join(F.broadcast(heavy), on)
-    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, "left")
-    return hot.unionByName(rest)
-
-
 portable(__name__)

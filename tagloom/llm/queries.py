@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, packing, toxicity
+from tagloom.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
 from tagloom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op7_exact_dedup(spark, folder):
     return exact_dedup.dedup(_table(spark, folder, "documents")).drop("origin")
 
 
+@query
+def op8_ngram_jaccard(spark, folder):
+    return ngram_join.join(_table(spark, folder, "documents"))
+
+
 @query
 def op9_decontaminate(spark, folder):
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
