@@ -25,10 +25,10 @@ def portable(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a derived table below the shared folder and read it back; lost executors cost no rework."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +51,22 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str, most: int = 16 << 20) -
             yield batch.slice(begin)
 
 
+def most_frequent(df: DataFrame, times: str, most: int) -> DataFrame:
+    """The rows with the highest counts, at most ``most`` of them, without sorting: a threshold on the count.
+
+    Thresholds are the steps of a fine logarithmic scale, whose histogram has a few hundred rows.
+    """
+    step = F.floor(F.log2(F.col(times).cast("double")) * 16).cast("int")
+    histogram = {r["step"]: r["n"] for r in df.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    kept, least = 0, None
+    for level in sorted((x for x in histogram if x is not None), reverse=True):
+        kept += histogram[level]
+        if kept > most:
+            break
+        least = level
+    return df.filter(F.lit(False) if least is None else step >= least)
+
+
 def fold(doc_id: str | Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % folds

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import LOWER, blobs, chunks, join_by_weight, portable, stored
+from tagloom.llm.common import LOWER, blobs, chunks, join_by_weight, most_frequent, portable, stored
 from tagloom.llm.components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -72,7 +72,7 @@ def _signed(values) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, text: str, key: str, width: int, rounds: int, often: int = 4) -> DataFrame:
-    """Per row ``doc_id, n, f1, f2, mins``; besides, rows ``token, times`` of shingles found often in a chunk."""
+    """Per row ``doc_id, origin, n, f1, f2, mins``; besides, rows ``token, times`` of shingles found often in a chunk."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingles(width)
@@ -88,6 +88,7 @@ def sets_of(docs: DataFrame, text: str, key: str, width: int, rounds: int, often
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(k, pa.int64())]),
+                    pa.concat_arrays([batch.column("origin"), pa.nulls(k, pa.int64())]),
                     pa.array([len(s) for s in sets] + [None] * k, pa.int64()),
                     pa.array([f for f, _ in names] + [None] * k, pa.int64()),
                     pa.array([f for _, f in names] + [None] * k, pa.int64()),
@@ -95,11 +96,12 @@ def sets_of(docs: DataFrame, text: str, key: str, width: int, rounds: int, often
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens, pa.int64())]),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64), pa.int64())]),
                 ],
-                names=["doc_id", "n", "f1", "f2", "mins", "token", "times"],
+                names=["doc_id", "origin", "n", "f1", "f2", "mins", "token", "times"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(read, "doc_id bigint, n bigint, f1 bigint, f2 bigint, mins array<bigint>, token bigint, times bigint")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("origin"), F.col(text).alias("text"))
+    schema = "doc_id bigint, origin bigint, n bigint, f1 bigint, f2 bigint, mins array<bigint>, token bigint, times bigint"
+    return rows.mapInArrow(read, schema)
 
 
 def _slots(wanted: DataFrame, bits: int = 24) -> np.ndarray:
@@ -408,7 +410,7 @@ def join(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 85,
     rounds: int = 4, max_common: int = 1 << 17, tokens_per_range: int = 1 << 19,
 ) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id``.
+    """Per row: ``doc_id, n_shingles, component_id`` and ``origin``, a hash of the text.
 
     A text's set holds its distinct shingles of ``width`` words (runs without blanks, lower-cased in
     A-Z); a shorter text is one shingle; a null, empty or blank text has none and is linked with
@@ -425,8 +427,8 @@ def join(
     known = stored(components(links), "first-components")
 
     often = rows.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
-    often = often.orderBy(F.desc("times"), "token").limit(max_common).collect()
-    common = np.array([r["token"] for r in reversed(often)], np.int64).view(np.uint64)  # the most frequent last
+    often = most_frequent(stored(often, "frequent-shingles"), "times", max_common).toPandas().sort_values(["times", "token"])
+    common = often["token"].to_numpy(np.int64).view(np.uint64)  # the most frequent last
     prefixes = _prefixes(docs, text, width, percent, common)
     sizes = known.groupBy("component").agg((F.count("*") + 1).cast("int").alias("size"))
     # The smallest node of a component has no row in known: its component is itself.
@@ -444,7 +446,7 @@ def join(
     answers = nodes.join(final, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component"))
     result = join_by_weight(sets, stored(answers, "shingle-answers"), ["f1", "f2"], "copies", max(1, sets.count()))
     answer = F.coalesce("component", "doc_id")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(answer != NONE, answer).alias("component_id"))
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(answer != NONE, answer).alias("component_id"), "origin")
 
 
 def _own_ids(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
+from tagloom.llm import decontaminate, exact_dedup, line_dedup, lm, ngram_join, packing, tokens, toxicity, url_filter
 from tagloom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,39 @@ def op2_packing(spark, folder):
     return pieces(_table(spark, folder, "documents"))
 
 
+RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@query
+def op3_url_filter(spark, folder):
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    model = url_filter.fit(url_filter.labelled_by_rules(pages, RULES))
+    return url_filter.judge(pages, RULES, model)
+
+
+@query
+def op4_hmm_lm(spark, folder):
+    return lm.score(_table(spark, folder, "documents"), fold("doc_id") == 1)
+
+
+@query
+def op5_token_counts(spark, folder):
+    counted = tokens.count_tokens(_table(spark, folder, "documents"), vocabulary())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op6_line_dedup(spark, folder):
+    kept = line_dedup.dedup_lines(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_exact_dedup(spark, folder):
     return exact_dedup.dedup(_table(spark, folder, "documents")).drop("origin")
@@ -50,7 +83,7 @@ def op7_exact_dedup(spark, folder):
 
 @query
 def op8_ngram_jaccard(spark, folder):
-    return ngram_join.join(_table(spark, folder, "documents"))
+    return ngram_join.join(_table(spark, folder, "documents")).drop("origin")
 
 
 @query
