@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tagloom.llm.queries import NOTICES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op7_exact_dedup"] = r"""
@@ -85,3 +87,52 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
+ORACLES["op1_license_scan"] = r"""
+WITH files AS (
+  SELECT doc_id, text, doc_id % 10 = 0 AS whole, concat_ws('/', source,
+    CASE WHEN doc_id % 10 = 0 AND doc_id % 200 < 100 THEN NULL ELSE cast(doc_id % 7 AS VARCHAR) END,
+    CASE WHEN doc_id % 10 <> 0 THEN cast(doc_id % 3 AS VARCHAR) END,
+    CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path
+  FROM documents
+), templates AS (SELECT row_number() OVER () AS tid, name, body FROM (VALUES @NOTICES@) AS t(name, body)
+), twords AS (
+  SELECT tid, name, w, count(*) AS n FROM (
+    SELECT tid, name, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM templates
+  ) GROUP BY ALL
+), passages AS (
+  SELECT doc_id, i, unnest(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS w FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM files
+    UNION ALL SELECT doc_id, coalesce(text, ''), 0 FROM files WHERE whole)
+), pwords AS (SELECT doc_id, i, w, count(*) AS n FROM passages GROUP BY ALL
+), total AS (SELECT count(*) AS files FROM files
+), idf AS (
+  SELECT w, ln((max(files) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT w FROM twords) LEFT JOIN pwords USING (w), total GROUP BY w
+), norms AS (
+  SELECT doc_id, i, sqrt(sum((n * coalesce(idf, ln(files + 1) + 1)) ** 2)) AS norm
+  FROM pwords LEFT JOIN idf USING (w), total GROUP BY doc_id, i
+), tnorms AS (SELECT tid, sqrt(sum((n * idf) ** 2)) AS norm FROM twords JOIN idf USING (w) GROUP BY tid
+), likeness AS (
+  SELECT p.doc_id, t.name, round(sum(p.n * t.n * idf.idf * idf.idf) / (max(norms.norm) * max(tnorms.norm)), 6) AS likeness
+  FROM pwords p JOIN twords t USING (w) JOIN idf USING (w)
+  JOIN norms ON norms.doc_id = p.doc_id AND norms.i = p.i JOIN tnorms USING (tid)
+  GROUP BY p.doc_id, p.i, t.tid, t.name
+), own AS (
+  SELECT doc_id, name, likeness FROM likeness WHERE likeness >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY likeness DESC, name) = 1
+), marked AS (
+  SELECT doc_id, path, whole, name, likeness, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM files LEFT JOIN own USING (doc_id)
+), given AS (
+  SELECT directory, name, path FROM marked WHERE whole AND name IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY likeness DESC, name, path) = 1
+), nearest AS (
+  SELECT d.directory, g.name, g.path
+  FROM (SELECT DISTINCT directory FROM marked) d JOIN given g ON d.directory = g.directory OR starts_with(d.directory, g.directory || '/')
+  QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(g.directory) DESC) = 1
+)
+SELECT m.doc_id, m.path, m.name AS own_license, m.likeness AS similarity, coalesce(m.name, n.name) AS license,
+       CASE WHEN m.name IS NULL THEN n.path END AS inherited_from
+FROM marked m LEFT JOIN nearest n USING (directory)
+""".replace("@NOTICES@", _NOTICES)

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, line_dedup, lm, ngram_join, packing, tokens, toxicity, url_filter
+from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, tokens, toxicity, url_filter
 from tagloom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,30 @@ def op2_packing(spark, folder):
     return pieces(_table(spark, folder, "documents"))
 
 
+#: Notices of common licences.
+NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+]
+
+
+@query
+def op1_license_scan(spark, folder):
+    """Documents as files: a directory per source, two levels of numbers below, a licence file in ten."""
+    n = F.col("doc_id")
+    name = F.when(n % 10 == 0, F.concat(F.lit("LICENSE-"), n.cast("string"))).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    # Licence files with even hundreds stand at the top of their source, other files two levels deeper.
+    top = F.concat_ws("/", F.col("source"), F.when((n % 10 == 0) & (n % 200 < 100), F.lit(None)).otherwise((n % 7).cast("string")))
+    path = F.concat_ws("/", top, F.when(n % 10 != 0, (n % 3).cast("string")), name)
+    files = _table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files, NOTICES)
+
+
 RULES = [
     url_filter.Rule("com", "/", "allow"),
     url_filter.Rule("example.com", "/en/", "block"),
