@@ -269,7 +269,7 @@ def _prefixes(docs, text, width, percent, common) -> DataFrame:
     return found.groupBy("f1", "f2").agg(F.first("prefix").alias("prefix"))
 
 
-ENTRY = {"token": "<u8", "node": "<i8", "beyond": "<i8", "size": "<i4", "n": "<i4", "at": "<i4"}  # component = node - beyond
+ENTRY = {"token": "<u8", "node": "<i8", "beyond": "<i8", "size": "<i4", "n": "<i4", "at": "<i4"}  # component = node ^ beyond
 
 
 def _matrix(marked: DataFrame, bits: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _matrix(marked: DataFrame, bits: int) -> DataFrame:
                     seen.update((t, component, n) for t in tokens[new].tolist())
                     tokens, places = tokens[new], np.zeros(len(new), np.int32)  # place 0 excludes nothing
                 if len(tokens):
-                    held.append((tokens, places, node, node - component, size, n))
+                    held.append((tokens, places, node, node ^ component, size, n))
                     count += len(tokens)
                 if count > 400_000:
                     yield flush()
@@ -334,12 +334,12 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
         found: set[tuple] = set()
         for place in np.flatnonzero(np.diff(edges) > 1).tolist():
             rows = order[edges[place] : edges[place + 1]]
-            component = column["node"][rows] - column["beyond"][rows]
+            component = column["node"][rows] ^ column["beyond"][rows]
             if (component == component[0]).all():
                 continue
             rows = rows[np.argsort(column["n"][rows], kind="stable")]
             node, size = column["node"][rows], column["size"][rows].astype(np.int64)
-            component = node - column["beyond"][rows]
+            component = node ^ column["beyond"][rows]
             n, at = column["n"][rows].astype(np.int64), column["at"][rows].astype(np.int64)
             uppers = np.searchsorted(n, n * 100 // percent, side="right").tolist()
             for i in range(len(rows) - 1):
@@ -422,7 +422,7 @@ def join(
     nodes = sets.filter("n > 0").groupBy("f1", "f2").agg(
         F.min(F.coalesce("doc_id", F.lit(NONE))).alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("mins").alias("mins")
     )
-    nodes, shared = _own_ids(stored(nodes, "shingle-nodes"))
+    nodes, shared = _own_ids(stored(nodes, "shingle-nodes"), sets)
     links = _first_links(docs, nodes, text, width, rounds, percent).unionByName(shared)
     known = stored(components(links), "first-components")
 
@@ -449,17 +449,21 @@ def join(
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(answer != NONE, answer).alias("component_id"), "origin")
 
 
-def _own_ids(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give the sets of an id that several sets share numbers of their own, and edges to the shared id."""
-    shared = stored(nodes.groupBy("node").agg(F.count("*").alias("many")).filter("many > 1"), "shared-ids")
-    edges = nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+def _own_ids(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tie the sets of an id that several sets share to that id; sets named by it get numbers of their own."""
+    whole = sets.filter("n > 0").select(F.coalesce("doc_id", F.lit(NONE)).alias("id"), "f1", "f2")
+    ends = [f(c).alias(f"{c}{e}") for c in ("f1", "f2") for e, f in (("a", F.min), ("b", F.max))]
+    shared = whole.groupBy("id").agg(*ends, F.count("*").alias("many")).filter("f1a != f1b or f2a != f2b").select("id", "many")
+    shared = stored(shared, "shared-ids")
     if shared.isEmpty():
-        return nodes, edges
+        return nodes, nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    total = whole.count()
+    ties = join_by_weight(whole, shared, ["id"], "many", total, how="inner").select("id", "f1", "f2").distinct()
     own = F.lit(1 << 62) + F.xxhash64("f1", "f2").bitwiseAND(F.lit((1 << 62) - 1))  # above every common id
-    marked = join_by_weight(nodes, shared, ["node"], "many", nodes.count())
-    marked = stored(marked.withColumn("own", F.when(F.col("many").isNull(), F.col("node")).otherwise(own)), "shingle-nodes")
-    edges = marked.filter("many is not null").select(F.col("own").alias("a"), F.col("node").alias("b"))
-    return marked.drop("node", "many").withColumnRenamed("own", "node"), edges
+    marked = join_by_weight(nodes.withColumnRenamed("node", "id"), shared, ["id"], "many", total)
+    marked = marked.withColumn("node", F.when(F.col("many").isNull(), F.col("id")).otherwise(own)).drop("id", "many")
+    marked = stored(marked, "shingle-nodes")
+    return marked, ties.join(marked, ["f1", "f2"]).select(F.col("node").alias("a"), F.col("id").alias("b"))
 
 
 portable(__name__)
