@@ -63,8 +63,11 @@ def _triples(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return pairs >> 32, pairs & 0xFFFFFFFF, np.minimum(times, 4).astype(float)
 
 
-def _sample(labelled: DataFrame, text: str, label: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled rows, chosen by a hash of the text, with their hashed terms."""
+def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, max_rows: int) -> DataFrame:
+    """Hashed terms of the documents of at most ``max_rows`` labels, those with the smallest hashes of their ids.
+
+    Only these few ids and labels travel to the documents; no text is shuffled.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -72,27 +75,25 @@ def _sample(labelled: DataFrame, text: str, label: str, max_rows: int) -> DataFr
             terms = pa.array([sorted(t for w in ws for t in _of_word(w)) for ws in words], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), terms], names=["label", "terms"])
 
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    total = rows.count()
-    if total > max_rows:  # a uniform threshold on a hash keeps about max_rows, the limit makes the bound hard
-        share = int(min(1.0, 1.1 * max_rows / total) * (1 << 20))
-        rows = rows.filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 20)) < share).limit(max_rows)
-    return rows.mapInArrow(hashed, "label int, terms array<int>")
+    marks = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"))
+    chosen = marks.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.select("label", "text").mapInArrow(hashed, "label int, terms array<int>")
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = 10_000, max_terms: int = 1 << 13,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id",
+    max_rows: int = 10_000, max_terms: int = 1 << 13,
     min_rows: int = 4, factors: int = 4, rounds: int = 60, shrink: float = 0.06, seed: int = 7,
 ) -> Machine:
-    """Train on at most ``max_rows`` labelled rows (rows with a null label are left out).
+    """Train on the documents of at most ``max_rows`` labels (null labels and null ids are left out).
 
     Of the terms found in ``min_rows`` rows or more, the ``max_terms`` whose shares differ most
     between the labels get weights. Proximal steps with soft thresholds (``shrink`` over the root of
     the row count) drive the weights of uninformative terms to zero, so long clean texts do not add
-    up noise. Without rows, or with one
-    label only, the machine returns that share of ones.
+    up noise. Without rows, or with one label only, the machine returns that share of ones.
     """
-    sample = stored(_sample(labelled, text, label, max_rows), "toxicity-sample")
+    sample = stored(_sample(docs, labels, text, label, key, max_rows), "toxicity-sample")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
     n, ones = max(1, totals["n"]), totals["ones"]
     gap = F.abs(F.col("ones") / max(1, ones) - (F.col("rows") - F.col("ones")) / max(1, n - ones))
