@@ -127,7 +127,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]], path: str = "pa
     parts = F.split("directory", "/")
     above = directories.select("directory", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
     above = above.withColumn("parent", F.array_join(F.slice(F.split("directory", "/"), F.lit(1), F.col("depth")), "/"))
-    above = stored(above.filter("depth > 0 or directory = ''"), "directory-parents")
+    above = stored(above, "directory-parents")
     weights = above.groupBy(F.col("parent").alias("directory")).agg(F.count("*").alias("below"))
     offered = given.join(weights, "directory").withColumnRenamed("directory", "parent")
     met = join_by_weight(above, offered, ["parent"], "below", max(1, above.count()), how="inner")

@@ -40,7 +40,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _margin(rows, places, values, n, linear, factors):
     """Weights plus pair weights of each row, and the sum of its factors."""
-    margin = np.bincount(rows, linear[places] * values, n)
+    margin = np.bincount(rows, linear[places] * values, n).astype(float)  # without terms it counts in integers
     sums = np.empty((n, factors.shape[1]))
     for k in range(factors.shape[1]):
         v = factors[places, k] * values
