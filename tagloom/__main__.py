@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
-from tagloom.operators import language, split
+from tagloom.operators import language, rows, split
 from tagloom.plans import prepare, train
 from tagloom.sources import stores, tsv
 
@@ -18,30 +18,33 @@ VOTED = (
 )
 
 
-def _language_filter(spark: SparkSession, args: argparse.Namespace, key: str):
+def _language_filter(spark: SparkSession, args: argparse.Namespace):
     """Keep English texts by the profile of a labelled table, where one is given."""
     if not args.language_table:
         return None
     labelled = spark.read.parquet(args.language_table)
-    languages = sorted(row["lang"] for row in labelled.select("lang").distinct().limit(1000).collect())
+    labelled = labelled.filter("lang is not null")
+    languages = sorted(row["lang"] for row in labelled.select("lang").distinct().collect())  # one row per language
     profile = language.language_profile(labelled)
-    return lambda df: language.keep_language(df, profile, languages, "en", "abstract", key)
+    return lambda df: language.keep_language(df, profile, languages, "en", "abstract")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    """Rows numbered in the order of their contents, so ids do not depend on how rows lie in files."""
+    return rows.dense_index(df, F.md5(F.to_json(F.struct(*df.columns))), *[F.asc(name) for name in df.columns], out="row_id")
 
 
 def prepare_titled(spark: SparkSession, args: argparse.Namespace) -> None:
-    raw = _numbered(tsv.read_tsv(spark, args.input, TITLED))
-    corpus = prepare.prepare_titled(raw, _language_filter(spark, args, "row_id"))
+    raw = _numbered(tsv.read_tsv(spark, args.input, TITLED, multi_line=True))
+    prepare.rejected_labels(raw).write.mode("overwrite").parquet(f"{args.output.rstrip('/')}-rejected")
+    corpus = prepare.prepare_titled(raw, _language_filter(spark, args))
     corpus.write.mode("overwrite").parquet(args.output)
 
 
 def prepare_voted(spark: SparkSession, args: argparse.Namespace) -> None:
     lines = spark.read.text(args.input).select(text.strip_quotes(F.col("value")).alias("value"))
-    rows = tsv.parse_tsv_lines(lines.filter(~F.col("value").startswith("doi\t")), VOTED)
-    corpus = prepare.prepare_voted(_numbered(rows), _language_filter(spark, args, "row_id"))
+    voted = tsv.parse_tsv_lines(lines.filter(~F.col("value").startswith("doi\t")), VOTED)
+    corpus = prepare.prepare_voted(_numbered(voted), _language_filter(spark, args))
     corpus.select("row_id", "sdg", "abstract").write.mode("overwrite").parquet(args.output)
 
 
@@ -56,6 +59,13 @@ def merge(spark: SparkSession, args: argparse.Namespace) -> None:
     prepare.merge_corpora(parts, na_rep="NA").write.mode("overwrite").parquet(args.output)
 
 
+def merge_split(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Merge corpora that are split already; every row keeps its part."""
+    parts = [(name, spark.read.parquet(path)) for name, path in (part.split("=", 1) for part in args.input.split(","))]
+    merged = prepare.merge_split_corpora(parts, na_rep="NA")
+    merged.write.mode("overwrite").partitionBy("split").parquet(args.output)
+
+
 def label_docs(spark: SparkSession, args: argparse.Namespace) -> None:
     corpus = spark.read.parquet(args.input).select("row_id", "sdg", "abstract", "split")
     named = corpus.withColumn("dataset", F.lit(args.name))
@@ -67,7 +77,20 @@ def train_linear(spark: SparkSession, args: argparse.Namespace) -> None:
     conditions = {
         name: used for name, used in train.model.CONDITIONS.items() if all(column in corpus.columns for column in used)
     }
-    train.run_ablation(corpus, args.output, range(1, args.classes + 1), args.name, conditions)
+    train.run_ablation(corpus, args.output, range(1, args.classes + 1), args.name, conditions, seed=args.seed)
+
+
+def train_ngrams(spark: SparkSession, args: argparse.Namespace) -> None:
+    corpus = spark.read.parquet(args.input).withColumn("is_test", F.col("split") == "test")
+    train.run_ngrams(corpus, args.output, range(1, args.classes + 1), args.name, seed=args.seed)
+
+
+def cross_corpus(spark: SparkSession, args: argparse.Namespace) -> None:
+    """``--input`` names the corpus trained on and the one tested on: name=path,name=path."""
+    (own, path), (other, other_path) = (part.split("=", 1) for part in args.input.split(","))
+    corpus = spark.read.parquet(path).withColumn("is_test", F.col("split") == "test")
+    tested = spark.read.parquet(other_path).filter("split = 'test'")
+    train.run_cross_corpus(corpus, tested, args.output, range(1, args.classes + 1), own, other, seed=args.seed)
 
 
 def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -80,8 +103,11 @@ STEPS = {
     "prepare-voted": prepare_voted,
     "split": split_corpus,
     "merge": merge,
+    "merge-split": merge_split,
     "label-docs": label_docs,
     "train": train_linear,
+    "train-ngrams": train_ngrams,
+    "cross-corpus": cross_corpus,
     "evaluate": evaluate,
 }
 
@@ -89,7 +115,7 @@ STEPS = {
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tagloom", description=__doc__)
     parser.add_argument("step", choices=STEPS)
-    parser.add_argument("--input", required=True, help="a path; for merge: name=path,name=path")
+    parser.add_argument("--input", required=True, help="a path; for merge, merge-split and cross-corpus: name=path,name=path")
     parser.add_argument("--output", required=True)
     parser.add_argument("--name", default="corpus", help="the data set's name in stored results")
     parser.add_argument("--classes", type=int, default=17)

@@ -46,7 +46,7 @@ def argmax_map(probabilities: Column) -> Column:
 def predictions_table(
     docs: DataFrame, probabilities: DataFrame, labels: Sequence[int], key: str = "row_id", label: str = "sdg"
 ) -> DataFrame:
-    """Documents with their best label and its probability, matched by key."""
+    """Documents with their best label and its probability, matched by key; null where there is none."""
     best = argmax_array(F.col("probs"), labels)
     found = probabilities.select(key, best.alias("_best"))
-    return docs.withColumnRenamed(label, "label").join(found, key).select("*", "_best.*").drop("_best")
+    return docs.withColumnRenamed(label, "label").join(found, key, "left").select("*", "_best.*").drop("_best")

@@ -116,19 +116,28 @@ def encode_categories(
 ) -> DataFrame:
     """Replace category columns by their one-hot vectors ``<column>_encoded``.
 
-    With ``na_rep`` missing and empty values are one category of that name; without it they raise.
+    With ``na_rep`` missing and empty values are one category of that name; without it a null raises
+    here, however many categories there are. Both ways below give the same rows and vectors.
     A fitted indexer keeps its categories on the driver, so it takes only the columns that have few
     of them. A column with many, such as author keys, is numbered by a distributed sort and joined.
     """
     if na_rep is not None:
         df = df.withColumns({name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(na_rep)) for name in columns})
-    distinct = df.agg(*[F.approx_count_distinct(name).alias(name) for name in columns]).first()
-    few = [name for name in columns if distinct[name] <= max_categories]
+    seen = df.agg(
+        *[F.approx_count_distinct(name).alias(name) for name in columns],
+        *[F.count_if(F.col(name).isNull()).alias(f"_holes_{name}") for name in columns],
+    ).first()
+    if holes := [name for name in columns if seen[f"_holes_{name}"]]:
+        raise ValueError(f"null categories in {holes}; na_rep gives them a name")
+    few = [name for name in columns if seen[name] <= max_categories]
     if few:
         df = category_encoder(few).fit(df).transform(df)
     for name in sorted(set(columns) - set(few)):
-        index = string_index(df, name).select(name, F.col(f"{name}_indexed").cast("double"))
-        df = df.join(pin_small(index, max_categories), name)
+        index = string_index(df, name).withColumn(f"{name}_indexed", F.col(f"{name}_indexed").cast("double"))
+        # a category of over a thousandth of the rows is broadcast: there are fewer than a thousand of them
+        hot = F.col("n") * 1000 > df.count()
+        common, rare = F.broadcast(index.filter(hot).drop("n")), index.filter(~hot).drop("n")
+        df = df.join(common, name).unionByName(df.join(common, name, "left_anti").join(rare, name))
         df = OneHotEncoder(inputCol=f"{name}_indexed", outputCol=f"{name}_encoded").fit(df).transform(df)
     return df.drop(*columns, *[f"{name}_indexed" for name in columns])
 
@@ -141,20 +150,27 @@ def fit_embedding(
     vector_size: int = 10,
     min_count: int = 3,
     seed: int = 0,
-    partitions: int | None = None,
+    partitions: int = 8,
+    max_iter: int = 1,
+    max_words: int = 10_000_000,
 ) -> Word2VecModel:
     """Fit word vectors; a document's vector is the mean over its words.
 
-    Training runs over ``partitions`` tasks, one per core unless given. Spark's tasks then train on
-    shared arrays, so two fits differ a little. One task, fed in key order, always gives the same
-    vectors whatever the files look like; that is for corpora that a single task can train on.
+    Training runs over ``partitions`` tasks, a number that does not follow the cluster; more of them
+    want more passes (``max_iter``). Spark's tasks train on shared arrays, so two fits differ a
+    little. One task, fed in key order, always gives the same vectors whatever the files look like;
+    that is for corpora that a single task can train on. Spark holds the vocabulary on the driver:
+    more than ``max_words`` words of ``min_count`` occurrences raise before the fit.
     """
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     rows = df.select(key, tokens)
+    words = vocabulary(rows, tokens, min_count).count()
+    if words > max_words:
+        raise ValueError(f"{words} words occur {min_count} times; raise min_count or max_words")
     placed = rows.repartition(1).sortWithinPartitions(key) if partitions == 1 else rows
     word2vec = Word2Vec(
-        vectorSize=vector_size, minCount=min_count, numPartitions=partitions, inputCol=tokens, outputCol=out, seed=seed
-    )
+        vectorSize=vector_size, minCount=min_count, numPartitions=partitions, maxIter=max_iter,
+        inputCol=tokens, outputCol=out, seed=seed,
+    )
     return word2vec.fit(placed)
 
 

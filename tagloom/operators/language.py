@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tagloom.functions.text import char_ngrams, collapse_whitespace
 from tagloom.operators.features import each, item_counts
@@ -47,37 +48,47 @@ def detect_language(
     profile: DataFrame,
     languages: Sequence[str],
     text: str = "text",
-    key: str = "doc_id",
     out: str = "detected",
     n: int = 3,
     max_grams: int = 1_000_000,
 ) -> DataFrame:
-    """Add the language of each text; null where the text has no known n-gram.
+    """Add the language of each text; null where the text is null or has no known n-gram.
 
-    With more than ``max_grams`` n-grams in the profile, texts are scored by a join on the n-gram,
-    and ``key`` brings the scores back to the rows.
+    Rows need no key. A profile of at most ``max_grams`` n-grams goes to every task and texts are
+    scored where they lie. With a larger one, texts meet it by a join on the n-gram, and the scores
+    come back by a hash of the text; the answers are the same.
     """
     languages = sorted(languages)
     counts = gram_counts(profile, languages)
-    if n * POINT_BITS < 64:
-        small = counts.limit(max_grams + 1).toArrow()
-        if small.num_rows <= max_grams:
-            score = _scorer(df, small.to_pandas(), languages, n)
-            return df.withColumn(out, score(_squeezed(text)))
-    return df.join(_detect_by_join(df, counts, languages, text, key, out, n), key, "left")
+    counts.persist(StorageLevel.MEMORY_AND_DISK)
+    if counts.count() <= max_grams:
+        small = counts.toPandas()
+        counts.unpersist()
+        score = _scorer(df, small, languages, n)
+        return df.withColumn(out, score(_squeezed(text)))
+    marked = df.withColumn("_text_hash", F.md5(text))
+    return marked.join(_detect_by_join(marked, counts, languages, text, "_text_hash", out, n), "_text_hash", "left").drop("_text_hash")
 
 
 def _detect_by_join(
     df: DataFrame, counts: DataFrame, languages: Sequence[str], text: str, key: str, out: str, n: int
 ) -> DataFrame:
-    """``(key, out)``: a text's different n-grams meet their counts by a join, and scores are summed per text."""
+    """``(key, out)``: a text's different n-grams meet their counts by a join, and scores are summed per text.
+
+    Equal texts share a key, which scales their sums alike and leaves the best language as it is.
+    """
     places = range(len(languages))
     total = counts.agg(F.count("*").alias("grams"), *[F.sum(f"n{i}").alias(f"n{i}") for i in places]).first()
     below = [float(total["grams"] + (total[f"n{i}"] or 0)) for i in places]
-    weights = counts.select("gram", *[F.log((F.col(f"n{i}") + 1) / below[i]).alias(f"w{i}") for i in places])
+    logs = [F.log((F.col(f"n{i}") + 1) / below[i]).alias(f"w{i}") for i in places]
+    weights = counts.select("gram", sum((F.col(f"n{i}") for i in places), F.lit(0)).alias("seen"), *logs)
     grams = item_counts(df, char_ngrams(_squeezed(text), n), "gram", [key])
+    # n-grams of over a thousandth of the profile, fewer than a thousand, are broadcast; the rest is never hot
+    hot = F.col("seen") * 1000 > sum((total[f"n{i}"] or 0) for i in places)
+    common, rare = F.broadcast(weights.filter(hot)), weights.filter(~hot)
+    met = grams.join(common, "gram").unionByName(grams.join(common, "gram", "left_anti").join(rare, "gram"))
     sums = F.array(*[F.sum(F.col("n") * F.col(f"w{i}")) for i in places])
-    scores = grams.join(weights, "gram").groupBy(key).agg(sums.alias("_scores"))
+    scores = met.groupBy(key).agg(sums.alias("_scores"))
     best = F.array_position("_scores", F.array_max("_scores")).cast("int")
     names = F.array(*[F.lit(name) for name in languages])
     return scores.select(key, F.element_at(names, best).alias(out))
@@ -89,10 +100,9 @@ def keep_language(
     languages: Sequence[str],
     language: str = "en",
     text: str = "text",
-    key: str = "doc_id",
 ) -> DataFrame:
     """The rows whose text is in one language; the helper column does not stay."""
-    found = detect_language(df, profile, languages, text, key, out="_detected")
+    found = detect_language(df, profile, languages, text, out="_detected")
     return found.filter(F.col("_detected") == language).drop("_detected")
 
 
@@ -108,11 +118,15 @@ def _packer(n: int):
     """
 
     def packed(text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         length = max(len(points) - n + 1, 0)
-        grams = np.zeros(length, dtype=np.int64)
+        grams = np.zeros(length, dtype=np.uint64)
         for place in range(n):
-            grams = (grams << POINT_BITS) | points[place : place + length]
+            if n * POINT_BITS < 64:
+                grams <<= np.uint64(POINT_BITS)
+            else:  # longer n-grams are hashed to 64 bits
+                grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            grams += points[place : place + length]
         return grams
 
     return packed

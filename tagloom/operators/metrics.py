@@ -65,7 +65,11 @@ def confusion_matrix(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) ->
 def confusion_by_condition(
     df: DataFrame, labels_of: Mapping[object, Labels], keys: Sequence[str] = (), condition: str = "condition"
 ) -> DataFrame:
-    """Confusion matrices where each condition has a label list of its own."""
+    """Confusion matrices where each condition has a label list of its own; a condition without one raises."""
+    known = F.col(condition).isin(*labels_of)
+    error = F.raise_error(F.concat(F.lit("no label list for condition "), F.coalesce(F.col(condition).cast("string"), F.lit("null"))))
+    kind = df.schema[condition].dataType
+    df = df.withColumn(condition, F.when(known, F.col(condition)).otherwise(error.cast(kind)))
     matrices = [
         confusion_matrix(
             df.filter(F.col(condition).isin(*[name for name in labels_of if tuple(labels_of[name]) == listed])),
@@ -150,7 +154,7 @@ def averages(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) -> DataFra
 
 
 def overall(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) -> DataFrame:
-    """The ``accuracy`` row, or ``micro avg`` when some observed label is not on the list."""
+    """The ``accuracy`` row, or ``micro avg`` when some observed label is null or not on the list."""
     counts = pair_counts(df, keys)
     true_listed, pred_listed = F.col("label").isin(*labels), F.col("prediction").isin(*labels)
     n, equal = F.col("n"), F.col("label") == F.col("prediction")
@@ -158,7 +162,7 @@ def overall(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) -> DataFram
         F.coalesce(F.sum(F.when(equal & true_listed, n)), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(pred_listed, n)), F.lit(0)).alias("predicted"),
         F.coalesce(F.sum(F.when(true_listed, n)), F.lit(0)).alias("support"),
-        F.bool_and(true_listed & pred_listed).alias("all_listed"),
+        F.bool_and(F.coalesce(true_listed & pred_listed, F.lit(False))).alias("all_listed"),
     )
     return _with_scores(sums).select(
         *keys,
@@ -178,10 +182,13 @@ def full_report(df: DataFrame, labels: Labels, keys: Sequence[str] = (), prefix:
 
 
 def report_text(report: DataFrame, digits: int = 4) -> DataFrame:
-    """The rows of a full report as right-aligned text with fixed decimals."""
+    """The rows of a full report as right-aligned text with fixed decimals, under ``report_header``.
+
+    Decimals are those nearest to the binary value, ties to even, as C prints them.
+    """
 
     def number(name: str) -> Column:
-        return F.lpad(F.format_string(f"%.{digits}f", F.bround(name, digits)), 9, " ")
+        return F.lpad(_printed(F.col(name), digits), 9, " ")
 
     only_f1 = F.col("label") == "accuracy"
     blank = F.lit(" " * 9)
@@ -196,6 +203,29 @@ def report_text(report: DataFrame, digits: int = 4) -> DataFrame:
     return report.withColumn("text", text)
 
 
+def report_header() -> str:
+    """The line above a printed report."""
+    return " ".join([" " * 12, *[name.rjust(9) for name in ("precision", "recall", "f1-score", "support")]])
+
+
+def _printed(value: Column, digits: int) -> Column:
+    """A score rounded by its exact binary value, ties to even.
+
+    Twice the scaled value is computed with its rounding error (the value is split into two halves of
+    its bits, whose products are exact), so the comparison with a tie is exact as well.
+    """
+    twice = F.lit(float(2 * 10**digits))
+    near = value * twice
+    wide = value * F.lit(134217729.0)  # 2**27 + 1 splits the 53 bits
+    high = wide - (wide - value)
+    error = (high * twice - near) + (value - high) * twice
+    low = F.floor(near / 2)
+    gap = (near - (2 * low + 1)) + error
+    whole = low + F.when(gap > 0, 1).when(gap < 0, 0).otherwise(low % 2)
+    above = F.floor(whole / 10**digits).cast("string")
+    return F.concat(above, F.lit("."), F.lpad((whole % 10**digits).cast("string"), digits, "0"))
+
+
 def category_scores(df: DataFrame, labels: Labels, probabilities: str = "probs") -> DataFrame:
     """Scores of label probabilities: per-label, micro and macro P, R and F1, and ROC AUC.
 
@@ -223,22 +253,24 @@ def label_auc(
 ) -> DataFrame:
     """One-vs-rest area under the ROC curve per label; null when a label has only one side.
 
-    The area is the share of (positive, negative) pairs that the score puts in order, ties half.
+    The area is the share of (positive, negative) pairs that the score puts in order, ties half. A
+    score that is null or not a number ranks below all others.
     Equal scores are merged first. The merged scores are cut at quantiles, pairs inside a bucket
     are counted by a window over that bucket alone, and pairs across buckets follow from the
     bucket totals, so that no task has to sort all rows of a label.
     """
     names = F.array(*[F.lit(value) for value in labels])
+    bottom = F.lit(-math.inf)
     scored = df.select("label", F.posexplode(probabilities).alias("_at", "score")).select(
-        F.get(names, F.col("_at")).alias("_label"), "score", F.col("label").alias("_true")
+        F.get(names, F.col("_at")).alias("_label"), F.coalesce(F.nanvl("score", bottom), bottom).alias("score"), F.col("label").alias("_true")
     )
     is_hit = F.col("_true") == F.col("_label")
     merged = scored.groupBy(F.col("_label").alias("label"), "score").agg(
         F.count_if(is_hit).alias("pos"), F.count_if(~is_hit).alias("neg")
     )
-    buckets = min(4_000, 1 + df.count() // rows_per_bucket)
+    buckets = 1 + df.count() // rows_per_bucket
     if buckets > 1:
-        scores = df.select(F.explode(probabilities).alias("score"))
+        scores = scored.filter(F.col("score") > bottom).select("score")
         cuts = scores.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
         bounds = [-math.inf, *sorted({0.0, *cuts}), math.inf]
         bucketed = Bucketizer(splits=bounds, inputCol="score", outputCol="_bucket").transform(merged)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tagloom.session import checkpoint_dir, pin_small
 
@@ -67,32 +66,15 @@ def concat_corpora(
     return number_keys(merged, "_part", "subset_index", key).drop("_part")
 
 
-def number_keys(df: DataFrame, part: str, key: str, out: str, buckets: int = 65_536) -> DataFrame:
-    """Dense numbers from 0 in (part, key) order, for a unique integer key in each part.
+def number_keys(df: DataFrame, part: str, key: str, out: str) -> DataFrame:
+    """Dense numbers from 0 in (part, key) order, for a key that is unique and not null in each part.
 
-    Keys are cut into ranges of equal width. Unique integers cannot crowd a range beyond its width,
-    so one source holding most rows is still numbered by many tasks. Only the row count per range
-    is summed up in one place.
+    Only the narrow keys are sorted, in ranges cut at sampled quantiles, so outlying or hashed keys
+    crowd no range. The numbers come back to the rows by the key; a null key raises.
     """
-    keys = df.select(part, key).persist(StorageLevel.MEMORY_AND_DISK)
-    low, high = keys.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    width = (high - low) // buckets + 1
-    cut = F.expr(f"({key} - {low}L) div {width}L")
-    counts = keys.groupBy(part, cut.alias("_range")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(part, "_range").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counts.select(part, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    offsets = pin_small(counted, max_rows=10 * buckets)
-    if offsets is not counted:
-        keys.unpersist()
-    within = F.row_number().over(Window.partitionBy(part, "_range").orderBy(key))
-    return (
-        df.withColumn("_range", cut)
-        .join(offsets, [part, "_range"])
-        .withColumn(out, F.col("_offset") + within - 1)
-        .drop("_range", "_offset")
-    )
+    known = F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(F.lit(f"null in {key}")))
+    keys = df.select(part, known.alias(key))
+    return df.join(dense_index(keys, F.asc(part), F.asc(key), out=out), [part, key])
 
 
 def dense_index(df: DataFrame, *order: Column, out: str = "index") -> DataFrame:

@@ -20,8 +20,8 @@ SKEWED = DOCS + """, docs_skewed AS (
 VOTES = """votes AS (
   SELECT user_id, CAST(pos AS INTEGER) AS labels_positive, CAST(neg AS INTEGER) AS labels_negative,
          CAST(abs(pos - neg) AS DOUBLE) / nullif(pos + neg, 0) AS agreement
-  FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS pos,
-               count(*) FILTER (event_type = 'error') AS neg FROM events GROUP BY user_id))"""
+  FROM (SELECT event_id // 10 AS user_id, count(*) FILTER (event_type = 'purchase') AS pos,
+               count(*) FILTER (event_type = 'error') AS neg FROM events GROUP BY event_id // 10))"""
 
 
 def _preds(seeds: str = "(0)") -> str:
@@ -35,10 +35,10 @@ def _preds(seeds: str = "(0)") -> str:
 PREDS = _preds()
 GRID_PREDS = _preds("(0), (13), (27), (30), (77)")
 
-PROBS = """lifted AS (
-  SELECT vec_id, label + 1 AS label,
-         list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE) - list_min(embedding[1:10])::DOUBLE + 0.1::DOUBLE) AS v
-  FROM embeddings), probs AS (
+_SUMS = ", ".join(" + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(start, 64, 10)) for start in range(10))
+PROBS = f"""tenths AS (SELECT vec_id, label, [{_SUMS}] AS s FROM embeddings), lifted AS (
+  SELECT vec_id, label + 1 AS label, list_transform(s, lambda v: v - list_min(s) + 0.1::DOUBLE) AS v
+  FROM tenths), probs AS (
   SELECT vec_id, label, list_transform(v, lambda x: round(x / list_sum(v), 6)) AS probs FROM lifted)"""
 
 
@@ -309,7 +309,7 @@ SELECT vec_id, CAST(list_position(probs, list_max(probs)) AS VARCHAR) AS predict
 ORACLES["predictions_table"] = f"""WITH {DOCS}, {PROBS}
 SELECT row_id, abstract, sdg AS label, CAST(list_position(probs, list_max(probs)) AS INTEGER) AS prediction,
        list_max(probs) AS probability
-FROM docs JOIN probs ON vec_id = row_id"""
+FROM docs LEFT JOIN probs ON vec_id = row_id"""
 
 
 def _confusion(preds: str, labels: str, keys: str = "") -> str:
@@ -418,7 +418,7 @@ SELECT label, {_ROUNDED}, support, round(auc, 6) AS auc FROM scores"""
 
 
 def _number(name: str) -> str:
-    return f"lpad(printf('%.4f', round_even({name}, 4)), 9, ' ')"
+    return f"lpad(printf('%.4f', {name}), 9, ' ')"
 
 
 ORACLES["report_text"] = f"""WITH {_report(PREDS, 'range(1, 9)')}, {_averages()}, lines AS (
@@ -442,8 +442,8 @@ ORACLES["predictions_scan"] = f"""WITH {PREDS}
 SELECT label, prediction, count(*) AS n FROM preds GROUP BY label, prediction"""
 
 _STORE_PREDS = PREDS + """, keyed AS (
-  SELECT 'm' || model AS model, 'a' AS train_set, 't' || condition AS test_set, label, prediction FROM preds)"""
-_STORE_KEYS = "model, train_set, test_set"
+  SELECT 'm' || model AS model, 'a' AS train_set, 't' || condition AS test_set, CAST(seed AS VARCHAR) AS seed, label, prediction FROM preds)"""
+_STORE_KEYS = "model, train_set, test_set, seed"
 _STORE_REPORT = _report("preds AS (SELECT * FROM keyed)", "range(1, 18)", _STORE_KEYS).replace("preds", "stored")
 _STORE_OVERALL = _overall(17, _STORE_KEYS).replace("FROM preds", "FROM stored")
 
@@ -465,3 +465,37 @@ ORACLES["lr_predict_rules"] = f"""WITH vectors AS (SELECT vec_id AS row_id, labe
 {_split('flagged', 'vectors', 0.3, 'is_test')}
 SELECT row_id, sdg AS label, CAST((SELECT max(sdg) FROM flagged WHERE NOT is_test) + 1 AS INTEGER) AS slots,
        true AS sums_to_one, true AS is_best FROM flagged WHERE is_test"""
+
+ORACLES["text_round_trip"] = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN '"' || text || '" "q"'
+  WHEN 2 THEN chr(9) || text ELSE text END AS text FROM documents"""
+
+ORACLES["encode_many"] = ORACLES["one_hot_index"]
+ORACLES["lang_detect_join"] = ORACLES["lang_detect"]
+
+ORACLES["rejected_rows"] = f"""WITH {DOCS}
+SELECT row_id, CASE WHEN row_id % 14 = 0 THEN 'no label' END AS sdg FROM docs WHERE row_id % 7 = 0"""
+
+ORACLES["stored_runs"] = f"""WITH {_preds("(0), (13)")}, runs AS (
+  SELECT 'a' AS train_set, 'a' AS test_set, seed, label, prediction FROM preds WHERE condition = 0
+  UNION ALL SELECT 'ab', 'ab', seed, label, prediction FROM preds
+  UNION ALL SELECT 'ab', CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END, seed, label, prediction FROM preds
+  UNION ALL SELECT 'b', 'a', seed, label, prediction FROM preds WHERE condition = 1)
+SELECT 'linear' AS model, train_set, test_set, CAST(seed AS VARCHAR) AS seed, prediction, label, count(*) AS n
+FROM runs GROUP BY ALL"""
+
+ORACLES["w2v_rules"] = f"""WITH {DOCS} SELECT row_id, 10 AS dims, true AS is_mean FROM docs"""
+
+
+def _rules(name: str, source: str, more: str = "") -> str:
+    return f"""{_split(name, source, 0.3, 'is_test')}, {name}_rules AS (SELECT row_id, sdg AS label, {more}
+  true AS sums_to_one, true AS is_best FROM {name} WHERE is_test)"""
+
+
+ORACLES["ablation_rules"] = f"""WITH {DOCS}, {_rules('flagged', 'docs')}
+SELECT r.*, c.condition FROM flagged_rules r, (VALUES ('authors'), ('default'), ('none')) c(condition)"""
+
+ORACLES["cross_corpus_rules"] = f"""WITH {DOCS}, a AS (SELECT * FROM docs WHERE faculty = 'en'), b AS (SELECT * FROM docs WHERE faculty <> 'en'),
+{_rules('own', 'b')}, {_rules('other', 'a')}
+SELECT *, 'own' AS test_set FROM own_rules UNION ALL SELECT *, 'other' FROM other_rules"""
+
+ORACLES["bow_rules"] = f"""WITH {DOCS}, {_rules('flagged', 'docs')} SELECT * FROM flagged_rules"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import labels as lab
 from tagloom.functions import text
 from tagloom.operators import features, filters, language, metrics, model, rows, split
-from tagloom.plans import prepare
+from tagloom.plans import prepare, train
 from tagloom.session import scratch_path, spread
 from tagloom.sources import stores, tables, tsv
 
@@ -164,10 +164,17 @@ def prepared_titled(spark, folder):
     labelled = _texts_with_language(spark, folder)
     profile = language.language_profile(labelled)
     raw = spread(tables.docs(spark, folder), "row_id").withColumn("sdg", F.col("raw_label")).drop("raw_label")
-    english = lambda df: language.keep_language(df, profile, LANGUAGES, "en", "abstract", "row_id")
+    english = lambda df: language.keep_language(df, profile, LANGUAGES, "en", "abstract")
     return prepare.prepare_titled(raw, english)
 
 
+@query
+def rejected_rows(spark, folder):
+    label = F.when(F.col("row_id") % 14 == 0, "no label").when(F.col("row_id") % 7 != 0, F.col("raw_label"))
+    raw = tables.docs(spark, folder).select("row_id", label.alias("sdg"))
+    return prepare.rejected_labels(raw)
+
+
 @query
 def prepared_voted(spark, folder):
     """The whole preparation of a voted corpus: agreement, votes against, language."""
@@ -324,10 +331,9 @@ def string_index(spark, folder):
     return features.string_index(tables.docs(spark, folder), "faculty")
 
 
-@query
-def one_hot_index(spark, folder):
+def _slots(spark: SparkSession, folder: str, **options) -> DataFrame:
     docs = tables.docs(spark, folder).select("row_id", "faculty", "year")
-    encoded = features.encode_categories(docs, ["faculty", "year"])
+    encoded = features.encode_categories(docs, ["faculty", "year"], **options)
     slots = {name: features.vector_to_array(f"{name}_encoded") for name in ("faculty", "year")}
     return encoded.select(
         "row_id",
@@ -336,6 +342,17 @@ def one_hot_index(spark, folder):
     )
 
 
+@query
+def one_hot_index(spark, folder):
+    return _slots(spark, folder)
+
+
+@query
+def encode_many(spark, folder):
+    """The same by the way for columns of many categories."""
+    return _slots(spark, folder, max_categories=0)
+
+
 # --- language ----------------------------------------------------------------------------------
 
 
@@ -357,6 +374,14 @@ def lang_detect(spark, folder):
     return language.detect_language(docs, language.language_profile(docs), LANGUAGES).select("doc_id", "detected")
 
 
+@query
+def lang_detect_join(spark, folder):
+    """The same by a join with the profile, as for profiles that no task can hold."""
+    docs = _texts_with_language(spark, folder)
+    found = language.detect_language(docs, language.language_profile(docs), LANGUAGES, max_grams=0)
+    return found.select("doc_id", "detected")
+
+
 @query
 def lang_filter_detected(spark, folder):
     docs = _texts_with_language(spark, folder)
@@ -472,6 +497,17 @@ def tsv_round_trip(spark, folder):
     return _rounded(back, "agreement")
 
 
+@query
+def text_round_trip(spark, folder):
+    """Whole texts with blanks at their ends, quotes, tabs and line breaks."""
+    path = scratch_path(spark, "texts-tsv")
+    turn, body = F.col("doc_id") % 4, F.col("text")
+    padded = F.when(turn == 0, F.concat(F.lit("  "), body, F.lit(" "))).when(turn == 1, F.concat(F.lit('"'), body, F.lit('" "q"')))
+    padded = padded.when(turn == 2, F.concat(F.lit("\t"), body)).otherwise(body)
+    tsv.write_tsv(tables.documents(spark, folder).select("doc_id", padded.alias("text")), path, rows_per_file=10_000)
+    return tsv.read_tsv(spark, path, "doc_id bigint, text string", keep_default_na=False, multi_line=True)
+
+
 @query
 def quoted_lines_scan(spark, folder):
     path = scratch_path(spark, "quoted-lines")
@@ -511,7 +547,12 @@ def predictions_scan(spark, folder):
 def json_report(spark, folder):
     path = scratch_path(spark, "reports")
     preds = tables.preds(spark, folder).withColumns(
-        {"model": F.concat(F.lit("m"), "model"), "train_set": F.lit("a"), "test_set": F.concat(F.lit("t"), "condition")}
+        {
+            "model": F.concat(F.lit("m"), "model"),
+            "train_set": F.lit("a"),
+            "test_set": F.concat(F.lit("t"), "condition"),
+            "seed": F.col("seed").cast("string"),
+        }
     )
     stores.write_report(metrics.full_report(preds, LABELS, stores.REPORT_KEYS), path)
     return _rounded(stores.read_report(spark, path), "precision", "recall", "f1")
@@ -578,17 +619,80 @@ def lr_predict_rules(spark, folder):
 
 @query
 def ablation(spark, folder):
-    return model.feature_ablation(_split_tokens(spread(tables.authored_docs(spark, folder), "row_id")), max_iter=20)
+    return model.feature_ablation(_split_tokens(spread(tables.authored_docs(spark, folder), "row_id")))
 
 
 @query
 def cross_corpus(spark, folder):
     trained = _split_tokens(spread(tables.corpus_b(spark, folder), "row_id"))
     other = _split_tokens(spread(tables.corpus_a(spark, folder).select("row_id", "sdg", "abstract"), "row_id"))
-    return model.cross_corpus(trained, other.filter("is_test"), max_iter=20)
+    return model.cross_corpus(trained, other.filter("is_test"))
 
 
 @query
 def bow_classifier(spark, folder):
     docs = spread(tables.docs(spark, folder).select("row_id", "sdg", "abstract"), "row_id")
-    return model.bag_of_ngrams(_split_tokens(docs), n=2, num_features=1 << 14, max_iter=10)
+    return model.bag_of_ngrams(_split_tokens(docs), n=2)
+
+
+# --- what holds for every prediction, whatever the fitted numbers ------------------------------
+
+
+def _prediction_rules(predictions: DataFrame, *keys: str) -> DataFrame:
+    total = F.aggregate("probability", F.lit(0.0), lambda acc, value: acc + value)
+    return predictions.select(
+        "row_id",
+        "label",
+        *keys,
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.get("probability", F.col("prediction")) == F.col("max_prob")).alias("is_best"),
+    )
+
+
+@query
+def ablation_rules(spark, folder):
+    return _prediction_rules(ablation(spark, folder), "condition")
+
+
+@query
+def cross_corpus_rules(spark, folder):
+    return _prediction_rules(cross_corpus(spark, folder), "test_set")
+
+
+@query
+def bow_rules(spark, folder):
+    return _prediction_rules(bow_classifier(spark, folder))
+
+
+@query
+def w2v_rules(spark, folder):
+    """Every document's vector is the mean over its words: sums of word vectors by a join, over the token count."""
+    flagged = _split_tokens(spread(tables.docs(spark, folder).select("row_id", "sdg", "abstract"), "row_id"))
+    flagged = flagged.select("row_id", "sdg", "is_test", "tokens")
+    embedded, vectors = model.embed(flagged)
+    got = embedded.select("row_id", features.vector_to_array("abstract_vectorized").alias("got"))
+    words = features.word_vectors(vectors).select("word", F.posexplode("vector").alias("dim", "value"))
+    each = flagged.select("row_id", F.explode("tokens").alias("word")).join(words, "word")
+    sums = each.groupBy("row_id", "dim").agg(F.sum("value").alias("value")).groupBy("row_id")
+    sums = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("sums"))
+    sizes = flagged.select("row_id", F.size("tokens").alias("n"))
+    joined = got.join(sizes, "row_id").join(sums, "row_id", "left")
+    want = F.transform(F.coalesce("sums", F.array_repeat(F.lit(0.0), 10)), lambda s: s / F.greatest(F.col("n"), F.lit(1)))
+    gaps = F.zip_with("got", "want", lambda a, b: F.abs(a - b))
+    near = F.array_max(gaps) < 1e-6
+    return joined.withColumn("want", want).select("row_id", F.size("got").alias("dims"), near.alias("is_mean"))
+
+
+@query
+def stored_runs(spark, folder):
+    """The five test conditions as stored runs of two seeds, and one count over all of them."""
+    root = scratch_path(spark, "runs")
+    preds = tables.preds(spark, folder, (0, 13)).withColumnRenamed("vec_id", "row_id")
+    corpus = preds.select("row_id", F.when(F.col("row_id") % 2 == 0, "a").otherwise("b").alias("subset")).distinct()
+    for seed in (0, 13):
+        rows_of = preds.filter(F.col("seed") == seed)
+        run = lambda part, *sets: train.store_predictions(part.select("row_id", "label", "prediction"), root, "linear", *sets, seed)  # noqa: B023, E731
+        run(rows_of.filter("condition = 0"), "a", "a")
+        run(rows_of.filter("condition = 1"), "b", "a")
+        train.by_source(run(rows_of, "ab", "ab"), corpus, root, "linear", "ab", seed)
+    return train.stored_confusion(spark, root, LABELS).filter("n > 0")

@@ -3,27 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from tagloom.operators import features, metrics, model
+from tagloom.operators import features, filters, metrics, model
 from tagloom.sources import stores
 
 
-def store_predictions(predictions: DataFrame, root: str, name: str, train_set: str, test_set: str) -> DataFrame:
-    """Append one run's predictions to the predictions table and its scores to the reports.
+def store_predictions(
+    predictions: DataFrame, root: str, name: str, train_set: str, test_set: str, seed: int = 0
+) -> DataFrame:
+    """Put one run's predictions into the predictions table, beside those of other runs and seeds.
 
     Returns the stored rows, so nothing that follows computes the predictions again.
     """
-    keyed = predictions.withColumns(
-        {"model": F.lit(name), "train_set": F.lit(train_set), "test_set": F.lit(test_set)}
-    )
-    path = f"{root}/predictions/model={name}/train_set={train_set}/test_set={test_set}"
-    keyed.drop(*stores.REPORT_KEYS).write.mode("overwrite").parquet(path)
-    stored = keyed.sparkSession.read.parquet(path)
-    return stored.withColumns({"model": F.lit(name), "train_set": F.lit(train_set), "test_set": F.lit(test_set)})
+    keys = dict(zip(stores.REPORT_KEYS, (name, train_set, test_set, str(seed))))
+    path = "/".join([f"{root}/predictions", *[f"{key}={value}" for key, value in keys.items()]])
+    predictions.drop(*keys).write.mode("overwrite").parquet(path)
+    stored = predictions.sparkSession.read.parquet(path)
+    return stored.withColumns({key: F.lit(value) for key, value in keys.items()})
+
+
+def store_report(rows: Sequence[DataFrame], root: str, labels: Sequence[int], run: str) -> DataFrame:
+    """Score stored predictions by run, write the reports, and return their rows."""
+    report = metrics.full_report(reduce(DataFrame.unionByName, rows), labels, stores.REPORT_KEYS)
+    stores.write_report(report, f"{root}/reports/{run}")
+    return report
 
 
 def run_ablation(
@@ -34,30 +41,24 @@ def run_ablation(
     conditions: Mapping[str, Sequence[str]] = model.CONDITIONS,
     name: str = "linear",
     max_iter: int = 100,
-    partitions: int | None = None,
+    partitions: int = 8,
+    seed: int = 0,
 ) -> DataFrame:
     """Fit, store and score the classifier once per feature condition; returns the report rows.
 
     ``corpus`` holds ``row_id``, ``sdg``, ``tokens``, ``is_test`` and the category columns. Models,
     vocabulary, predictions and reports go below ``root``.
     """
-    embedded, vectors = model.embed(corpus, partitions=partitions)
-    columns = sorted({column for used in conditions.values() for column in used})
-    encoded = features.encode_categories(embedded, columns, na_rep="NA") if columns else embedded
-    names = ["abstract_vectorized", *[f"{column}_encoded" for column in columns]]
-    encoded = encoded.select("row_id", "sdg", "is_test", *names).persist(StorageLevel.MEMORY_AND_DISK)
-    stored = None
-    for condition, used in conditions.items():
-        chosen = ["abstract_vectorized", *[f"{column}_encoded" for column in used]]
-        fitted = model.fit_classifier(encoded.filter("not is_test"), chosen, max_iter=max_iter)
-        model.save_model(fitted, f"{root}/models/{name}/{train_set}-{condition}")
-        rows = store_predictions(model.predict(fitted, encoded.filter("is_test")), root, name, train_set, condition)
-        stored = rows if stored is None else stored.unionByName(rows)
-    encoded.unpersist()
-    stores.write_vocabulary(features.word_vectors(vectors), f"{root}/models/{name}/{train_set}-vocabulary")
-    report = metrics.full_report(stored, labels, stores.REPORT_KEYS)
-    stores.write_report(report, f"{root}/reports/{name}-{train_set}")
-    return report
+    embedded, vectors = model.embed(corpus, partitions=partitions, seed=seed)
+    stored = []
+    for condition, fitted, tested in model.fit_conditions(embedded, conditions, "sdg", "is_test", "row_id", max_iter):
+        model.save_model(fitted, f"{root}/models/{name}/{train_set}-{condition}-{seed}")
+        tests = store_predictions(model.predict(fitted, tested), root, name, train_set, condition, seed)
+        stored.append(tests)
+        if condition == "default":  # the merged model on each of its sources
+            stored += by_source(tests, corpus, root, name, train_set, seed)
+    stores.write_vocabulary(features.word_vectors(vectors), f"{root}/models/{name}/{train_set}-vocabulary-{seed}")
+    return store_report(stored, root, labels, f"{name}-{train_set}-{seed}")
 
 
 def run_cross_corpus(
@@ -69,21 +70,44 @@ def run_cross_corpus(
     test_set: str,
     name: str = "linear",
     max_iter: int = 100,
-    partitions: int | None = None,
+    partitions: int = 8,
+    seed: int = 0,
 ) -> DataFrame:
     """Train on one corpus, store and score its own test rows and those of another corpus.
 
     ``labels`` covers both corpora; a class that one of them lacks scores 0 there.
     """
-    both = model.cross_corpus(corpus, other_test, max_iter=max_iter, partitions=partitions)
-    own = store_predictions(both.filter("test_set = 'own'").drop("test_set"), root, name, train_set, train_set)
-    other = store_predictions(both.filter("test_set = 'other'").drop("test_set"), root, name, train_set, test_set)
-    report = metrics.full_report(own.unionByName(other), labels, stores.REPORT_KEYS)
-    stores.write_report(report, f"{root}/reports/{name}-{train_set}")
-    return report
+    both = model.cross_corpus(corpus, other_test, max_iter=max_iter, partitions=partitions, seed=seed)
+    own = store_predictions(both.filter("test_set = 'own'"), root, name, train_set, train_set, seed)
+    other = store_predictions(both.filter("test_set = 'other'"), root, name, train_set, test_set, seed)
+    return store_report([own, other], root, labels, f"{name}-{train_set}-{test_set}-{seed}")
+
+
+def run_ngrams(
+    corpus: DataFrame, root: str, labels: Sequence[int], train_set: str, name: str = "ngrams", n: int = 1, max_iter: int = 100, seed: int = 0
+) -> DataFrame:
+    """Train the bag-of-n-grams classifier, store and score its test rows; for a merged corpus also those of each source."""
+    tested = store_predictions(model.bag_of_ngrams(corpus, n=n, max_iter=max_iter), root, name, train_set, train_set, seed)
+    return store_report([tested, *by_source(tested, corpus, root, name, train_set, seed)], root, labels, f"{name}-{train_set}-{seed}")
+
+
+def by_source(stored: DataFrame, corpus: DataFrame, root: str, name: str, train_set: str, seed: int = 0) -> list[DataFrame]:
+    """The stored predictions of a merged corpus once more per source, selected by provenance.
+
+    The model was trained on all sources; ``subset`` tells where a row came from. Without that
+    column there is nothing to select.
+    """
+    if "subset" not in corpus.columns:
+        return []
+    sources = [row["subset"] for row in corpus.select("subset").distinct().orderBy("subset").collect()]  # one per source
+    keyed = stored.drop(*stores.REPORT_KEYS).join(corpus.select("row_id", "subset"), "row_id")
+    return [
+        store_predictions(filters.keep_provenance(keyed, source).drop("subset"), root, name, train_set, source, seed) for source in sources
+    ]
 
 
 def stored_confusion(spark, root: str, labels: Sequence[int]) -> DataFrame:
     """The confusion matrix of every stored run, as one job over the predictions table."""
-    predictions = spark.read.parquet(f"{root}/predictions")
+    fields = ["label int", "prediction int", *[f"{key} string" for key in stores.REPORT_KEYS]]
+    predictions = spark.read.schema(", ".join(fields)).parquet(f"{root}/predictions")
     return metrics.confusion_matrix(predictions, labels, stores.REPORT_KEYS)

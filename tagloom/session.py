@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder: on a cluster the executors
-    could not see it, so an unset folder is an error there.
+    Only a session on one machine may fall back to a temporary folder, which goes when the process
+    ends: on a cluster the executors could not see it, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -21,6 +24,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         path = tempfile.mkdtemp(prefix="tagloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
@@ -31,28 +35,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def collect_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
-    """Evaluate a derived table once into a local relation; None if it has more than ``max_rows`` rows."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+def collect_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame | None:
+    """Evaluate a derived table once into a local relation; None if it has too many rows or bytes.
 
-
-def pin_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Evaluate a derived side table once and mark it for broadcast if it is proven small.
-
-    At most ``max_rows + 1`` rows reach the driver. A larger table is returned as it came, so the
-    join that uses it is planned as a shuffle join.
+    The table is kept while it is measured, so that a small one is computed once. Nothing of a
+    large one goes beyond its executors.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema]
+        width = sum(texts, F.lit(8 * len(texts)))
+        size = kept.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+        if size["rows"] > max_rows or size["bytes"] > max_bytes:
+            return None
+        return df.sparkSession.createDataFrame(kept.toArrow(), schema=df.schema)
+    finally:
+        kept.unpersist()
+
+
+def pin_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Evaluate a derived side table once and mark it for broadcast if its rows and bytes are proven small.
+
+    A larger table is returned as it came, so the join that uses it is planned as a shuffle join.
     """
-    local = collect_small(df, max_rows)
+    local = collect_small(df, max_rows, max_bytes)
     return df if local is None else F.broadcast(local)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy text work a task per core when the input has fewer splits than cores.
+def spread(df: DataFrame, key: str, tasks: int = 8) -> DataFrame:
+    """Cut an input of a single split, such as a small file, into ``tasks`` for CPU-heavy text work.
 
-    Inputs of real size already have more splits than cores and pass through untouched.
+    Any other input passes through untouched, whatever the size of the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() == 1 else df

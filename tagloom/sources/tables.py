@@ -53,7 +53,7 @@ def votes(spark: SparkSession, folder: str) -> DataFrame:
     """Per item: votes for and against its label, and how far the voters agree."""
     counted = (
         table(spark, folder, "events")
-        .groupBy("user_id")
+        .groupBy(F.expr("event_id div 10").alias("user_id"))
         .agg(
             F.count_if(F.col("event_type") == "purchase").cast("int").alias("labels_positive"),
             F.count_if(F.col("event_type") == "error").cast("int").alias("labels_negative"),
@@ -84,7 +84,12 @@ def preds(spark: SparkSession, folder: str, seeds: tuple[int, ...] = (0,)) -> Da
 
 def probs(spark: SparkSession, folder: str) -> DataFrame:
     """Ten label probabilities per item as an array, with the true label."""
-    raw = F.slice("embedding", 1, 10).cast("array<double>")
+    # ten sums over all 64 components, every tenth one in a sum
+    sums = [
+        sum((F.get("embedding", F.lit(i)).cast("double") for i in range(start + 10, 64, 10)), F.get("embedding", F.lit(start)).cast("double"))
+        for start in range(10)
+    ]
+    raw = F.array(*sums)
     # a lambda would compute an outer value once per item, so the outer value is zipped in
     lifted = F.zip_with("raw", F.array_repeat(F.array_min("raw"), 10), lambda value, low: value - low + 0.1)
     total = F.aggregate("lifted", F.lit(0.0), lambda acc, value: acc + value)

@@ -28,7 +28,9 @@ def read_tsv(
 
     With ``keep_default_na`` the usual marks for a missing value become null; without it every text
     stays as it is, the empty one included. A malformed field raises unless ``mode`` says otherwise.
-    ``multi_line`` reads quoted fields with line breaks, at the price of one task per file.
+    ``multi_line`` reads quoted fields with line breaks, at the price of one task per file; ``write_tsv``
+    keeps files small for it. A line with too few or too many fields raises even where a query needs
+    few of the columns: all fields are parsed.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     as_text = T.StructType([T.StructField(field.name, T.StringType()) for field in wanted])
@@ -40,6 +42,9 @@ def read_tsv(
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", mode)
+        .option("columnPruning", False)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
     strict = mode.upper() == "FAILFAST"
@@ -65,6 +70,8 @@ def write_tsv(
 ) -> None:
     """Write a TSV table; nulls become ``na_rep``. Files are kept small, so readers stay parallel.
 
+    Blanks at the ends and line breaks in texts stay; the latter want ``multi_line`` when read.
+
     With ``sort_by`` the rows are in key order across the files, too.
     """
     ordered = df.orderBy(sort_by) if sort_by else df
@@ -75,6 +82,8 @@ def write_tsv(
         .option("nullValue", na_rep)
         .option("emptyValue", "")
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
@@ -87,8 +96,9 @@ def strip_quoted_lines(spark: SparkSession, source: str, target: str) -> None:
 
 
 def parse_tsv_lines(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
-    """Parse TSV lines that are already rows, e.g. right after their quotes were stripped."""
-    return lines.select(F.from_csv(value, schema, {"sep": "\t", "quote": ""}).alias("row")).select("row.*")
+    """Parse TSV lines that are already rows, e.g. right after their quotes were stripped; a malformed line raises."""
+    options = {"sep": "\t", "quote": "", "mode": "FAILFAST"}
+    return lines.select(F.from_csv(value, schema, options).alias("row")).select("row.*")
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:

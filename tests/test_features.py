@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tagloom.operators import features, model, split
+from tagloom.operators import features, metrics, model, split
 from tagloom.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -120,7 +120,7 @@ def test_ablation_conditions(spark, tokens):
     assert {r["condition"]: r["count"] for r in rows.groupBy("condition").count().collect()} == {
         "authors": tests, "default": tests, "none": tests
     }
-    report = model.report_by_condition(rows, range(1, 5))
+    report = metrics.full_report(rows, range(1, 5), ["condition"])
     assert report.select("condition").distinct().count() == 3
 
 

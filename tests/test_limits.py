@@ -1,0 +1,126 @@
+"""Nulls, doubles and sizes that once changed results: both sides of every switch, nothing dropped in silence."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tagloom.functions import labels
+from tagloom.operators import features, language, metrics, rows
+from tagloom.plans import prepare
+from tagloom.session import collect_small, pin_small
+from tagloom.sources import tsv
+
+
+def test_category_ways_agree_and_null_raises(spark):
+    df = spark.createDataFrame([(i, "abcab"[i % 5], "x" if i < 15 else f"y{i}") for i in range(20)], "row_id int, c string, d string")
+    small = features.encode_categories(df, ["c", "d"])
+    large = features.encode_categories(df, ["c", "d"], max_categories=1)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.select(*small.columns).collect()))
+    holes = df.withColumn("c", F.when(F.col("row_id") > 3, F.col("c")))
+    for most in (100, 1):
+        with pytest.raises(ValueError, match="null categories"):
+            features.encode_categories(holes, ["c", "d"], max_categories=most)
+        assert features.encode_categories(holes, ["c", "d"], na_rep="NA", max_categories=most).count() == 20
+
+
+def test_auc_ranks_scores_that_are_no_numbers_below_all_others(spark):
+    data = [(1, [0.9, 0.1]), (2, [math.nan, 0.4]), (1, [0.2, math.nan]), (2, [0.3, 0.7]), (1, [None, -0.5]), (2, [-1.0, None])]
+    df = spark.createDataFrame(data, "label int, probs array<double>")
+    want = metrics.label_auc(df, [1, 2]).orderBy("label").collect()
+    assert metrics.label_auc(df, [1, 2], rows_per_bucket=1).orderBy("label").collect() == want
+
+    def area(place):
+        known = [(v if (v := p[place]) is not None and v == v else -math.inf, y == place + 1) for y, p in data]
+        pairs = [(a, b) for a, x in known if x for b, y in known if not y]
+        return sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs)
+
+    assert [r["auc"] for r in want] == pytest.approx([area(0), area(1)])
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_language_ways_agree_on_any_key(spark, n):
+    train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    profile = language.language_profile(train, n=n)
+    data = [(1, "the dog and"), (1, "die katze und"), (None, "the cat and"), (None, None), (2, ""), (3, "the dog and"), (4, "zzz")]
+    df = spark.createDataFrame(data, "doc_id int, text string")
+    found = [sorted(language.detect_language(df, profile, ["en", "de"], n=n, max_grams=m).collect(), key=str) for m in (1_000_000, 0)]
+    assert found[0] == found[1] and len(found[0]) == 7
+    assert {r["text"]: r["detected"] for r in found[0]} == {
+        "the dog and": "en", "die katze und": "de", "the cat and": "en", None: None, "": None, "zzz": None
+    }
+
+
+def test_unlisted_conditions_raise(spark):
+    df = spark.createDataFrame([(0, 1, 1), (5, 1, 1)], "condition int, label int, prediction int")
+    assert metrics.confusion_by_condition(df, {0: [1, 2], 5: [1]}).count() == 5
+    for bad in (df, df.withColumn("condition", F.lit(None).cast("int"))):
+        with pytest.raises(Exception, match="no label list"):
+            metrics.confusion_by_condition(bad, {0: [1, 2]}).collect()
+
+
+def test_documents_without_probabilities_stay(spark):
+    docs = spark.createDataFrame([(1, 1), (2, 2)], "row_id int, sdg int")
+    probs = spark.createDataFrame([(2, [0.1, 0.9])], "row_id int, probs array<double>")
+    got = {r["row_id"]: r["prediction"] for r in labels.predictions_table(docs, probs, [1, 2]).collect()}
+    assert got == {1: None, 2: 2}
+
+
+def test_null_predictions_are_no_accuracy(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2), (2, None)], "label int, prediction int")
+    row = metrics.overall(df, [1, 2]).first()
+    assert row["label"] == "micro avg" and row["recall"] == pytest.approx(2 / 3)
+
+
+VALUES = [0.0, 1.0, 0.5, 0.12345, 0.00005, 0.00015, 0.12335, 0.99995, 0.99994999, 1 / 3, 2 / 3, 0.03125, 0.00025, 0.12345000000000001, 0.1, 0.28285]
+
+
+def test_printed_scores_round_by_the_binary_value(spark):
+    df = spark.createDataFrame([(v,) for v in VALUES + [k / 20000 for k in range(2000)]], "v double")
+    for r in df.select("v", metrics._printed(F.col("v"), 4).alias("t")).collect():
+        assert r["t"] == "%.4f" % r["v"]
+    assert metrics.report_header().split() == ["precision", "recall", "f1-score", "support"]
+
+
+def test_tables_keep_blanks_and_line_breaks(spark, tmp_path):
+    texts = [" a ", "\tb", "two\nlines", 'q"u"ote', '"all"', "", "  ", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    tsv.write_tsv(df, str(tmp_path / "t"))
+    back = tsv.read_tsv(spark, str(tmp_path / "t"), "k int, t string", keep_default_na=False, multi_line=True)
+    assert [r["t"] for r in back.orderBy("k").collect()] == texts
+
+
+def test_malformed_lines_raise(spark, tmp_path):
+    (tmp_path / "f.tsv").write_text("a\tb\tc\n1\tx\ty\n2\tz\n")
+    read = tsv.read_tsv(spark, str(tmp_path / "f.tsv"), "a int, b string, c string")
+    for few in (read, read.select("a")):
+        with pytest.raises(Exception):
+            few.collect()
+    lines = spark.createDataFrame([("1\tx",), ("no number\tx",)], "value string")
+    with pytest.raises(Exception):
+        tsv.parse_tsv_lines(lines, "a int, b string").collect()
+
+
+def test_merging_after_the_split_trains_on_no_test_row(spark):
+    a = spark.createDataFrame([(i, 1, "x", "test" if i % 3 == 0 else "train") for i in range(30)], "row_id int, sdg int, abstract string, split string")
+    merged = prepare.merge_split_corpora([("a", a), ("b", a)])
+    kept = merged.select("subset", "subset_index", "split").distinct()
+    assert kept.count() == 60 and kept.filter("subset_index % 3 = 0 and split <> 'test'").count() == 0
+    with pytest.raises(ValueError):
+        prepare.merge_split_corpora([("a", a.drop("split"))])
+
+
+def test_ids_do_not_depend_on_files(spark):
+    from tagloom.__main__ import _numbered
+
+    df = spark.createDataFrame([(f"t{i % 40}", i % 3) for i in range(50)], "abstract string, sdg int")
+    first = sorted(_numbered(df.repartition(1)).collect())
+    assert sorted(_numbered(df.repartition(7)).collect()) == first and sorted(r["row_id"] for r in first) == list(range(50))
+
+
+def test_small_tables_are_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 100,)] * 10, "s string")
+    assert collect_small(df).count() == 10
+    assert collect_small(df, max_rows=9) is None and collect_small(df, max_bytes=500) is None
+    assert pin_small(df, max_rows=1) is df
+    assert rows.head(df, 3, "s").count() == 3

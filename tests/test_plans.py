@@ -72,8 +72,9 @@ def test_command_line_from_raw_files_to_scores(spark, tmp_path):
     matrix = spark.read.parquet(path("matrix"))
     tests = spark.read.parquet(path("parts")).filter("split = 'test'").count()
     sums = {r["test_set"]: r["n"] for r in matrix.groupBy("test_set").agg(F.sum("n").alias("n")).collect()}
-    assert sums == {"default": tests, "none": tests}
-    assert spark.read.text(path("runs") + "/reports/linear-ab").count() == 2
+    assert sums["default"] == sums["none"] == tests == sums["a"] + sums["b"]
+    assert set(sums) == {"default", "none", "a", "b"}  # the merged model on all, without categories, and on each source
+    assert spark.read.text(path("runs") + "/reports/linear-ab-13").count() == 4
 
 
 def test_text_steps_apply_to_a_stream(spark, tmp_path):

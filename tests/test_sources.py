@@ -57,14 +57,17 @@ def test_side_columns_are_dropped_if_present(spark):
 
 def test_report_store(spark, tmp_path):
     df = spark.createDataFrame([(1, 1), (2, 1)], "label int, prediction int")
-    keyed = df.withColumns({"model": F.lit("m"), "train_set": F.lit("a"), "test_set": F.lit("b")})
+    keyed = df.withColumns({"model": F.lit("m"), "train_set": F.lit("a"), "test_set": F.lit("b"), "seed": F.lit("01")})
     report = metrics.full_report(keyed, [1, 2], stores.REPORT_KEYS)
     stores.write_report(report, str(tmp_path / "r"))
-    (file,) = Path(tmp_path / "r/model=m/train_set=a/test_set=b").glob("*.txt")
+    (file,) = Path(tmp_path / "r/model=m/train_set=a/test_set=b/seed=01").glob("*.txt")
     stored = json.loads(file.read_text())
     assert list(stored) == ["sdg_01", "sdg_02", "accuracy", "macro avg", "weighted avg"]
     assert stored["sdg_01"] == {"precision": 0.5, "recall": 1.0, "f1-score": pytest.approx(2 / 3), "support": 1}
-    assert stores.read_report(spark, str(tmp_path / "r")).count() == 5
+    assert stored["accuracy"] == 0.5
+    back = {r["label"]: r for r in stores.read_report(spark, str(tmp_path / "r")).collect()}
+    assert len(back) == 5 and {r["seed"] for r in back.values()} == {"01"}  # keys stay text
+    assert (back["accuracy"]["f1"], back["accuracy"]["support"]) == (0.5, 2)
 
 
 def test_label_docs(spark, tmp_path):
