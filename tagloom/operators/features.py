@@ -179,7 +179,7 @@ def word_vectors(model: Word2VecModel) -> DataFrame:
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def ngram_vectors(df: DataFrame, tokens: str, out: str, n: int = 1, num_features: int = 1 << 18) -> DataFrame:
+def ngram_vectors(df: DataFrame, tokens: str, out: str, n: int = 1, num_features: int = 1 << 16) -> DataFrame:
     """Counts of all 1..n-grams in a hashed vector of fixed length, without a vocabulary."""
     grams = F.concat(*[ngrams(F.col(tokens), size) for size in range(1, n + 1)])
     hashing = HashingTF(numFeatures=num_features, inputCol="_grams", outputCol=out)

@@ -10,9 +10,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
 from tagloom.__main__ import main  # noqa: E402
+from tagloom.plans.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 MODELS = {"w2v_embed", "w2v_vocabulary", "lr_predict", "lr_predict_rules", "ablation", "cross_corpus", "bow_classifier"}
+MODELS |= {"w2v_rules", "ablation_rules", "cross_corpus_rules", "bow_rules"}
 IN_PLACE = {"lang_detect", "lang_filter_detected", "prepared_titled"}
 
 
@@ -20,7 +22,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODELS))
 def test_no_row_wise_python_and_no_cross_join(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))
     assert "BatchEvalPython" not in text
