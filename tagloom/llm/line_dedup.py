@@ -32,10 +32,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(F.col(key).alias("doc_id"), F.split(whole, "\n", -1).alias("lines"))
-    hashes = lines.select("doc_id", F.transform("lines", _hashed).alias("keys"))
     # A document names a key once, so counting rows counts documents; partial sums leave few of a common key.
-    named = hashes.select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).filter(F.col("k.size") >= shortest)
-    counted = named.select("doc_id", "k.h1", "k.h2")
+    keys = F.array_distinct(F.transform("lines", _hashed))
+    keys = stored(lines.select("doc_id", F.filter(keys, lambda k: k["size"] >= shortest).alias("keys")), "line-keys")
+    counted = keys.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.h1", "k.h2")
     often = counted.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter(F.col("times") >= least)
     often = stored(often, "frequent-lines")
     total = often.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
