@@ -184,24 +184,33 @@ def _rare_counts(encoded: DataFrame) -> DataFrame:
     return met.groupBy("row").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[tuple[list[np.ndarray], list[pa.RecordBatch]]]:
-    """Texts in groups of about ``most`` outcomes; a longer text stands alone."""
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_500_000, hold: int = 8_000_000) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
+    """Texts of like length in groups of about ``most`` outcomes, with their rows; a longer text stands alone.
+
+    Up to ``hold`` outcomes are sorted by length, so that few groups have long texts: a group takes
+    as many steps as its longest text has outcomes.
+    """
+
+    def grouped(held: list[np.ndarray], parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        lengths = np.array([len(t) for t in held])
+        order = np.argsort(-lengths, kind="stable")
+        group = (np.cumsum(lengths[order]) - lengths[order]) // most
+        for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+            yield [held[i] for i in part], rows.take(part)
+
     held, parts, size = [], [], 0
     for batch in batches:
         column = batch.column("ids")
-        values = column.values.to_numpy(zero_copy_only=False)
-        edges = column.offsets.to_numpy()
-        begin = 0
-        for i in range(batch.num_rows):
-            size += int(edges[i + 1] - edges[i])
-            held.append(values[edges[i] : edges[i + 1]])
-            if size >= most:
-                yield held, [*parts, batch.slice(begin, i + 1 - begin)]
-                held, parts, size, begin = [], [], 0, i + 1
-        if begin < batch.num_rows:
-            parts.append(batch.slice(begin))
+        values, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        held += [values[b:e] for b, e in zip(edges[:-1], edges[1:])]
+        parts.append(batch)
+        size += int(edges[-1] - edges[0])
+        if size >= hold:
+            yield from grouped(held, parts)
+            held, parts, size = [], [], 0
     if held:
-        yield held, parts
+        yield from grouped(held, parts)
 
 
 def _expected(train: DataFrame, model: Model) -> DataFrame:
@@ -284,8 +293,7 @@ def score(
         seen[-1] = False
         for texts, origin in _batches(batches):
             found = _Steps(texts).forward(model)[0] / np.log(10)
-            of = pa.Table.from_batches(origin)
-            yield from of.select(["row", "doc_id", "held_out"]).append_column(
+            yield from origin.select(["row", "doc_id", "held_out"]).append_column(
                 "n_tokens", pa.array([len(t) for t in texts], pa.int64())
             ).append_column("n_rare", pa.array([int((t == len(logs) - 1).sum()) for t in texts], pa.int64())).append_column(
                 "n_seen", pa.array([int(seen[t].sum()) for t in texts], pa.int64())
