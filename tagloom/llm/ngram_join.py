@@ -25,40 +25,91 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import LOWER, blobs, chunks, join_by_weight, most_frequent, portable, stored
+from tagloom.llm.common import BLANKS, LOWER, chunks, join_by_weight, most_frequent, portable, stored
 from tagloom.llm.components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NONE = -(1 << 63)  # stands for a null id
 MEMBERS = 128  # of a block or group
+STRETCH = 4 << 20  # bytes of text that a task hashes at once; it needs some 15 times as much memory
 
 
 class _Shingles:
-    """Sorted distinct 64-bit hashes of a text's word shingles; one of the whole text if it is shorter."""
+    """Sorted distinct 64-bit hashes of each text's word shingles; one of the whole text if it is shorter.
+
+    Words are hashed by a polynomial over their bytes: a running sum over a stretch of all texts
+    gives every word at once.
+    """
+
+    STRETCH = 1 << 20
 
     def __init__(self, width: int):
         self.width = width
-        self.memo: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        known = self.memo.get(word)
-        if known is None:
-            known = xxhash.xxh3_64_intdigest(word)
-            if len(self.memo) < 300_000 and len(word) < 40:
-                self.memo[word] = known
-        return known
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.translate(LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        ids = np.fromiter(map(self._hash, words), np.uint64, len(words))
-        size = min(self.width, len(ids))
-        out = np.full(len(ids) - size + 1, size, np.uint64)
-        for i in range(size):
-            out = (out ^ ids[i : i + len(out)]) * MIX[0]
+        self.blank = np.zeros(256, bool)
+        self.blank[list(BLANKS.encode())] = True
+        self.lower = np.frombuffer(LOWER, np.uint8)
+        self._powers(1 << 16)
+
+    def _powers(self, size: int):
+        self.up, self.down = (
+            np.cumprod(np.array([1] + [p] * size, np.uint64), dtype=np.uint64)
+            for p in (int(MIX[2]) | 1, pow(int(MIX[2]) | 1, -1, 1 << 64))
+        )
+
+    def words(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every word, and in which text it stands; ``edges`` are the texts' borders."""
+        blank = self.blank[data]
+        first, last = ~blank, ~blank
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        inner = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(data))]
+        first[inner] |= ~blank[inner]
+        last[inner - 1] |= ~blank[inner - 1]
+        begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        texts = np.searchsorted(edges, begins, side="right") - 1
+        hashes = np.empty(len(begins), np.uint64)
+        at = 0
+        while at < len(begins):  # words that end within a stretch; a longer word is a stretch of its own
+            to = max(at + 1, int(np.searchsorted(ends, begins[at] + self.STRETCH, side="right")))
+            low, high = int(begins[at]), int(ends[to - 1])
+            if high - low >= len(self.up):
+                self._powers(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((self.lower[data[low:high]].astype(np.uint64) + np.uint64(1)) * self.up[: high - low], out=sums[1:])
+            hashes[at:to] = (sums[ends[at:to] - low] - sums[begins[at:to] - low]) * self.down[begins[at:to] - low]
+            at = to
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= MIX[3]
+        hashes ^= hashes >> np.uint64(29)
+        return hashes, texts
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        column = column.cast(pa.binary()).fill_null(b"")
+        _, offsets, data = column.buffers()
+        edges = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, np.uint8)
+        hashes, texts = self.words(data, edges - edges[0])
+        counts = np.bincount(texts, minlength=len(column)) if len(texts) else np.zeros(len(column), np.int64)
+        starts = np.concatenate(([0], np.cumsum(counts))).tolist()
+        grams = {size: self._grams(hashes, size) for size in {min(self.width, n) for n in counts.tolist()} if size}
+        out = []
+        for begin, end in zip(starts[:-1], starts[1:]):
+            size = min(self.width, end - begin)
+            if not size:
+                out.append(np.zeros(0, np.uint64))
+                continue
+            own = np.sort(grams[size][begin : end - size + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        return out
+
+    @staticmethod
+    def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+        """Hash of ``size`` words from each place on; the size itself is part of it."""
+        out = np.full(max(0, len(hashes) - size + 1), size, np.uint64)
+        for i in range(size if len(out) else 0):
+            out = (out ^ hashes[i : i + len(out)]) * MIX[0]
             out ^= out >> np.uint64(29)
-        return np.unique(out * MIX[1])
+        return out * MIX[1]
 
 
 def _identity(tokens: np.ndarray) -> tuple[int, int]:
@@ -71,36 +122,39 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def sets_of(docs: DataFrame, text: str, key: str, width: int, rounds: int, often: int = 4) -> DataFrame:
-    """Per row ``doc_id, origin, n, f1, f2, mins``; besides, rows ``token, times`` of shingles found often in a chunk."""
+def sets_of(docs: DataFrame, text: str, key: str, width: int, often: int = 3) -> DataFrame:
+    """Per row ``doc_id, origin, n, f1, f2``; besides, rows ``token, times`` of shingles found often among some four million."""
+
+    names = ["doc_id", "origin", "n", "f1", "f2", "token", "times"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingles(width)
-        for batch in chunks(batches, "text"):
-            sets = [shingles(b) for b in blobs(batch)]
-            names = [_identity(s) if len(s) else (0, 0) for s in sets]
-            mins = [[int(_signed((s * m).min())) for m in MIX[:rounds]] if len(s) else [] for s in sets]
-            distinct = list({f: s for f, s in zip(names, sets)}.values())
-            tokens, times = np.unique(np.concatenate(distinct), return_counts=True)
-            many = times >= often
-            tokens, times = _signed(tokens[many]), times[many]
-            n, k = len(sets), len(tokens)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column("doc_id"), pa.nulls(k, pa.int64())]),
-                    pa.concat_arrays([batch.column("origin"), pa.nulls(k, pa.int64())]),
-                    pa.array([len(s) for s in sets] + [None] * k, pa.int64()),
-                    pa.array([f for f, _ in names] + [None] * k, pa.int64()),
-                    pa.array([f for _, f in names] + [None] * k, pa.int64()),
-                    pa.array(mins + [None] * k, pa.list_(pa.int64())),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tokens, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64), pa.int64())]),
-                ],
-                names=["doc_id", "origin", "n", "f1", "f2", "mins", "token", "times"],
-            )
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
+
+        def frequent() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            held.clear()
+            tokens, times = _signed(tokens[times >= often]), times[times >= often]
+            none = [pa.nulls(len(tokens), pa.int64())] * 5
+            return pa.RecordBatch.from_arrays([*none, pa.array(tokens, pa.int64()), pa.array(times.astype(np.int64), pa.int64())], names=names)
+
+        for batch in chunks(batches, "text", STRETCH):
+            sets = shingles(batch.column("text"))
+            found = [_identity(s) if len(s) else (0, 0) for s in sets]
+            n = [pa.array(v, pa.int64()) for v in ([len(s) for s in sets], [f for f, _ in found], [f for _, f in found])]
+            none = [pa.nulls(len(sets), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("origin"), *n, *none], names=names)
+            held.update(zip(found, sets))  # copies count once
+            size += sum(map(len, sets))
+            if size > 4_000_000:
+                yield frequent()
+                size = 0
+        if held:
+            yield frequent()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("origin"), F.col(text).alias("text"))
-    schema = "doc_id bigint, origin bigint, n bigint, f1 bigint, f2 bigint, mins array<bigint>, token bigint, times bigint"
+    schema = "doc_id bigint, origin bigint, n bigint, f1 bigint, f2 bigint, token bigint, times bigint"
     return rows.mapInArrow(read, schema)
 
 
@@ -115,7 +169,7 @@ def _slots(wanted: DataFrame, bits: int = 24) -> np.ndarray:
 
 
 def _needed(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``(node, n, tokens)`` of the wanted ``(f1, f2, node)``, read anew from the texts.
+    """The wanted nodes (``f1, f2`` and other columns) with ``tokens``, read anew from the texts.
 
     A bitmap keeps most other texts from being sent; the join leaves exactly the wanted ones.
     """
@@ -125,10 +179,9 @@ def _needed(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFr
         used = np.frombuffer(sent.value, np.uint64)
         drop = 64 - int(np.log2(len(used) * 64))
         shingles = _Shingles(width)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", STRETCH):
             rows: dict[tuple[int, int], bytes] = {}
-            for body in blobs(batch):
-                tokens = shingles(body)
+            for tokens in shingles(batch.column("text")):
                 if len(tokens):
                     name = _identity(tokens)
                     slot = (name[0] & 0xFFFFFFFFFFFFFFFF) >> drop
@@ -142,7 +195,7 @@ def _needed(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFr
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(read, "f1 bigint, f2 bigint, tokens binary")
     found = found.groupBy("f1", "f2").agg(F.first("tokens").alias("tokens"))
-    return found.join(wanted.select("f1", "f2", "node").distinct(), ["f1", "f2"]).select("node", "tokens")
+    return found.join(wanted, ["f1", "f2"]).drop("f1", "f2")
 
 
 def _blocks_of(count: str | F.Column, of: str):
@@ -183,38 +236,41 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return min(len(a), len(b)) >= need and _overlap(a, b) >= need
 
 
-def _with_tokens(rows: DataFrame, tokens: DataFrame, *work: str) -> DataFrame:
+def _with_tokens(docs, text, width, rows: DataFrame, nodes: DataFrame, *work: str) -> DataFrame:
     """Add each row's set. The set of a node that many rows want is copied for every thousand of them.
 
-    ``part`` gathers units of work, each of bounded size, into some 2000 rows per call.
+    ``part`` gathers units of ``work``, each of bounded size, into some 500 rows per call.
     """
-    uses = stored(rows.groupBy("node").agg(F.count("*").alias("uses")), "token-uses")
+    uses = stored(rows.groupBy("node").agg(F.count("*").alias("uses")).join(nodes.select("node", "f1", "f2"), "node"), "token-uses")
     total = max(1, rows.count())
     copies = F.ceil(F.col("uses") / 1000)
-    rows = join_by_weight(rows, uses, ["node"], "uses", total, how="inner")
+    rows = join_by_weight(rows, uses.select("node", "uses"), ["node"], "uses", total, how="inner")
     rows = rows.withColumn("copy", F.pmod(F.xxhash64(*work), copies)).drop("uses")
-    sets = tokens.join(uses, "node").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("uses")
-    part = F.pmod(F.xxhash64(*work), F.lit(max(1, total // 2000))).cast("int")
+    sets = _needed(docs, text, width, uses).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("uses")
+    part = F.pmod(F.xxhash64(*work), F.lit(max(1, total // 500))).cast("int")
     return rows.join(sets, ["node", "copy"]).withColumn("part", part)
 
 
 def _first_links(docs, nodes, text, width, rounds, percent) -> DataFrame:
-    """Edges ``(a, b)`` between verified similar nodes that share a minimum hash."""
-    keys = nodes.select("node", "f1", "f2", F.posexplode("mins").alias("round", "least"))
-    groups = keys.groupBy("round", "least").agg(F.count("*").alias("count"), F.min("node").alias("pivot")).filter("count > 1")
+    """Edges ``(a, b)`` between verified similar nodes that share a minimum hash and are of like size."""
+    keys = nodes.select("node", "n", F.posexplode("mins").alias("round", "least"))
+    # Classes of sizes that the threshold allows; every other round has its borders half a class further.
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + F.col("round") % 2 / 2)
+    keys = keys.select("node", "round", "least", size.alias("size"))
+    on = ["round", "least", "size"]
+    groups = keys.groupBy(*on).agg(F.count("*").alias("count"), F.min("node").alias("pivot")).filter("count > 1")
     groups = stored(groups, "similar-groups")
-    total = nodes.count() * rounds
-    members = stored(join_by_weight(keys, groups, ["round", "least"], "count", total, how="inner"), "similar-members")
-    placed = members.select("round", "least", "pivot", "node", _blocks_of("count", "node").alias("block"))
+    placed = join_by_weight(keys, groups, on, "count", max(1, nodes.count() * rounds), how="inner")
+    placed = placed.select(*on, "pivot", "node", _blocks_of("count", "node").alias("block"))
+    placed = stored(placed, "similar-members")
     # Every block of a group holds the group's pivot, so that links to it tie the blocks together.
-    pivots = placed.filter("node != pivot").select("round", "least", "pivot", "block").distinct()
-    pivots = pivots.select("round", "least", "pivot", F.col("pivot").alias("node"), "block")
-    placed = stored(placed.filter("node != pivot").unionByName(pivots, allowMissingColumns=True), "similar-placed")
-    tokens = stored(_needed(docs, text, width, members), "similar-tokens")
+    others = placed.filter("node != pivot")
+    pivots = others.select(*on, "pivot", F.col("pivot").alias("node"), "block").distinct()
+    placed = stored(others.unionByName(pivots), "similar-placed")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         links = []
-        for _, rows in frame.groupby(["round", "least", "block"], sort=True):
+        for _, rows in frame.groupby(["round", "least", "size", "block"], sort=True):
             sets = {n: np.frombuffer(t, np.uint64) for n, t in zip(rows["node"], rows["tokens"])}
             pivot = int(rows["pivot"].iloc[0])
             order = [pivot, *sorted(n for n in sets if n != pivot)] if pivot in sets else sorted(sets)
@@ -226,12 +282,15 @@ def _first_links(docs, nodes, text, width, rounds, percent) -> DataFrame:
                         links.append((a, b))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    parts = _with_tokens(placed, tokens, "round", "least", "block")
+    parts = _with_tokens(docs, text, width, placed, nodes, *on, "block")
     return parts.groupBy("part").applyInPandas(compare, "a bigint, b bigint")
 
 
-def _prefixes(docs, text, width, percent, common) -> DataFrame:
-    """``(f1, f2, prefix)``: the first tokens of every set, known frequent tokens last."""
+def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
+    """``(f1, f2, prefix, mins)``: the first tokens of every set, known frequent tokens last, and minimum hashes.
+
+    The minimum hashes are taken of the tokens that are not frequent, where a set has any.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,34 +298,34 @@ def _prefixes(docs, text, width, percent, common) -> DataFrame:
         by_value = np.argsort(ranked)
         values = ranked[by_value]
         shingles = _Shingles(width)
-        for batch in chunks(batches, "text"):
-            rows: dict[tuple[int, int], tuple[int, bytes]] = {}
-            for body in blobs(batch):
-                tokens = shingles(body)
+        for batch in chunks(batches, "text", STRETCH):
+            rows: dict[tuple[int, int], tuple[bytes, list[int]]] = {}
+            for tokens in shingles(batch.column("text")):
                 if not len(tokens):
                     continue
                 size = len(tokens) + (-percent * len(tokens) // 100) + 1
+                rare = tokens
                 if len(values):
                     at = np.searchsorted(values, tokens)
                     at[at == len(values)] = 0
                     frequent = values[at] == tokens
-                    head = tokens[~frequent][:size]
-                    if len(head) < size:
-                        head = np.concatenate((head, ranked[np.sort(by_value[at[frequent]])][: size - len(head)]))
-                else:
-                    head = tokens[:size]
-                rows[_identity(tokens)] = len(tokens), head.tobytes()
+                    rare = tokens[~frequent]
+                head = rare[:size]
+                if len(head) < size:
+                    head = np.concatenate((head, ranked[np.sort(by_value[at[frequent]])][: size - len(head)]))
+                of = rare if len(rare) else tokens
+                rows[_identity(tokens)] = head.tobytes(), [int(_signed((of * m).min())) for m in MIX[:rounds]]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f for f, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.int64()),
-                        pa.array([p for _, p in rows.values()], pa.binary()),
+                        pa.array([p for p, _ in rows.values()], pa.binary()), pa.array([m for _, m in rows.values()], pa.list_(pa.int64())),
                     ],
-                    names=["f1", "f2", "prefix"],
+                    names=["f1", "f2", "prefix", "mins"],
                 )
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "f1 bigint, f2 bigint, prefix binary")
-    return found.groupBy("f1", "f2").agg(F.first("prefix").alias("prefix"))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "f1 bigint, f2 bigint, prefix binary, mins array<bigint>")
+    return found.groupBy("f1", "f2").agg(F.first("prefix").alias("prefix"), F.first("mins").alias("mins"))
 
 
 ENTRY = {"token": "<u8", "node": "<i8", "beyond": "<i8", "size": "<i4", "n": "<i4", "at": "<i4"}  # component = node ^ beyond
@@ -310,7 +369,7 @@ def _matrix(marked: DataFrame, bits: int) -> DataFrame:
                 if len(tokens):
                     held.append((tokens, places, node, node ^ component, size, n))
                     count += len(tokens)
-                if count > 400_000:
+                if count > 200_000:
                     yield flush()
                     count = 0
         if held:
@@ -380,9 +439,6 @@ def _open_groups(docs, text, width, percent, nodes, found) -> DataFrame:
         _blocks_of("size", "node").alias("block"), F.lit(False).alias("query"),
     )
     rows = stored(asked.unionByName(members), "opened-rows")
-    wanted = stored(rows.select("node").distinct().join(nodes.select("node", "f1", "f2"), "node"), "opened-wanted")
-    tokens = stored(_needed(docs, text, width, wanted), "opened-tokens")
-
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         links = []
         for _, group in frame.groupby(["component", "block", "chunk"], sort=True):
@@ -402,13 +458,13 @@ def _open_groups(docs, text, width, percent, nodes, found) -> DataFrame:
                         break  # the members of a group are connected already
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    parts = _with_tokens(rows, tokens, "component", "block", "chunk")
+    parts = _with_tokens(docs, text, width, rows, nodes, "component", "block", "chunk")
     return parts.groupBy("part").applyInPandas(verify, "a bigint, b bigint")
 
 
 def join(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 85,
-    rounds: int = 4, max_common: int = 1 << 17, tokens_per_range: int = 1 << 19,
+    rounds: int = 4, max_common: int = 1 << 20, tokens_per_range: int = 1 << 17,
 ) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id`` and ``origin``, a hash of the text.
 
@@ -417,28 +473,28 @@ def join(
     nothing. Sets link when ``100 * intersection >= percent * union``. ``component_id`` is the least
     id that links reach; a null id counts as the least of all. Rows that share an id count as one document.
     """
-    rows = stored(sets_of(docs, text, key, width, rounds), "shingle-sets")
+    rows = stored(sets_of(docs, text, key, width), "shingle-sets")
     sets = rows.filter(F.col("n").isNotNull())
     nodes = sets.filter("n > 0").groupBy("f1", "f2").agg(
-        F.min(F.coalesce("doc_id", F.lit(NONE))).alias("node"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("mins").alias("mins")
+        F.min(F.coalesce("doc_id", F.lit(NONE))).alias("node"), F.max("n").alias("n"), F.count("*").alias("copies")
     )
     nodes, shared = _own_ids(stored(nodes, "shingle-nodes"), sets)
-    links = _first_links(docs, nodes, text, width, rounds, percent).unionByName(shared)
-    known = stored(components(links), "first-components")
-
     often = rows.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
     often = most_frequent(stored(often, "frequent-shingles"), "times", max_common).toPandas().sort_values(["times", "token"])
     common = often["token"].to_numpy(np.int64).view(np.uint64)  # the most frequent last
-    prefixes = _prefixes(docs, text, width, percent, common)
+    entries = stored(_prefixes(docs, text, width, percent, rounds, common).join(nodes, ["f1", "f2"]), "prefix-rows")
+
+    links = _first_links(docs, entries, text, width, rounds, percent).unionByName(shared)
+    known = stored(components(links), "first-components")
     sizes = known.groupBy("component").agg((F.count("*") + 1).cast("int").alias("size"))
     # The smallest node of a component has no row in known: its component is itself.
     labelled = nodes.select("f1", "f2", "node", "n").join(known, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     labelled = join_by_weight(labelled, sizes, ["component"], "size", max(1, nodes.count())).fillna(1, ["size"])
     labelled = stored(labelled, "labelled-nodes")
-    marked = stored(prefixes.join(labelled, ["f1", "f2"]), "prefix-rows")
-    entered = marked.agg(F.coalesce(F.sum(F.octet_length("prefix") / 8), F.lit(0)).alias("n")).first()["n"]
+    entered = nodes.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0)).alias("n")).first()["n"]
     bits = max(0, int(np.ceil(np.log2(max(1, entered / tokens_per_range)))))
+    marked = entries.select("node", "prefix").join(labelled, "node")
     found = stored(_candidates(_matrix(marked, bits), percent), "candidates")
     more = _open_groups(docs, text, width, percent, labelled, found)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
