@@ -1,7 +1,8 @@
 """License scans: notices and licence files against templates, then inheritance down the directories.
 
 Passages are the lines of a file, and of a licence file the whole text too. A passage and a template
-are compared by the cosine of their TF-IDF vectors, with document frequencies from the whole corpus.
+are compared by the cosine of their TF-IDF vectors, with document frequencies of all words from the
+whole corpus.
 A file without a notice takes the licence of the nearest directory above it that has a licence file.
 """
 
@@ -9,9 +10,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,81 +27,146 @@ WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
 FILE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 
 
-def _frequencies(files: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of files, and in how many of them each template term occurs."""
+def _frequencies(files: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """``term, n``: in how many files each word occurs; the empty term holds the number of files."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, found, n = {t.encode() for t in terms}, Counter(), 0
+        def part(found: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t.decode() for t in found], pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"])
+
+        found = Counter()
         for batch in batches:
-            n += batch.num_rows
+            found[b""] += batch.num_rows
             for b in blobs(batch):
-                found.update(wanted.intersection(b.translate(WORD_BYTES).split()))
-        rows = [("", n), *((t.decode(), k) for t, k in sorted(found.items()))]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64())], names=["term", "n"])
+                found.update(set(b.translate(WORD_BYTES).split()))
+                if len(found) > most:
+                    yield part(found)
+                    found = Counter()
+        yield part(found)
+
+    return files.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _idf(files: int, frequency: int) -> float:
+    return math.log((files + 1) / (frequency + 1)) + 1
 
-    sums = files.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in sums.collect()}  # one row per template term at most
-    return counts.pop("", 0), counts
+
+@dataclass
+class _Found:
+    """The most alike template. ``words`` are those whose weight is not known yet and could change it."""
+
+    name: str | None = None
+    likeness: float | None = None
+    words: frozenset[bytes] = frozenset()
 
 
 class _Matcher:
-    """Weights of the template terms, and which of them a matching passage must have one of."""
+    """The templates' vectors, and bounds that leave out what cannot reach ``least``.
+
+    The weight of a word whose frequency is not given counts as 1, the least there is, so that the
+    likeness is never below the true one.
+    """
 
-    def __init__(self, templates: Sequence[tuple[str, str]], files: int, frequency: dict[str, int], least: float):
-        self.least = least
-        self.other = math.log(files + 1) + 1
+    def __init__(self, templates: Sequence[tuple[str, str]], idf: dict[bytes, float], least: float):
+        self.least, self.idf = least, idf
         bags = [(name, Counter(text.encode().translate(WORD_BYTES).split())) for name, text in templates]
-        self.idf = {t: math.log((files + 1) / (frequency.get(t.decode(), 0) + 1)) + 1 for _, bag in bags for t in bag}
-        self.templates, self.needed = [], set()
+        self.templates = []
         for name, bag in bags:
-            vector = {t: n * self.idf[t] for t, n in bag.items()}
-            norm = math.sqrt(sum(v * v for v in vector.values()))
-            if not norm:
-                continue
-            self.templates.append((name, vector, norm))
-            # Terms by falling weight: what remains after those needed cannot reach the threshold.
-            rest = norm * norm
-            for term, value in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
-                if math.sqrt(max(rest, 0)) < least * norm * 0.999:
-                    break
-                self.needed.add(term)
-                rest -= value * value
-
-    def best(self, text: bytes, whole: bool) -> tuple[str | None, float | None]:
+            vector = {t: n * idf[t] for t, n in bag.items()}
+            if vector:
+                self.templates.append((name, vector, math.sqrt(sum(v * v for v in vector.values()))))
+        self.terms = {t: i for i, t in enumerate(sorted(set().union(*(v for _, v, _ in self.templates))))}
+        self.squares = np.zeros((len(self.terms), len(self.templates)))
+        for k, (_, vector, size) in enumerate(self.templates):
+            for t, v in vector.items():
+                self.squares[self.terms[t], k] = (v / size) ** 2
+
+    def reach(self, words: set[bytes]) -> list[int]:
+        """Templates of which these words make enough: the cosine is at most the norm of their share."""
+        at = [self.terms[w] for w in words & self.terms.keys()]
+        return np.flatnonzero(self.squares[at].sum(0) >= self.least**2 * 0.999).tolist() if at else []
+
+    def best(self, text: bytes, whole: bool, rest: dict[bytes, float] | None = None) -> _Found:
+        """``rest`` holds the weights of words in no template."""
         plain = text.translate(bytes(10 if i == 10 else c for i, c in enumerate(WORD_BYTES)))
-        if self.needed.isdisjoint(plain.split()):
-            return None, None
-        found: tuple[float, str] | None = None
+        likely = self.reach(set(plain.split()))
+        if not likely:
+            return _Found()
+        weights = self.idf if rest is None else {**rest, **self.idf}
+        found: dict[tuple[float, str], set[bytes]] = {}  # words without a weight, by likeness and name
+
+        def note(dot: float, square: float, k: int, words: Iterable[bytes]) -> None:
+            name, _, size = self.templates[k]
+            likeness = round(dot / (math.sqrt(square) * size), 6)
+            if likeness >= self.least:
+                found.setdefault((-likeness, name), set()).update(w for w in words if w not in weights)
+
         passages = plain.split(b"\n")
         for passage in [*passages, plain] if whole else passages:
             bag = Counter(passage.split())
-            if self.needed.isdisjoint(bag):
-                continue
-            norm = math.sqrt(sum((n * self.idf.get(t, self.other)) ** 2 for t, n in bag.items()))
-            for name, vector, size in self.templates:
-                dot = sum(v * bag[t] * self.idf[t] for t, v in vector.items() if t in bag)
-                likeness = round(dot / (norm * size), 6)
-                if likeness >= self.least and (found is None or (-likeness, name) < found):
-                    found = -likeness, name
-        return (found[1], -found[0]) if found else (None, None)
+            near = self.reach(bag.keys())
+            square = sum((n * weights.get(t, 1.0)) ** 2 for t, n in bag.items()) if near else 0.0
+            for k in near:
+                vector = self.templates[k][1]
+                note(sum(v * bag[t] * weights[t] for t, v in vector.items() if t in bag), square, k, bag)
+        if not found:
+            return _Found()
+        likeness, name = min(found)
+        # What holds only words of known weight is exact; a better bound with other words is not.
+        return _Found(name, -likeness, frozenset() if not found[likeness, name] else frozenset().union(*found.values()))
 
 
 def _own(files: DataFrame, templates: Sequence[tuple[str, str]], least: float) -> DataFrame:
     """``key, path, own_license, similarity`` of every file."""
+    frequencies = stored(_frequencies(files), "word-files")
     terms = sorted({w.decode() for _, text in templates for w in text.encode().translate(WORD_BYTES).split()})
-    sent = files.sparkSession.sparkContext.broadcast((list(templates), *_frequencies(files, terms), least))
+    counts = {r["term"]: r["n"] for r in frequencies.filter(F.col("term").isin("", *terms)).collect()}  # of the templates alone
+    total = counts.pop("", 0)
+    idf = {t.encode(): _idf(total, counts.get(t, 0)) for t in terms}
+    sent = files.sparkSession.sparkContext.broadcast((list(templates), idf, least))
+    kind = files.schema["key"].dataType.simpleString()
+    names = ["row", "key", "path", "own_license", "similarity", "whole", "text", "words"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _Matcher(*sent.value)
+        row = TaskContext.get().partitionId() << 40
         for batch in chunks(batches, "text"):
             found = [matcher.best(b, w) for b, w in zip(blobs(batch), batch.column("whole").to_pylist())]
+            open_ = pa.array([bool(f.words) for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("path"), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=["key", "path", "own_license", "similarity"],
+                [
+                    pa.array(range(row, row + len(found)), pa.int64()), batch.column("key"), batch.column("path"),
+                    pa.array([f.name for f in found], pa.string()), pa.array([f.likeness for f in found], pa.float64()), batch.column("whole"),
+                    pc.if_else(open_, batch.column("text"), pa.scalar(None, batch.column("text").type)),
+                    pa.array([[w.decode() for w in f.words] or None for f in found], pa.list_(pa.string())),
+                ],
+                names=names,
+            )
+            row += len(found)
+
+    schema = f"row bigint, key {kind}, path string, own_license string, similarity double, whole boolean, text string, words array<string>"
+    first = stored(files.mapInArrow(match, schema), "file-bounds")
+    out = ["key", "path", "own_license", "similarity"]
+
+    # Passages that may match and hold words of other files: again, with the weights of those words.
+    unsure = first.filter("words is not null")
+    words = unsure.select("row", F.explode("words").alias("term"))
+    groups = frequencies.join(words.groupBy("term").agg(F.count("*").alias("times")), "term")
+    met = join_by_weight(words, stored(groups, "open-words"), ["term"], "times", max(1, words.count()), how="inner")
+    weighed = met.groupBy("row").agg(F.collect_list(F.struct("term", "n")).alias("rest"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _Matcher(*sent.value)
+        for batch in chunks(batches, "text"):
+            weights = [{r["term"].encode(): _idf(total, r["n"]) for r in rest} for rest in batch.column("rest").to_pylist()]
+            found = [matcher.best(b, w, r) for b, w, r in zip(blobs(batch), batch.column("whole").to_pylist(), weights)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("path"), pa.array([f.name for f in found], pa.string()), pa.array([f.likeness for f in found], pa.float64())], names=out
             )
 
-    kind = files.schema["key"].dataType.simpleString()
-    return files.mapInArrow(match, f"key {kind}, path string, own_license string, similarity double")
+    second = unsure.join(weighed, "row").select("key", "path", "whole", "text", "rest")
+    second = stored(second.mapInArrow(again, f"key {kind}, path string, own_license string, similarity double"), "file-matches")
+    return first.filter("words is null").select(*out).unionByName(second)
 
 
 def _directory(path: Column) -> Column:
@@ -117,7 +187,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]], path: str = "pa
     null text matches nothing; a file with a null path inherits nothing; repeated rows stay.
     """
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"), is_license_file(F.col(path)).alias("whole"))
-    own = stored(_own(rows, templates, least).withColumn("directory", _directory(F.col("path"))), "file-licenses")
+    own = _own(rows, templates, least).withColumn("directory", _directory(F.col("path")))
     rank = F.struct((-F.col("similarity")).alias("likeness"), F.col("own_license").alias("license"), F.col("path").alias("origin"))
     given = own.filter(is_license_file(F.col("path")) & F.col("own_license").isNotNull()).groupBy("directory")
     given = stored(given.agg(F.min(rank).alias("best")).select("directory", "best.license", "best.origin"), "directory-licenses")

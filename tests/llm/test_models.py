@@ -244,3 +244,24 @@ def test_license_file_at_the_root_covers_all(spark):
     files = spark.createDataFrame([(1, "LICENSE", MIT), (2, "x/y.c", "t"), (3, "z.c", "t")], "doc_id long, path string, text string")
     got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in licenses.scan(files, queries.NOTICES).collect()}
     assert got == {1: ("MIT", None), 2: ("MIT", "LICENSE"), 3: ("MIT", "LICENSE")}
+
+
+def plain_cosine(passage, template, bodies):
+    """By document frequencies of all words."""
+    tokens = lambda text: re.findall("[a-z0-9]+", text.translate(LOWER))
+    sets = [set(tokens(b)) for b in bodies]
+    idf = lambda w: math.log((len(sets) + 1) / (sum(w in s for s in sets) + 1)) + 1
+    a, b = ({w: n * idf(w) for w, n in Counter(tokens(t)).items()} for t in (passage, template))
+    return sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+
+def test_license_notice_among_ordinary_words(spark):
+    """Words in every file weigh little, so a notice beside them is found; rare ones weigh much."""
+    filler = "this file is see below for terms"
+    notice, odd = f"This file is {MIT[:-1]}, see below for the terms.", f"zyx wvu tsr qpo nml kji {MIT}"
+    bodies = [f"{filler} a{k}\nb{k}" for k in range(300)] + [f"{filler}\n{notice}", f"{filler}\n{odd}", f"{filler}\n{MIT}"]
+    files = spark.createDataFrame([(k, f"d{k}/x.c", b) for k, b in enumerate(bodies)], "doc_id long, path string, text string").repartition(3)
+    got = {r["doc_id"]: (r["own_license"], r["similarity"]) for r in licenses.scan(files, queries.NOTICES).collect() if r["own_license"]}
+    want = plain_cosine(notice, MIT, bodies)
+    assert want >= 0.6 and got[300] == ("MIT", pytest.approx(want, abs=2e-6)) and got[302] == ("MIT", 1.0)
+    assert set(got) == {300, 302, *([301] if plain_cosine(odd, MIT, bodies) >= 0.6 else [])}
