@@ -1,7 +1,7 @@
 """License scans: notices and licence files against templates, then inheritance down the directories.
 
-Passages are the lines of a file, and of a licence file the whole text too. A passage and a template
-are compared by the cosine of their TF-IDF vectors, with document frequencies of all words from the
+Passages are the lines of a file, all windows of as many consecutive words as a template has, over line
+ends and comment marks, and of a licence file the whole text too. A passage and a template are compared by the cosine of their TF-IDF vectors, with document frequencies of all words from the
 whole corpus.
 A file without a notice takes the licence of the nearest directory above it that has a licence file.
 """
@@ -12,6 +12,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,12 @@ WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
 FILE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 
 
+def texts() -> list[tuple[str, str]]:
+    """Full licence texts and standard headers, from the files ``<name>.txt`` and ``<name>.header.txt``."""
+    folder = Path(__file__).with_name("license_texts")
+    return [(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+
+
 def _frequencies(files: DataFrame, most: int = 1 << 18) -> DataFrame:
     """``term, n``: in how many files each word occurs; the empty term holds the number of files."""
 
@@ -70,10 +77,11 @@ class _Matcher:
     def __init__(self, templates: Sequence[tuple[str, str]], idf: dict[bytes, float], least: float):
         self.least, self.idf = least, idf
         bags = [(name, Counter(text.encode().translate(WORD_BYTES).split())) for name, text in templates]
-        self.templates = []
+        self.templates, self.lengths = [], []
         for name, bag in bags:
             vector = {t: n * idf[t] for t, n in bag.items()}
             if vector:
+                self.lengths.append(bag.total())
                 self.templates.append((name, vector, math.sqrt(sum(v * v for v in vector.values()))))
         self.terms = {t: i for i, t in enumerate(sorted(set().union(*(v for _, v, _ in self.templates))))}
         self.squares = np.zeros((len(self.terms), len(self.templates)))
@@ -86,6 +94,31 @@ class _Matcher:
         at = [self.terms[w] for w in words & self.terms.keys()]
         return np.flatnonzero(self.squares[at].sum(0) >= self.least**2 * 0.999).tolist() if at else []
 
+    def windows(self, k: int, words: list[bytes], values: np.ndarray, least: float) -> Iterator[tuple[int, int, float, float]]:
+        """Windows of consecutive words, as long as the template, that are ``least`` alike: begin, end, product, squared norm."""
+        _, vector, size = self.templates[k]
+        length = min(self.lengths[k], len(words))
+        sums = np.concatenate(([0.0], np.cumsum(values * np.array([vector.get(w, 0.0) for w in words]))))
+        dots = sums[length:] - sums[:-length]
+        sums = np.concatenate(([0.0], np.cumsum(values**2)))  # the norm, did no word repeat; repeats only add to it
+        near = dots >= (least - 1e-6) * size * 0.999999 * np.sqrt(np.maximum(sums[length:] - sums[:-length], 0))
+        bag, square, begin, end = Counter(), 0.0, 0, 0
+        for at in np.flatnonzero(near & (dots > 0)).tolist():
+            if at >= end:
+                bag, square, begin, end = Counter(), 0.0, at, at
+            while end < at + length:
+                n, value = bag[words[end]], float(values[end])
+                square += (2 * n + 1) * value * value
+                bag[words[end]] = n + 1
+                end += 1
+            while begin < at:
+                n, value = bag[words[begin]], float(values[begin])
+                square -= (2 * n - 1) * value * value
+                bag[words[begin]] = n - 1
+                begin += 1
+            if dots[at] >= (least - 1e-6) * size * math.sqrt(square):
+                yield at, at + length, float(dots[at]), square
+
     def best(self, text: bytes, whole: bool, rest: dict[bytes, float] | None = None) -> _Found:
         """``rest`` holds the weights of words in no template."""
         plain = text.translate(bytes(10 if i == 10 else c for i, c in enumerate(WORD_BYTES)))
@@ -109,6 +142,12 @@ class _Matcher:
             for k in near:
                 vector = self.templates[k][1]
                 note(sum(v * bag[t] * weights[t] for t, v in vector.items() if t in bag), square, k, bag)
+        words = plain.split()
+        values = np.array([weights.get(w, 1.0) for w in words])
+        for k in likely:
+            sure = max((-likeness for (likeness, _), open_ in found.items() if not open_), default=self.least)
+            for begin, end, dot, square in self.windows(k, words, values, sure):
+                note(dot, square, k, words[begin:end])
         if not found:
             return _Found()
         likeness, name = min(found)

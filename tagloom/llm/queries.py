@@ -64,7 +64,7 @@ def op1_license_scan(spark, folder):
     top = F.concat_ws("/", F.col("source"), F.when((n % 10 == 0) & (n % 200 < 100), F.lit(None)).otherwise((n % 7).cast("string")))
     path = F.concat_ws("/", top, F.when(n % 10 != 0, (n % 3).cast("string")), name)
     files = _table(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
-    return licenses.scan(files, NOTICES)
+    return licenses.scan(files, [*NOTICES, *licenses.texts()])
 
 
 RULES = [
