@@ -16,7 +16,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,13 +169,13 @@ def _own(files: DataFrame, templates: Sequence[tuple[str, str]], least: float) -
         matcher = _Matcher(*sent.value)
         row = TaskContext.get().partitionId() << 40
         for batch in chunks(batches, "text"):
-            found = [matcher.best(b, w) for b, w in zip(blobs(batch), batch.column("whole").to_pylist())]
-            open_ = pa.array([bool(f.words) for f in found], pa.bool_())
+            texts = blobs(batch)
+            found = [matcher.best(b, w) for b, w in zip(texts, batch.column("whole").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(row, row + len(found)), pa.int64()), batch.column("key"), batch.column("path"),
                     pa.array([f.name for f in found], pa.string()), pa.array([f.likeness for f in found], pa.float64()), batch.column("whole"),
-                    pc.if_else(open_, batch.column("text"), pa.scalar(None, batch.column("text").type)),
+                    pa.array([b if f.words else None for b, f in zip(texts, found)], pa.binary()).cast(pa.string()),
                     pa.array([[w.decode() for w in f.words] or None for f in found], pa.list_(pa.string())),
                 ],
                 names=names,
