@@ -15,12 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import LOWER, blobs, chunks, most_frequent, portable, stored
+from tagloom.llm.common import LOWER, blobs, chunks, join_by_weight, most_frequent, portable, stored
 
 END = b"\n"  # no word holds a blank
 
@@ -139,49 +138,20 @@ def _encode(docs: DataFrame, frequent: list[str]) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(encode, schema)
 
 
-def _rare_counts(encoded: DataFrame) -> DataFrame:
+def _rare_counts(encoded: DataFrame) -> tuple[DataFrame, int, int]:
     """Per row: occurrences of rare words known from training, and the sum of log10(c + 0.5) of all rare words.
 
-    The row without a number holds the distinct known rare words and their training count. All
-    occurrences of a word meet in one task; none is frequent.
+    Also the number of known rare words, and of their occurrences in training. A long or late word
+    may be in many rows: counts are combined inside tasks, and hot words are joined by broadcast.
     """
     rest = encoded.select("row", "held_out", F.explode("rest").alias("r")).select("row", "held_out", "r.word", "r.times")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            part = part if carry is None else pa.concat_tables([carry, part])
-            words = part.column("word").combine_chunks()
-            cut = len(words) - pc.sum(pc.equal(words, words[len(words) - 1])).as_py()  # the last word may go on in the next batch
-            carry = part.slice(cut)
-            if cut:
-                yield tally(part.slice(0, cut))
-        if carry is not None and carry.num_rows:
-            yield tally(carry)
-
-    def tally(part: pa.Table) -> pa.RecordBatch:
-        words = part.column("word").combine_chunks().dictionary_encode()
-        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        times = part.column("times").to_numpy().astype(np.float64)
-        held = part.column("held_out").to_numpy().astype(bool)
-        count = np.bincount(which, np.where(held, 0.0, times), len(words.dictionary))
-        rows = part.column("row").to_numpy()
-        known = np.where(count[which] > 0, times, 0.0)
-        logs = times * np.log10(count[which] + 0.5)
-        names, at = np.unique(rows, return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*names.tolist(), None], pa.int64()),
-                pa.array([*np.bincount(at, known, len(names)), float((count > 0).sum())], pa.float64()),
-                pa.array([*np.bincount(at, logs, len(names)), float(count.sum())], pa.float64()),
-            ],
-            names=["row", "known", "logs"],
-        )
-
-    met = rest.repartition("word").sortWithinPartitions("word").select("row", "held_out", "word", "times")
-    met = met.mapInArrow(meet, "row bigint, known double, logs double")
-    return met.groupBy("row").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
+    seen = F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("times"))).alias("seen")
+    words = stored(rest.groupBy("word").agg(F.count("*").alias("rows"), seen), "lm-rare-words")
+    total, known, times = words.agg(F.sum("rows"), F.count(F.when(F.col("seen") > 0, 1)), F.sum("seen")).first()
+    met = join_by_weight(rest.select("row", "word", "times"), words, ["word"], "rows", total or 1, how="inner")
+    known_times = F.sum(F.when(F.col("seen") > 0, F.col("times")).otherwise(0)).cast("double")
+    logs = F.sum(F.col("times") * F.log10(F.col("seen") + F.lit(0.5)))
+    return met.groupBy("row").agg(known_times.alias("known"), logs.alias("logs")), known, times or 0
 
 
 def _batches(batches: Iterator[pa.RecordBatch], most: int = 1_500_000, hold: int = 8_000_000) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
@@ -273,9 +243,8 @@ def score(
 
     for r in train.select("ids").mapInArrow(tally, "of bigint, n bigint").groupBy("of").agg(F.sum("n").alias("n")).collect():
         counts[r["of"]] = r["n"]
-    rare = stored(_rare_counts(encoded), "lm-rare")
-    known = rare.filter("row is null").first()
-    rare_words, rare_times = (known["known"], known["logs"]) if known else (0.0, 0.0)
+    rare, rare_words, rare_times = _rare_counts(encoded)
+    rare = stored(rare, "lm-rare")
     model = _first_model(counts, states, seed)
     for _ in range(rounds if counts.sum() else 0):
         model = _improved(_expected(train, model).toPandas(), counts, states, prior)
@@ -304,7 +273,7 @@ def score(
     kind = encoded.schema["doc_id"].dataType.simpleString()
     schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_rare bigint, n_seen bigint, logs_seen double, likelihood double"
     judged = encoded.select("row", "doc_id", "held_out", "ids").mapInArrow(judge, schema)
-    judged = judged.join(rare.filter("row is not null"), "row", "left").fillna(0.0, ["known", "logs"])
+    judged = judged.join(rare, "row", "left").fillna(0.0, ["known", "logs"])
     base = F.col("logs_seen") + F.col("logs") - F.col("n_tokens") * F.lit(float(base_floor))
     return judged.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_seen") + F.col("known")).cast("long").alias("n_known"),

@@ -111,6 +111,23 @@ def test_language_model_without_training_texts(spark):
     assert lm.score(docs.limit(0), F.lit(True)).collect() == []
 
 
+def test_long_word_in_many_rows_is_not_gathered(spark):
+    """Words too long for an outcome of their own may be in every text: counts are summed, rows stay spread."""
+    url = "https://example.org/" + "a" * 60
+    rows = [(k, f"{url} x{k % 7} " + f"{url} " * (k % 3)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("held_out", F.col("doc_id") % 5 == 1)
+    encoded = lm._encode(docs, ["x0", "x1"]).localCheckpoint()
+    rare, words, times = lm._rare_counts(encoded)
+    spread = rare._jdf.queryExecution().toString()
+    assert "MapInArrow" not in spread and "BroadcastHashJoin" in spread
+    train = Counter(w for i, t in rows if i % 5 != 1 for w in words_of(t)[:-1] if w not in ("x0", "x1"))
+    assert (words, times) == (len(train), sum(train.values()))
+    got = {r["row"]: (r["known"], round(r["logs"], 4)) for r in rare.collect()}
+    for row, i in encoded.select("row", "doc_id").collect():
+        odd = [w for w in words_of(rows[i][1])[:-1] if w not in ("x0", "x1")]
+        assert got[row] == (len(odd), round(sum(math.log10(train[w] + 0.5) for w in odd), 4))
+
+
 def test_language_model_beats_single_words_on_held_out_documents(spark):
     rows = queries.op4_hmm_lm(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert rows["score"].sum() > rows["base_score"].sum()
