@@ -91,21 +91,27 @@ def _words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def _frequent(train: DataFrame, often: int, most: int) -> list[str]:
-    """Words found ``often`` times in some chunk of texts, the most frequent; of bounded number and length."""
+def _frequent(train: DataFrame, often: int, most: int, hold: int = 1 << 18) -> list[str]:
+    """Words found ``often`` times in all training texts, the most frequent; of bounded number and length."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            found = Counter()
-            for b in blobs(batch):
-                found.update(_words(b))
-            rows = [(w, n) for w, n in found.items() if n >= often and len(w) <= 48]
-            yield pa.RecordBatch.from_arrays(
+        def part(found: Counter) -> pa.RecordBatch:
+            rows = list(found.items())
+            return pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in rows], pa.binary()).cast(pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "times"]
             )
 
+        found = Counter()
+        for batch in chunks(batches, "text"):
+            for b in blobs(batch):
+                found.update(w for w in _words(b) if len(w) <= 48)
+                if len(found) > hold:  # sums of a task go on by word in the next step; none is dropped
+                    yield part(found)
+                    found = Counter()
+        yield part(found)
+
     counted = train.select("text").mapInArrow(count, "word string, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
-    return sorted(r["word"] for r in most_frequent(stored(counted, "lm-frequent"), "times", most).collect())
+    return sorted(r["word"] for r in most_frequent(stored(counted.filter(F.col("times") >= often), "lm-frequent"), "times", most).collect())
 
 
 def _encode(docs: DataFrame, frequent: list[str]) -> DataFrame:

@@ -111,6 +111,18 @@ def test_language_model_without_training_texts(spark):
     assert lm.score(docs.limit(0), F.lit(True)).collect() == []
 
 
+def test_vocabulary_does_not_follow_the_file_layout(spark):
+    """Few texts a partition: words are counted over all of them, with the production threshold."""
+    docs = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    train = docs.filter("doc_id % 5 != 1")
+    counts = Counter(w for i, t in lm_rows() if i is not None and i % 5 != 1 for w in words_of(t)[:-1])
+    want = sorted(w for w, n in counts.items() if n >= 8)
+    assert len(want) > 50
+    for rows in (train.coalesce(1), train.repartition(40)):
+        assert lm._frequent(rows, 8, 1 << 15) == want
+        assert lm._frequent(rows, 8, 1 << 15, hold=10) == want
+
+
 def test_long_word_in_many_rows_is_not_gathered(spark):
     """Words too long for an outcome of their own may be in every text: counts are summed, rows stay spread."""
     url = "https://example.org/" + "a" * 60
