@@ -9,6 +9,8 @@ from tagloom.llm import decontaminate, exact_dedup, ngram_join, queries, toxicit
 from tagloom.llm.common import stored
 
 SMALL = 200_000  # rows of two numbers that may be broadcast
+#: Near copies: shingles of so many words, alike by so many percent; op8's values.
+WIDTH, PERCENT = 4, 85
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of links."""
-    joined = stored(ngram_join.join(docs), "judged-near-copies")
+    joined = stored(ngram_join.join(docs, width=WIDTH, percent=PERCENT), "judged-near-copies")
     return _without(docs, joined.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 
