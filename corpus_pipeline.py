@@ -38,9 +38,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of links."""
-    joined = stored(ngram_join.join(docs, width=WIDTH, percent=PERCENT), "judged-near-copies")
-    return _without(docs, joined.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    """The document with the smallest id of each component of links, of rows that share it the first.
+
+    Links follow op8's rule. Each row is judged by its own text, also where rows share an id.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    joined = ngram_join.join(rows, key="__row", width=WIDTH, percent=PERCENT).select(F.col("doc_id").alias("__row"), "component_id")
+    joined = stored(joined.join(rows.select("__row", "doc_id"), "__row"), "judged-near-copies")
+    first = joined.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
+    gone = stored(joined.join(first, "__row", "left_anti").select("__row"), "dropped-rows")
+    if gone.count() <= SMALL:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

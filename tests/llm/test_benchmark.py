@@ -136,6 +136,15 @@ def test_stages_take_effect(spark, tmp_path):
     assert packed.groupby("doc_id")["length"].sum().to_dict() == packed.groupby("doc_id")["doc_tokens"].first().to_dict()
 
 
+def test_near_copies_are_judged_by_their_own_text(spark):
+    """Of rows that share an id, the one unlike all others stays."""
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, body + " z"), (9, body), (9, "unlike all others of the table"), (None, "null id here"), (12, ""), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {r for r in rows if r != (9, body)}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
