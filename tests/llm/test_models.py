@@ -177,6 +177,27 @@ def test_machine_learns_what_a_sum_of_weights_cannot(spark):
     assert sum(a == b for a, b in got) >= 0.97 * len(got)
 
 
+def test_production_machine_uses_pairs(spark):
+    """Toxic is exactly both or neither of two words, which no sum of weights separates; the defaults find it."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randint(3, 6))] + ["blockhead"] * a + ["gnomes"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic").filter("doc_id < 1200"))
+    got = toxicity.score(data, machine).filter("doc_id >= 1200").select("toxic", (F.col("score") >= 0.5).cast("int")).collect()
+    assert np.any(machine.factors) and sum(x == y for x, y in got) >= 0.9 * len(got)
+
+
+def test_production_machine_keeps_factors_on_labelled_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    assert np.any(queries.machine(read("documents"), read("labels")).factors)
+
+
 def test_toxicity_edge_rows(spark):
     docs = spark.createDataFrame(
         [(1, "bad bad word", "s"), (2, None, "s"), (3, "", None), (None, "bad", "s"), (1, "repeated id", "s"), (4, "bad " * 50_000, "s")],
