@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, tokens, toxicity, url_filter
+from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, runs, tokens, toxicity, url_filter
 from tagloom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,35 @@ def op10_toxicity(spark, folder):
     return scored.select(
         "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
+
+
+def repeating(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The text; in a tenth of the documents, chosen by id, its words repeat with a period from some word on.
+
+    A null id counts as the empty text, a null text as empty.
+    """
+    h = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    begin = g % F.greatest(n, F.lit(1))
+    period = 1 + F.floor((n - begin) / (3 + g % 8))
+    unit = F.slice(words, (begin + 1).cast("int"), period.cast("int"))
+    times = F.ceil((n - begin) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (n - begin).cast("int"))
+    whole = F.array_join(F.concat(F.slice(words, F.lit(1), begin.cast("int")), tail), " ")
+    return F.when(h % 10 == 0, whole).otherwise(F.col(text))
+
+
+@query
+def op11_periodic_runs(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", repeating().alias("text"))
+    found = runs.find_runs(docs, keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("a"), (-r["start"]).alias("b"), (-r["period"]).alias("c"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.b")).alias("start"), F.col("best.a").alias("length"), (-F.col("best.c")).alias("period"),
+        F.floor(1000 * F.col("best.a") / -F.col("best.c")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
