@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, runs, tokens, toxicity, url_filter
+from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, runs, tokens, toxicity, url_filter, whitening
 from tagloom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,20 @@ def op11_periodic_runs(spark, folder):
         F.floor(1000 * F.col("best.a") / -F.col("best.c")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_embedding_whitening(spark, folder):
+    """One row per vector and component. Entries beyond 2 ** 62 / 64 have no long ``x``: their rows go, as if not finite."""
+    scaled = F.transform("embedding", lambda c: c.cast("double") * 64)
+    x = F.transform(scaled, lambda c: F.when(F.abs(c) < float(1 << 62), F.floor(c) + 1_000_000))  # else null, also for NaN
+    rows = _table(spark, folder, "embeddings").select("vec_id", x.alias("x"))
+    whitened, fit = whitening.whiten(rows, components=32)
+    explained = fit.explained if fit else []
+    return whitened.select(
+        "vec_id", F.posexplode("whitened").alias("at", "whitened"), F.col("deviation").try_cast("long").alias("deviation")
+    ).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n if fit else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(fit.error if fit else 0.0).alias("identity_error"),
+    )
