@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, runs, tokens, toxicity, url_filter, whitening
+from tagloom.llm import decontaminate, exact_dedup, licenses, line_dedup, lm, ngram_join, packing, pii, runs, tokens, toxicity, url_filter, whitening
 from tagloom.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +179,19 @@ def op12_embedding_whitening(spark, folder):
         F.get(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("at")).alias("explained"),
         F.lit(fit.error if fit else 0.0).alias("identity_error"),
     )
+
+
+@query
+def op13_pii(spark, folder):
+    """Counts and digest are of the patterns' spans; ``spans`` and ``n_added`` have those of the field too."""
+    docs = _table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
+
+    def named(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("found", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    added = (F.size("found") - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("found")).alias("spans"), added)
