@@ -499,3 +499,6 @@ ORACLES["cross_corpus_rules"] = f"""WITH {DOCS}, a AS (SELECT * FROM docs WHERE
 SELECT *, 'own' AS test_set FROM own_rules UNION ALL SELECT *, 'other' FROM other_rules"""
 
 ORACLES["bow_rules"] = f"""WITH {DOCS}, {_rules('flagged', 'docs')} SELECT * FROM flagged_rules"""
+
+ORACLES["bow_first_order"] = f"""WITH {DOCS}, {_split('flagged', 'docs', 0.3, 'is_test')}
+SELECT sdg AS label, count(*) AS n, true AS sums_to_rows FROM flagged WHERE NOT is_test GROUP BY sdg"""

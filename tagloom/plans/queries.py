@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import labels as lab
 from tagloom.functions import text
-from tagloom.operators import features, filters, language, metrics, model, rows, split
+from tagloom.operators import features, filters, language, metrics, model, rows, sparse, split
 from tagloom.plans import prepare, train
 from tagloom.session import scratch_path, spread
 from tagloom.sources import stores, tables, tsv
@@ -664,6 +664,18 @@ def bow_rules(spark, folder):
     return _prediction_rules(bow_classifier(spark, folder))
 
 
+@query
+def bow_first_order(spark, folder):
+    """What an unregularized fit with intercepts has to satisfy: over the rows it learned from, each class's probabilities sum to its rows."""
+    docs = spread(tables.docs(spark, folder).select("row_id", "sdg", "abstract"), "row_id")
+    fitted, hashed = model.fit_ngrams(_split_tokens(docs), n=2, max_iter=20)
+    learned = sparse.predict(fitted, hashed.filter("not is_test"))
+    sums = learned.select(F.posexplode("probability").alias("label", "share")).groupBy("label").agg(F.sum("share").alias("total"))
+    rows = learned.groupBy("label").agg(F.count("*").alias("n"))
+    met = (F.abs(F.col("total") - F.col("n")) < 1e-3).alias("sums_to_rows")
+    return rows.join(sums, "label").select("label", "n", met)
+
+
 @query
 def w2v_rules(spark, folder):
     """Every document's vector is the mean over its words: sums of word vectors by a join, over the token count."""

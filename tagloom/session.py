@@ -35,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table below the shared folder and read it back: computed once, and no executor's loss costs it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collect_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame | None:
     """Evaluate a derived table once into a local relation; None if it has too many rows or bytes.
 
@@ -63,8 +70,9 @@ def pin_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20)
 
 
 def spread(df: DataFrame, key: str, tasks: int = 8) -> DataFrame:
-    """Cut an input of a single split, such as a small file, into ``tasks`` for CPU-heavy text work.
+    """Cut an input of at most ``tasks`` splits into ``tasks`` for CPU-heavy text work.
 
-    Any other input passes through untouched, whatever the size of the cluster.
+    Splits of a file are ranges of bytes, and all rows of a file with one row group lie in one of them. So few
+    splits bound the bytes that are moved; a larger input passes through untouched, whatever the size of the cluster.
     """
-    return df.repartition(tasks, key) if df.rdd.getNumPartitions() == 1 else df
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() <= tasks else df
