@@ -502,3 +502,29 @@ ORACLES["bow_rules"] = f"""WITH {DOCS}, {_rules('flagged', 'docs')} SELECT * FRO
 
 ORACLES["bow_first_order"] = f"""WITH {DOCS}, {_split('flagged', 'docs', 0.3, 'is_test')}
 SELECT sdg AS label, count(*) AS n, true AS sums_to_rows FROM flagged WHERE NOT is_test GROUP BY sdg"""
+
+
+def _pooled(window: int, stride: int, keys: str) -> str:
+    return f"""WITH {TOKENS}, placed AS (
+  SELECT doc_id, tokens, unnest(range(0, 1 + CAST(ceil(greatest(len(tokens) - {window}, 0) / {stride}.0::DOUBLE) AS BIGINT))) AS span
+  FROM tokens), cut AS (
+  SELECT doc_id, CAST(span AS INTEGER) AS span, CAST(span * {stride} AS INTEGER) AS start,
+         tokens[span * {stride} + 1 : span * {stride} + {window}] AS chunk FROM placed),
+words AS (SELECT token FROM (SELECT unnest(tokens) AS token FROM tokens) GROUP BY token HAVING count(*) >= 3),
+vectors AS (SELECT token, dim, CAST('0x' || substr(md5(token), 2 * dim + 1, 2) AS INTEGER) / 256.0::DOUBLE - 0.5 AS value
+  FROM words, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS dim)),
+each AS (SELECT doc_id, span, unnest(chunk) AS token FROM cut),
+sums AS (SELECT {keys}, dim, sum(value) AS total FROM each JOIN vectors USING (token) GROUP BY {keys}, dim)"""
+
+
+ORACLES["span_pool"] = f"""{_pooled(128, 96, 'doc_id')},
+sizes AS (SELECT doc_id, sum(len(chunk)) AS size FROM cut GROUP BY doc_id)
+SELECT doc_id, dim, total / greatest(size, 1) AS value FROM sizes LEFT JOIN sums USING (doc_id)"""
+
+ORACLES["span_vectors"] = f"""{_pooled(64, 48, 'doc_id, span')}
+SELECT doc_id, span, start, CAST(len(chunk) AS INTEGER) AS size, dim, total / greatest(len(chunk), 1) AS value
+FROM cut LEFT JOIN sums USING (doc_id, span)"""
+
+ORACLES["word_vectors_by_layout"] = f"""WITH {TOKENS}
+SELECT token AS word, count(*) AS n, true AS equal, true AS trained
+FROM (SELECT unnest(tokens) AS token FROM tokens) GROUP BY token HAVING count(*) >= 3"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import labels as lab
 from tagloom.functions import text
-from tagloom.operators import features, filters, language, metrics, model, rows, sparse, split
+from tagloom.operators import features, filters, language, metrics, model, rows, sparse, split, vectors
 from tagloom.plans import prepare, train
 from tagloom.session import scratch_path, spread
 from tagloom.sources import stores, tables, tsv
@@ -695,6 +695,39 @@ def w2v_rules(spark, folder):
     return joined.withColumn("want", want).select("row_id", F.size("got").alias("dims"), near.alias("is_mean"))
 
 
+def _digit_vectors(words: DataFrame) -> DataFrame:
+    """Vectors that SQL can give too: four bytes of each word's digest, as 256ths, so sums are exact."""
+    part = lambda d: F.conv(F.substring(F.md5("word"), 2 * d + 1, 2), 16, 10).cast("double") / 256 - 0.5
+    return words.select("word", F.array(*map(part, range(4))).alias("vector"))
+
+
+@query
+def span_pool(spark, folder):
+    """Document vectors pooled over overlapping spans of the token vectors of all words found three times."""
+    tokens = _tokens(spark, folder)
+    words = _digit_vectors(features.vocabulary(tokens).withColumnRenamed("token", "word"))
+    return vectors.pool_spans(tokens, words, keys=["doc_id"])
+
+
+@query
+def span_vectors(spark, folder):
+    """The same per span."""
+    tokens = _tokens(spark, folder)
+    words = _digit_vectors(features.vocabulary(tokens).withColumnRenamed("token", "word"))
+    return vectors.span_vectors(tokens, words, window=64, stride=48, keys=["doc_id"])
+
+
+@query
+def word_vectors_by_layout(spark, folder):
+    """Skip-gram vectors of all texts, trained from two layouts of the rows: every word has equal vectors in both."""
+    tokens = _tokens(spark, folder)
+    one = vectors.skip_gram(tokens.repartition(3), key="doc_id", rounds=2)
+    two = vectors.skip_gram(tokens.repartition(11, "tokens"), key="doc_id", rounds=2).select("word", F.col("vector").alias("again"))
+    joined = one.join(two, "word", "full")
+    moved = F.exists("vector", lambda v: F.abs(v) > 0)
+    return joined.select("word", "n", (F.col("vector") == F.col("again")).alias("equal"), moved.alias("trained"))
+
+
 @query
 def stored_runs(spark, folder):
     """The five test conditions as stored runs of two seeds, and one count over all of them."""
