@@ -528,3 +528,9 @@ FROM cut LEFT JOIN sums USING (doc_id, span)"""
 ORACLES["word_vectors_by_layout"] = f"""WITH {TOKENS}
 SELECT token AS word, count(*) AS n, true AS equal, true AS trained
 FROM (SELECT unnest(tokens) AS token FROM tokens) GROUP BY token HAVING count(*) >= 3"""
+
+ORACLES["record_scan"] = """SELECT doc_id, nullif(text, '') AS text FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0"""
+
+ORACLES["record_rejects"] = """SELECT CASE WHEN doc_id % 17 = 0 THEN 'number of fields' ELSE 'doc_id is no bigint' END AS cause,
+  CASE WHEN doc_id % 17 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'x' || doc_id || chr(9) || '5" disk' END AS record
+FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0"""

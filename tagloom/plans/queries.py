@@ -12,7 +12,7 @@ from tagloom.functions import text
 from tagloom.operators import features, filters, language, metrics, model, rows, sparse, split, vectors
 from tagloom.plans import prepare, train
 from tagloom.session import scratch_path, spread
-from tagloom.sources import stores, tables, tsv
+from tagloom.sources import records, stores, tables, tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -695,6 +695,30 @@ def w2v_rules(spark, folder):
     return joined.withColumn("want", want).select("row_id", F.size("got").alias("dims"), near.alias("is_mean"))
 
 
+def _marked_file(spark: SparkSession, folder: str) -> str:
+    """The documents as lines of a file: texts in quotes, with their breaks; some lines lack the text, some have a bad number."""
+    path = scratch_path(spark, "marked-lines")
+    n = F.col("doc_id")
+    body = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.when(n % 17 == 0, n.cast("string")).when(n % 19 == 0, F.concat(F.lit("x"), n, F.lit('\t5" disk'))).otherwise(F.concat(n, F.lit("\t"), body))
+    tables.documents(spark, folder).select(line.alias("value")).write.text(path)
+    return path
+
+
+@query
+def record_scan(spark, folder):
+    """Good rows of a file with quoted line breaks, read in parallel."""
+    good, _ = records.read_records(spark, _marked_file(spark, folder), "doc_id bigint, text string", header=False, most_bad=0.5)
+    return good.select("doc_id", "text")
+
+
+@query
+def record_rejects(spark, folder):
+    """The lines of the same file that fit the table's columns in no way, with the cause."""
+    _, bad = records.read_records(spark, _marked_file(spark, folder), "doc_id bigint, text string", header=False, most_bad=0.5)
+    return bad.select("cause", "record")
+
+
 def _digit_vectors(words: DataFrame) -> DataFrame:
     """Vectors that SQL can give too: four bytes of each word's digest, as 256ths, so sums are exact."""
     part = lambda d: F.conv(F.substring(F.md5("word"), 2 * d + 1, 2), 16, 10).cast("double") / 256 - 0.5

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.functions import text
+from tagloom.sources import records
 
 # Texts that a default pandas read takes for missing.
 DEFAULT_NULLS = (
@@ -28,25 +29,27 @@ def read_tsv(
 
     With ``keep_default_na`` the usual marks for a missing value become null; without it every text
     stays as it is, the empty one included. A malformed field raises unless ``mode`` says otherwise.
-    ``multi_line`` reads quoted fields with line breaks, at the price of one task per file; ``write_tsv``
-    keeps files small for it. A line with too few or too many fields raises even where a query needs
+    ``multi_line`` reads quoted fields with line breaks, by as many tasks as the files have splits. Without it a
+    line that ends inside a quoted field raises, in a table of one column, too. A line with too few or too many fields raises even where a query needs
     few of the columns: all fields are parsed.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     as_text = T.StructType([T.StructField(field.name, T.StringType()) for field in wanted])
-    raw = (
-        spark.read.schema(as_text)
-        .option("sep", "\t")
-        .option("header", header)
-        .option("enforceSchema", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("mode", mode)
-        .option("columnPruning", False)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    if multi_line or len(wanted) == 1:
+        raw = _records(spark, path, as_text, header, multi_line, mode)
+    else:
+        raw = (
+            spark.read.schema(as_text)
+            .option("sep", "\t")
+            .option("header", header)
+            .option("enforceSchema", True)
+            .option("escape", '"')
+            .option("mode", mode)
+            .option("columnPruning", False)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     strict = mode.upper() == "FAILFAST"
     columns = []
     for field in wanted:
@@ -59,6 +62,19 @@ def read_tsv(
     return raw.select(*columns)
 
 
+def _records(spark: SparkSession, path: str, as_text: T.StructType, header: bool, multi_line: bool, mode: str) -> DataFrame:
+    """Records of quoted lines, parsed; in a strict mode an open quote raises, and so does a line break where none may be."""
+    found = records.scan_records(spark, path, "\t", header)
+    if mode.upper() == "FAILFAST":
+        wrong = ~F.col("closed") if multi_line else ~F.col("closed") | F.col("record").contains("\n")
+        said = F.concat(F.lit("a quoted field is open at the end of line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))
+        found = found.withColumn("record", F.when(wrong, F.raise_error(said)).otherwise(F.col("record")))
+    options = {"sep": "\t", "escape": '"', "mode": mode, "maxCharsPerColumn": "-1"}
+    options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = ", ".join(f"`{f.name}` string" for f in as_text)
+    return found.select(F.from_csv("record", names, options).alias("row")).select("row.*")
+
+
 def write_tsv(
     df: DataFrame,
     path: str,
