@@ -3,15 +3,16 @@
 1. Every text becomes its set of hashed word shingles; equal sets become one node.
 2. Similar nodes are put into groups: nodes that share a minimum hash are compared with each other,
    block by block, and their verified links form provisional components, cut into groups of bounded size.
-3. The matrix tells which token occurs in which group. Tokens stand in one fixed order, tokens known
-   to be frequent last, and only the first ``n - ceil(t * n) + 1`` of a set are entered: two sets that
-   reach the threshold ``t`` share one of them, so no link is missed. A node is a candidate for a
-   group of another component if they share such a token.
+3. The matrix tells which token occurs in which component. Tokens stand in one fixed order, tokens known
+   to be frequent last. Of a set of ``n``, the first ``n - ceil(t * n) + l`` are entered: two sets that reach the
+   threshold ``t`` share at least ``l`` of them. A token that stands in one component only can meet nothing, so a node
+   with fewer than ``l`` others is done with. Of the rest, the tokens that fewest nodes have are asked for, as many as
+   must hold one of any ``l``: a node is a candidate for a component that has one of these.
 4. A group is opened for a node only if the node's overlap with the union of the group's tokens can
    reach the threshold; then the node is compared with the members, token by token.
 
 Nodes that are connected already need no further comparison, so a large group of near copies costs
-comparisons in proportion to its size, not to its square.
+comparisons in proportion to its size, not to its square. Of two components the smaller asks the larger.
 """
 
 from __future__ import annotations
@@ -286,10 +287,16 @@ def _first_links(docs, nodes, text, width, rounds, percent) -> DataFrame:
     return parts.groupBy("part").applyInPandas(compare, "a bigint, b bigint")
 
 
+def _shared_least(n: int, percent: int) -> int:
+    """``l``: how many of the entered tokens sets of ``n`` and more have to share."""
+    return max(1, (100 - percent) * n // 100)
+
+
 def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
-    """``(f1, f2, prefix, mins)``: the first tokens of every set, known frequent tokens last, and minimum hashes.
+    """``(f1, f2, prefix, asked, mins)``: the entered tokens of every set, known frequent tokens last, and minimum hashes.
 
-    The minimum hashes are taken of the tokens that are not frequent, where a set has any.
+    Any ``asked`` of the tokens hold one that a linked set enters, too. The minimum hashes are taken of the tokens
+    that are not frequent, where a set has any.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common.tobytes())
 
@@ -299,11 +306,12 @@ def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
         values = ranked[by_value]
         shingles = _Shingles(width)
         for batch in chunks(batches, "text", STRETCH):
-            rows: dict[tuple[int, int], tuple[bytes, list[int]]] = {}
+            rows: dict[tuple[int, int], tuple] = {}
             for tokens in shingles(batch.column("text")):
                 if not len(tokens):
                     continue
-                size = len(tokens) + (-percent * len(tokens) // 100) + 1
+                n, least = len(tokens), -(-percent * len(tokens) // 100)  # the least size of a partner is the least overlap
+                size = min(n, n - least + _shared_least(n, percent))
                 rare = tokens
                 if len(values):
                     at = np.searchsorted(values, tokens)
@@ -314,116 +322,65 @@ def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
                 if len(head) < size:
                     head = np.concatenate((head, ranked[np.sort(by_value[at[frequent]])][: size - len(head)]))
                 of = rare if len(rare) else tokens
-                rows[_identity(tokens)] = head.tobytes(), [int(_signed((of * m).min())) for m in MIX[:rounds]]
+                asked = size - _shared_least(least, percent) + 1
+                rows[_identity(tokens)] = _signed(head), asked, [int(_signed((of * m).min())) for m in MIX[:rounds]]
             if rows:
+                lists = [p for p, *_ in rows.values()]
+                edges = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f for f, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.int64()),
-                        pa.array([p for p, _ in rows.values()], pa.binary()), pa.array([m for _, m in rows.values()], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(lists))),
+                        pa.array([a for _, a, _ in rows.values()], pa.int32()), pa.array([m for *_, m in rows.values()], pa.list_(pa.int64())),
                     ],
-                    names=["f1", "f2", "prefix", "mins"],
+                    names=["f1", "f2", "prefix", "asked", "mins"],
                 )
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "f1 bigint, f2 bigint, prefix binary, mins array<bigint>")
-    return found.groupBy("f1", "f2").agg(F.first("prefix").alias("prefix"), F.first("mins").alias("mins"))
-
-
-ENTRY = {"token": "<u8", "node": "<i8", "beyond": "<i8", "size": "<i4", "n": "<i4", "at": "<i4"}  # component = node ^ beyond
-
-
-def _matrix(marked: DataFrame, bits: int) -> DataFrame:
-    """Entries of the matrix by token range. A large component enters a token once per task and set size."""
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        seen: set[tuple[int, int, int]] = set()
-
-        def flush():
-            tokens = np.concatenate([h[0] for h in held])
-            each = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-            columns = {"token": tokens, "at": np.concatenate([h[1] for h in held])}
-            for i, name in enumerate(("node", "beyond", "size", "n"), 2):
-                columns[name] = np.array([h[i] for h in held])[each]
-            held.clear()
-            ranges = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-            order = np.argsort(ranges, kind="stable")
-            ranges = ranges[order]
-            edges = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist() + [len(ranges)]
-            parts = [pa.array([int(ranges[b]) for b in edges[:-1]], pa.int32())]
-            for name, kind in ENTRY.items():
-                column = columns[name][order].astype(kind)
-                parts.append(pa.array([column[b:e].tobytes() for b, e in zip(edges[:-1], edges[1:])], pa.binary()))
-            return pa.RecordBatch.from_arrays(parts, names=["range", *ENTRY])
-
-        count = 0
-        for batch in batches:
-            for node, component, size, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "size", "n", "prefix"))):
-                tokens = np.frombuffer(prefix, np.uint64)
-                places = np.arange(len(tokens), dtype=np.int32)
-                if size > MEMBERS:
-                    new = [i for i, t in enumerate(tokens.tolist()) if (t, component, n) not in seen]
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.update((t, component, n) for t in tokens[new].tolist())
-                    tokens, places = tokens[new], np.zeros(len(new), np.int32)  # place 0 excludes nothing
-                if len(tokens):
-                    held.append((tokens, places, node, node ^ component, size, n))
-                    count += len(tokens)
-                if count > 200_000:
-                    yield flush()
-                    count = 0
-        if held:
-            yield flush()
-
-    schema = "range int, " + ", ".join(f"{name} binary" for name in ENTRY)
-    return marked.select("node", "component", "size", "n", "prefix").mapInArrow(enter, schema)
+    schema = "f1 bigint, f2 bigint, prefix array<bigint>, asked int, mins array<bigint>"
+    found = docs.select(F.col(text).alias("text")).mapInArrow(read, schema)
+    return found.groupBy("f1", "f2").agg(*[F.first(c).alias(c) for c in ("prefix", "asked", "mins")])
 
 
-def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``(node, owner, component)``: a node of component ``owner`` and a component that may hold a partner.
+def _candidates(marked: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``(node, component)``: a node and a component that may hold a partner.
 
-    The node is null where all nodes of a large ``owner`` may have partners.
+    ``marked`` has ``node, component, size, n, prefix, asked``. Rows grow with the entered tokens; only tokens asked for by
+    nodes whose entries are shared almost throughout are joined to components.
     """
-
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        column = {name: np.concatenate([np.frombuffer(e, kind) for e in frame[name]]) for name, kind in ENTRY.items()}
-        order = np.argsort(column["token"], kind="stable")
-        token = column["token"][order]
-        edges = np.concatenate((np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), [len(token)]))
-        found: set[tuple] = set()
-        for place in np.flatnonzero(np.diff(edges) > 1).tolist():
-            rows = order[edges[place] : edges[place + 1]]
-            component = column["node"][rows] ^ column["beyond"][rows]
-            if (component == component[0]).all():
-                continue
-            rows = rows[np.argsort(column["n"][rows], kind="stable")]
-            node, size = column["node"][rows], column["size"][rows].astype(np.int64)
-            component = node ^ column["beyond"][rows]
-            n, at = column["n"][rows].astype(np.int64), column["at"][rows].astype(np.int64)
-            uppers = np.searchsorted(n, n * 100 // percent, side="right").tolist()
-            for i in range(len(rows) - 1):
-                if uppers[i] <= i + 1:
-                    continue
-                j = np.arange(i + 1, uppers[i])
-                j = j[component[j] != component[i]]
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                j = j[1 + np.minimum(n[i] - 1 - at[i], n[j] - 1 - at[j]) >= need]
-                for k in j.tolist():
-                    x, y = (i, k) if (size[i], component[i]) < (size[k], component[k]) else (k, i)
-                    found.add((int(node[x]) if size[x] <= MEMBERS else None, int(component[x]), int(component[y])))
-        out = pd.DataFrame(sorted(found, key=repr), columns=["node", "owner", "component"])
-        return out.astype({"node": "Int64", "owner": "int64", "component": "int64"})
-
-    return entries.groupBy("range").applyInPandas(meet, "node bigint, owner bigint, component bigint").distinct()
+    entered = marked.select("node", "component", F.explode("prefix").alias("token"))
+    ends = entered.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times"))
+    shared = stored(ends.filter("low != high").select("token", "times"), "shared-tokens")
+    total = marked.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
+    met = join_by_weight(entered.select("node", "token"), shared, ["token"], "times", max(1, total), how="inner")
+    met = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("met"))  # of one set, at most
+    alone = F.size("prefix") - F.size("met")
+    live = marked.join(met, "node").filter(F.col("asked") > alone)
+    live = live.select("node", "component", "size", "n", F.transform("met", lambda t: t["token"]).alias("tokens"), (F.col("asked") - alone).alias("ask"))
+    live = stored(live, "live-nodes")
+    asking = live.select("node", "component", "size", "n", F.explode(F.slice("tokens", F.lit(1), F.col("ask"))).alias("token"))
+    wanted = asking.groupBy("token").agg(F.count("*").alias("asks"))
+    wanted = stored(wanted, "asked-tokens")
+    there = live.select(F.col("component").alias("target"), "size", "n", F.explode("tokens").alias("token"))
+    # one row per token and component, however many nodes have the token there
+    there = there.groupBy("token", "target").agg(F.first("size").alias("target_size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    there = there.join(wanted, "token")
+    owners = stored(there.drop("asks"), "asked-components")
+    counted = stored(owners.groupBy("token").agg(F.count("*").alias("owners")).join(wanted, "token"), "asked-counts")
+    # A hot token's components are dealt to blocks, and so are none of its asking nodes: each block is asked by all of them.
+    blocks = F.ceil(F.col("owners") / 1000)
+    asking = join_by_weight(asking, counted.select("token", "asks", "owners"), ["token"], "asks", max(1, asking.count()), how="inner")
+    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("asks", "owners")
+    owners = join_by_weight(owners, counted.select("token", "owners"), ["token"], "owners", max(1, owners.count()), how="inner")
+    owners = owners.withColumn("block", F.pmod(F.xxhash64("target"), blocks)).drop("owners")
+    smaller = F.struct("size", "component") < F.struct(F.col("target_size").alias("size"), F.col("target").alias("component"))
+    near = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    pairs = asking.join(owners, ["token", "block"]).filter(smaller & near)
+    return pairs.select("node", F.col("target").alias("component")).distinct()
 
 
 def _open_groups(docs, text, width, percent, nodes, found) -> DataFrame:
     """Edges between candidates and members of the groups that they open."""
-    whole = found.filter("node is null").select("owner", F.col("component").alias("target"))
-    owners = nodes.select("node", F.col("component").alias("owner")).join(whole, "owner")
-    asking = found.filter("node is not null").select("node", "component")
-    asking = asking.unionByName(owners.select("node", F.col("target").alias("component"))).distinct()
-    asking = stored(asking, "group-queries")
+    asking = stored(found, "group-queries")
     sizes = nodes.groupBy("component").agg(F.max("size").alias("size"))
     targets = asking.groupBy("component").agg(F.count("*").alias("queries")).join(sizes, "component")
     targets = stored(targets, "opened-groups")
@@ -464,7 +421,7 @@ def _open_groups(docs, text, width, percent, nodes, found) -> DataFrame:
 
 def join(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 85,
-    rounds: int = 4, max_common: int = 1 << 20, tokens_per_range: int = 1 << 17,
+    rounds: int = 4, max_common: int = 1 << 20,
 ) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id`` and ``origin``, a hash of the text.
 
@@ -492,10 +449,8 @@ def join(
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     labelled = join_by_weight(labelled, sizes, ["component"], "size", max(1, nodes.count())).fillna(1, ["size"])
     labelled = stored(labelled, "labelled-nodes")
-    entered = nodes.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0)).alias("n")).first()["n"]
-    bits = max(0, int(np.ceil(np.log2(max(1, entered / tokens_per_range)))))
-    marked = entries.select("node", "prefix").join(labelled, "node")
-    found = stored(_candidates(_matrix(marked, bits), percent), "candidates")
+    marked = stored(entries.select("node", "prefix", "asked").join(labelled, "node").drop("f1", "f2"), "marked-nodes")
+    found = _candidates(marked, percent)
     more = _open_groups(docs, text, width, percent, labelled, found)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

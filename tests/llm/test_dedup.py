@@ -164,7 +164,7 @@ def test_ngram_join_is_exact_without_its_helpers(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MEMBERS", 4)
     rows = near_copies(random.Random(9))
     same(
-        ngram_join.join(frame(spark, rows), rounds=1, max_common=0, tokens_per_range=500).drop("origin").collect(),
+        ngram_join.join(frame(spark, rows), rounds=1, max_common=0).drop("origin").collect(),
         plain_components(rows),
     )
 
@@ -190,3 +190,32 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {n: c for n, c in label.items() if n != c}
+
+
+def passages(rng, n):
+    """Texts of their own words that share passages of a common stock, and a few near copies."""
+    stock = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(n // 20)]
+    rows = []
+    for k in range(n):
+        parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 160)))]
+        parts += rng.sample(stock, 2)
+        rng.shuffle(parts)
+        rows.append((k, " ".join(parts)))
+    return rows + [(n + k, rows[k][1] + " tail") for k in range(0, n, 50)]
+
+
+def test_candidates_grow_in_proportion(spark, monkeypatch):
+    """Shared passages alone make no candidates, at one size as at five times that."""
+    found = []
+    real = ngram_join._candidates
+
+    def counted(*args):
+        out = real(*args)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    for n in (100, 500):
+        rows = passages(random.Random(n), n)
+        same(ngram_join.join(frame(spark, rows), rounds=0).drop("origin").collect(), plain_components(rows))
+    assert found[0] <= 2 * 2 and found[1] <= 2 * 10
