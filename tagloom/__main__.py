@@ -81,8 +81,19 @@ def train_linear(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def train_ngrams(spark: SparkSession, args: argparse.Namespace) -> None:
-    corpus = spark.read.parquet(args.input).withColumn("is_test", F.col("split") == "test")
-    train.run_ngrams(corpus, args.output, range(1, args.classes + 1), args.name, seed=args.seed)
+    """Dev rows are not trained on; they choose among the sizes. Further corpora, name=path, are tested on."""
+    own, *others = args.input.split(",")
+    corpus = spark.read.parquet(own).withColumns({"is_test": F.col("split") == "test", "is_dev": F.col("split") == "dev"})
+    tested = {name: spark.read.parquet(path).filter("split = 'test'") for name, path in (o.split("=", 1) for o in others)}
+    sizes = [int(n) for n in args.sizes.split(",")]
+    train.run_ngrams(corpus, args.output, range(1, args.classes + 1), args.name, n=sizes, seed=args.seed, dev="is_dev", others=tested)
+
+
+def score(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Predictions of a stored n-gram model (its folder ends in n=..) for rows of row_id, sdg, tokens."""
+    fitted = train.sparse.load(spark, args.model)
+    n = int(args.model.rstrip("/").rpartition("n=")[2])
+    train.score_ngrams(fitted, spark.read.parquet(args.input), n).write.mode("overwrite").parquet(args.output)
 
 
 def cross_corpus(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -107,6 +118,7 @@ STEPS = {
     "label-docs": label_docs,
     "train": train_linear,
     "train-ngrams": train_ngrams,
+    "score": score,
     "cross-corpus": cross_corpus,
     "evaluate": evaluate,
 }
@@ -115,11 +127,13 @@ STEPS = {
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tagloom", description=__doc__)
     parser.add_argument("step", choices=STEPS)
-    parser.add_argument("--input", required=True, help="a path; for merge, merge-split and cross-corpus: name=path,name=path")
+    parser.add_argument("--input", required=True, help="a path; for merge, merge-split and cross-corpus: name=path,name=path; for train-ngrams: path,name=path")
     parser.add_argument("--output", required=True)
     parser.add_argument("--name", default="corpus", help="the data set's name in stored results")
     parser.add_argument("--classes", type=int, default=17)
     parser.add_argument("--seed", type=int, default=13)
+    parser.add_argument("--sizes", default="1", help="train-ngrams: the n to choose from, such as 1,2,3")
+    parser.add_argument("--model", help="score: the folder of a stored n-gram model")
     parser.add_argument("--language-table", help="Parquet table (text, lang) that teaches the language filter")
     args = parser.parse_args(argv)
     STEPS[args.step](SparkSession.builder.appName(f"tagloom-{args.step}").getOrCreate(), args)

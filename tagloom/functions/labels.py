@@ -46,7 +46,13 @@ def argmax_map(probabilities: Column) -> Column:
 def predictions_table(
     docs: DataFrame, probabilities: DataFrame, labels: Sequence[int], key: str = "row_id", label: str = "sdg"
 ) -> DataFrame:
-    """Documents with their best label and its probability, matched by key; null where there is none."""
+    """Documents with their best label and its probability, matched by key; null where there is none.
+
+    A key has one row of probabilities; a repeated one raises. Rows of probabilities without a key belong to no document.
+    Documents that share a key share its prediction.
+    """
     best = argmax_array(F.col("probs"), labels)
-    found = probabilities.select(key, best.alias("_best"))
+    found = probabilities.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first("probs").alias("probs"), F.count("*").alias("_times"))
+    repeated = F.raise_error(F.concat(F.lit(f"{key} has several probabilities: "), F.col(key).cast("string")))
+    found = found.select(key, F.when(F.col("_times") == 1, best).otherwise(repeated).alias("_best"))
     return docs.withColumnRenamed(label, "label").join(found, key, "left").select("*", "_best.*").drop("_best")

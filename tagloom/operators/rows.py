@@ -70,11 +70,15 @@ def number_keys(df: DataFrame, part: str, key: str, out: str) -> DataFrame:
     """Dense numbers from 0 in (part, key) order, for a key that is unique and not null in each part.
 
     Only the narrow keys are sorted, in ranges cut at sampled quantiles, so outlying or hashed keys
-    crowd no range. The numbers come back to the rows by the key; a null key raises.
+    crowd no range. The numbers come back to the rows by the key; a null or repeated key raises.
     """
     known = F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(F.lit(f"null in {key}")))
     keys = df.select(part, known.alias(key))
-    return df.join(dense_index(keys, F.asc(part), F.asc(key), out=out), [part, key])
+    # counted by the columns of the join, so the same exchange serves both
+    numbers = dense_index(keys, F.asc(part), F.asc(key), out=out).groupBy(part, key).agg(F.min(out).alias(out), F.count("*").alias("_times"))
+    repeated = F.raise_error(F.concat(F.lit(f"{key} is repeated: "), F.col(key).cast("string")))
+    numbers = numbers.select(part, key, F.when(F.col("_times") == 1, F.col(out)).otherwise(repeated).alias(out))
+    return df.join(numbers, [part, key])
 
 
 def dense_index(df: DataFrame, *order: Column, out: str = "index") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators import features, filters, metrics, model
+from tagloom.operators import features, filters, metrics, model, sparse
 from tagloom.sources import stores
 
 
@@ -83,12 +83,59 @@ def run_cross_corpus(
     return store_report([own, other], root, labels, f"{name}-{train_set}-{test_set}-{seed}")
 
 
+def fit_best_ngrams(
+    corpus: DataFrame, labels: Sequence[int], sizes: Sequence[int] = (1, 2, 3), dev: str | None = None, max_iter: int = 100, num_features: int = 1 << 18
+) -> tuple[int, sparse.SparseModel]:
+    """Fit the bag-of-n-grams classifier for each n; the n and model whose macro F1 on the dev rows is best, of ties the smaller n.
+
+    Test rows (``is_test``) and rows flagged ``dev`` are never trained on. Without dev rows only one n may be given.
+    """
+    if dev is None and len(sizes) > 1:
+        raise ValueError("dev rows choose among several sizes; name their column")
+    held = F.col("is_test") if dev is None else F.col("is_test") | F.col(dev)
+    rows = corpus.select("row_id", "sdg", "tokens", held.alias("held"), (F.lit(False) if dev is None else F.col(dev)).alias("dev"))
+    best = None
+    for n in sorted(sizes):
+        fitted, hashed = model.fit_ngrams(rows, n, flag="held", keep=("row_id", "dev"), num_features=num_features, max_iter=max_iter)
+        score = 0.0
+        if len(sizes) > 1:
+            predicted = sparse.predict(fitted, hashed.filter("dev"))
+            score = metrics.averages(predicted, labels).filter("label = 'macro avg'").first()["f1"]
+        if best is None or score > best[0]:
+            best = score, n, fitted
+    return best[1], best[2]
+
+
+def score_ngrams(fitted: sparse.SparseModel, rows: DataFrame, n: int) -> DataFrame:
+    """Predictions of a fitted or loaded n-gram classifier for rows of ``row_id, sdg, tokens``."""
+    return sparse.predict(fitted, rows.select("row_id", "sdg", sparse.hashed_ngrams(F.col("tokens"), n, fitted.features).alias("slots")))
+
+
 def run_ngrams(
-    corpus: DataFrame, root: str, labels: Sequence[int], train_set: str, name: str = "ngrams", n: int = 1, max_iter: int = 100, seed: int = 0
+    corpus: DataFrame,
+    root: str,
+    labels: Sequence[int],
+    train_set: str,
+    name: str = "ngrams",
+    n: int | Sequence[int] = 1,
+    max_iter: int = 100,
+    seed: int = 0,
+    dev: str | None = None,
+    others: Mapping[str, DataFrame] | None = None,
+    num_features: int = 1 << 18,
 ) -> DataFrame:
-    """Train the bag-of-n-grams classifier, store and score its test rows; for a merged corpus also those of each source."""
-    tested = store_predictions(model.bag_of_ngrams(corpus, n=n, max_iter=max_iter), root, name, train_set, train_set, seed)
-    return store_report([tested, *by_source(tested, corpus, root, name, train_set, seed)], root, labels, f"{name}-{train_set}-{seed}")
+    """Train the bag-of-n-grams classifier, store it, and store and score its test rows.
+
+    ``n`` may be several sizes, of which the dev rows choose. A merged corpus is also scored on the test rows of each source, and
+    every corpus on the test rows of ``others``, by name. The model goes below ``root``, to a folder that names its n.
+    """
+    size, fitted = fit_best_ngrams(corpus, labels, [n] if isinstance(n, int) else n, dev, max_iter, num_features)
+    sparse.save(fitted, f"{root}/models/{name}/{train_set}-{seed}/n={size}")
+    tested = store_predictions(score_ngrams(fitted, corpus.filter("is_test"), size), root, name, train_set, train_set, seed)
+    stored = [tested, *by_source(tested, corpus, root, name, train_set, seed)]
+    for other, rows in (others or {}).items():
+        stored.append(store_predictions(score_ngrams(fitted, rows, size), root, name, train_set, other, seed))
+    return store_report(stored, root, labels, f"{name}-{train_set}-{seed}")
 
 
 def by_source(stored: DataFrame, corpus: DataFrame, root: str, name: str, train_set: str, seed: int = 0) -> list[DataFrame]:
