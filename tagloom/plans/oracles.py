@@ -534,3 +534,7 @@ ORACLES["record_scan"] = """SELECT doc_id, nullif(text, '') AS text FROM documen
 ORACLES["record_rejects"] = """SELECT CASE WHEN doc_id % 17 = 0 THEN 'number of fields' ELSE 'doc_id is no bigint' END AS cause,
   CASE WHEN doc_id % 17 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'x' || doc_id || chr(9) || '5" disk' END AS record
 FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0"""
+
+ORACLES["vocab_floor"] = ORACLES["vocab_min3"]
+
+ORACLES["ngram_floor"] = f"{ORACLES['ngram_counts']} HAVING count(*) >= 2"

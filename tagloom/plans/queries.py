@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import labels as lab
 from tagloom.functions import text
-from tagloom.operators import features, filters, language, metrics, model, rows, sparse, split, vectors
+from tagloom.operators import features, filters, floor, language, metrics, model, rows, sparse, split, vectors
 from tagloom.plans import prepare, train
 from tagloom.session import scratch_path, spread
 from tagloom.sources import records, stores, tables, tsv
@@ -695,6 +695,18 @@ def w2v_rules(spark, folder):
     return joined.withColumn("want", want).select("row_id", F.size("got").alias("dims"), near.alias("is_mean"))
 
 
+@query
+def vocab_floor(spark, folder):
+    """The words found three times; rarer ones are not shuffled."""
+    return floor.floor_counts(_tokens(spark, folder), F.col("tokens"), "token", 3)
+
+
+@query
+def ngram_floor(spark, folder):
+    """Pairs of words found twice."""
+    return floor.floor_counts(_tokens(spark, folder), text.ngrams(F.col("tokens"), 2), "ngram", 2)
+
+
 def _marked_file(spark: SparkSession, folder: str) -> str:
     """The documents as lines of a file: texts in quotes, with their breaks; some lines lack the text, some have a bad number."""
     path = scratch_path(spark, "marked-lines")
