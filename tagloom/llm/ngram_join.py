@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import BLANKS, LOWER, chunks, join_by_weight, most_frequent, portable, stored
@@ -288,18 +288,23 @@ def _first_links(docs, nodes, text, width, rounds, percent) -> DataFrame:
 
 
 def _shared_least(n: int, percent: int) -> int:
-    """``l``: how many of the entered tokens sets of ``n`` and more have to share."""
-    return max(1, (100 - percent) * n // 100)
+    """``l``: how many of the entered tokens sets of ``n`` and more have to share, two thirds of what may differ."""
+    return max(1, (100 - percent) * n // 150)
 
 
 def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
-    """``(f1, f2, prefix, asked, mins)``: the entered tokens of every set, known frequent tokens last, and minimum hashes.
+    """``(f1, f2, rare, common, asked, mins)`` of every text with words; equal sets repeat.
 
-    Any ``asked`` of the tokens hold one that a linked set enters, too. The minimum hashes are taken of the tokens
-    that are not frequent, where a set has any.
+    ``rare`` and then ``common`` are the entered tokens; those known to be frequent are common, the most frequent last. Any
+    ``asked`` of the tokens hold one that a linked set enters, too. The minimum hashes are taken of the
+    tokens that are not frequent, where a set has any.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common.tobytes())
 
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        edges = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(arrays)))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = np.frombuffer(sent.value, np.uint64)  # by rank
         by_value = np.argsort(ranked)
@@ -312,50 +317,51 @@ def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
                     continue
                 n, least = len(tokens), -(-percent * len(tokens) // 100)  # the least size of a partner is the least overlap
                 size = min(n, n - least + _shared_least(n, percent))
-                rare = tokens
+                rare, known = tokens, tokens[:0]
                 if len(values):
                     at = np.searchsorted(values, tokens)
                     at[at == len(values)] = 0
                     frequent = values[at] == tokens
                     rare = tokens[~frequent]
-                head = rare[:size]
-                if len(head) < size:
-                    head = np.concatenate((head, ranked[np.sort(by_value[at[frequent]])][: size - len(head)]))
+                    if len(rare) < size:
+                        known = ranked[np.sort(by_value[at[frequent]])][: size - len(rare)]
                 of = rare if len(rare) else tokens
                 asked = size - _shared_least(least, percent) + 1
-                rows[_identity(tokens)] = _signed(head), asked, [int(_signed((of * m).min())) for m in MIX[:rounds]]
+                rows[_identity(tokens)] = _signed(rare[:size]), _signed(known), asked, [int(_signed((of * m).min())) for m in MIX[:rounds]]
             if rows:
-                lists = [p for p, *_ in rows.values()]
-                edges = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f for f, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(lists))),
-                        pa.array([a for _, a, _ in rows.values()], pa.int32()), pa.array([m for *_, m in rows.values()], pa.list_(pa.int64())),
+                        *(lists([r[i] for r in rows.values()]) for i in (0, 1)),
+                        pa.array([r[2] for r in rows.values()], pa.int32()), pa.array([r[3] for r in rows.values()], pa.list_(pa.int64())),
                     ],
-                    names=["f1", "f2", "prefix", "asked", "mins"],
+                    names=["f1", "f2", "rare", "common", "asked", "mins"],
                 )
 
-    schema = "f1 bigint, f2 bigint, prefix array<bigint>, asked int, mins array<bigint>"
-    found = docs.select(F.col(text).alias("text")).mapInArrow(read, schema)
-    return found.groupBy("f1", "f2").agg(*[F.first(c).alias(c) for c in ("prefix", "asked", "mins")])
+    schema = "f1 bigint, f2 bigint, rare array<bigint>, common array<bigint>, asked int, mins array<bigint>"
+    return docs.select(F.col(text).alias("text")).mapInArrow(read, schema)
 
 
-def _candidates(marked: DataFrame, percent: int) -> DataFrame:
+def _candidates(heads: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct ``(node, component)``: a node and a component that may hold a partner.
 
-    ``marked`` has ``node, component, size, n, prefix, asked``. Rows grow with the entered tokens; only tokens asked for by
-    nodes whose entries are shared almost throughout are joined to components.
+    ``heads`` come from ``_prefixes``, ``nodes`` have ``f1, f2, node, component, size, n``. The rare tokens are shuffled once; none
+    of them is hot, as frequent ones are known and taken for shared. Only tokens asked for by nodes whose entries are shared almost
+    throughout are joined to components.
     """
-    entered = marked.select("node", "component", F.explode("prefix").alias("token"))
-    ends = entered.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times"))
-    shared = stored(ends.filter("low != high").select("token", "times"), "shared-tokens")
-    total = marked.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("n")).first()["n"]
-    met = join_by_weight(entered.select("node", "token"), shared, ["token"], "times", max(1, total), how="inner")
-    met = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("met"))  # of one set, at most
-    alone = F.size("prefix") - F.size("met")
-    live = marked.join(met, "node").filter(F.col("asked") > alone)
-    live = live.select("node", "component", "size", "n", F.transform("met", lambda t: t["token"]).alias("tokens"), (F.col("asked") - alone).alias("ask"))
+    keys = ["f1", "f2"]
+    entered = heads.groupBy(*keys).agg(F.first("rare").alias("rare")).join(nodes.select(*keys, "node", "component"), keys)
+    entered = entered.select("node", "component", F.explode("rare").alias("token"))
+    of_token = Window.partitionBy("token")
+    met = entered.select("node", "token", *[f("component").over(of_token).alias(n) for f, n in ((F.min, "low"), (F.max, "high"), (F.count, "times"))])
+    met = met.filter("low != high").groupBy("node")
+    met = stored(met.agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("met")), "met-tokens")  # of one set, at most
+    facts = heads.groupBy(*keys).agg(F.first("common").alias("common"), F.first(F.size("rare")).alias("rares"), F.first("asked").alias("asked"))
+    live = facts.join(nodes, keys).join(met, "node", "left")
+    found = F.coalesce(F.transform("met", lambda t: t["token"]), F.array().cast("array<bigint>"))
+    alone = F.col("rares") - F.size(found)
+    live = live.filter(F.col("asked") > alone)
+    live = live.select("node", "component", "size", "n", F.concat(found, "common").alias("tokens"), (F.col("asked") - alone).alias("ask"))
     live = stored(live, "live-nodes")
     asking = live.select("node", "component", "size", "n", F.explode(F.slice("tokens", F.lit(1), F.col("ask"))).alias("token"))
     wanted = asking.groupBy("token").agg(F.count("*").alias("asks"))
@@ -439,7 +445,8 @@ def join(
     often = rows.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
     often = most_frequent(stored(often, "frequent-shingles"), "times", max_common).toPandas().sort_values(["times", "token"])
     common = often["token"].to_numpy(np.int64).view(np.uint64)  # the most frequent last
-    entries = stored(_prefixes(docs, text, width, percent, rounds, common).join(nodes, ["f1", "f2"]), "prefix-rows")
+    heads = stored(_prefixes(docs, text, width, percent, rounds, common), "prefix-rows")
+    entries = stored(heads.groupBy("f1", "f2").agg(F.first("mins").alias("mins")).join(nodes, ["f1", "f2"]), "minimum-hashes")
 
     links = _first_links(docs, entries, text, width, rounds, percent).unionByName(shared)
     known = stored(components(links), "first-components")
@@ -449,8 +456,7 @@ def join(
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     labelled = join_by_weight(labelled, sizes, ["component"], "size", max(1, nodes.count())).fillna(1, ["size"])
     labelled = stored(labelled, "labelled-nodes")
-    marked = stored(entries.select("node", "prefix", "asked").join(labelled, "node").drop("f1", "f2"), "marked-nodes")
-    found = _candidates(marked, percent)
+    found = _candidates(heads, labelled, percent)
     more = _open_groups(docs, text, width, percent, labelled, found)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
