@@ -10,7 +10,6 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,16 +247,23 @@ def category_scores(df: DataFrame, labels: Labels, probabilities: str = "probs")
     return per_label.unionByName(micro).unionByName(macro)
 
 
-def label_auc(
-    df: DataFrame, labels: Labels, probabilities: str = "probs", rows_per_bucket: int = 1_000_000
-) -> DataFrame:
+def _order_key(score: Column) -> Column:
+    """A number that grows with the score and spreads scores over their binary digits: an exponent and a fraction."""
+    size = F.abs(score)
+    exponent = F.floor(F.log2(size))
+    place = exponent + 1076 + size / F.pow(F.lit(2.0), exponent) - 1  # the least exponent of a double is -1074
+    place = F.when(score == 0, 0.0).when(size == math.inf, 4096.0).otherwise(place)
+    return F.signum(score) * place
+
+
+def label_auc(df: DataFrame, labels: Labels, probabilities: str = "probs", fineness: int = 4096) -> DataFrame:
     """One-vs-rest area under the ROC curve per label; null when a label has only one side.
 
     The area is the share of (positive, negative) pairs that the score puts in order, ties half. A
     score that is null or not a number ranks below all others.
-    Equal scores are merged first. The merged scores are cut at quantiles, pairs inside a bucket
-    are counted by a window over that bucket alone, and pairs across buckets follow from the
-    bucket totals, so that no task has to sort all rows of a label.
+    Equal scores are merged first. Their order keys are cut into steps of one ``fineness``-th, and each step again: pairs
+    inside a fine step are counted by a window over that step alone, pairs across steps follow from totals, first of the fine
+    steps of a step, then of all steps. So no task sorts all rows of a label, scores are read once, and nothing is sampled.
     """
     names = F.array(*[F.lit(value) for value in labels])
     bottom = F.lit(-math.inf)
@@ -268,32 +274,23 @@ def label_auc(
     merged = scored.groupBy(F.col("_label").alias("label"), "score").agg(
         F.count_if(is_hit).alias("pos"), F.count_if(~is_hit).alias("neg")
     )
-    buckets = 1 + df.count() // rows_per_bucket
-    if buckets > 1:
-        scores = scored.filter(F.col("score") > bottom).select("score")
-        cuts = scores.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-        bounds = [-math.inf, *sorted({0.0, *cuts}), math.inf]
-        bucketed = Bucketizer(splits=bounds, inputCol="score", outputCol="_bucket").transform(merged)
-    else:
-        bucketed = merged.withColumn("_bucket", F.lit(0.0))
-    inside = Window.partitionBy("label", "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    # twice the ordered pairs, so that ties stay whole numbers
-    ordered = F.col("pos").cast("decimal(19,0)") * (2 * F.col("_below") + F.col("neg")).cast("decimal(19,0)")
-    totals = (
-        bucketed.withColumn("_below", below)
-        .groupBy("label", "_bucket")
-        .agg(F.sum(ordered).alias("_pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    earlier = Window.partitionBy("label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
-    across = F.col("pos").cast("decimal(19,0)") * (2 * F.col("_before")).cast("decimal(19,0)")
-    summed = (
-        totals.withColumn("_before", before)
-        .groupBy("label")
-        .agg(F.sum(F.col("_pairs") + across).alias("_pairs"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    )
-    area = F.try_divide(
-        F.col("_pairs").cast("double"), 2.0 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
+    place = _order_key(F.col("score")) * fineness
+    merged = merged.withColumns({"_step": F.floor(place), "_fine": F.floor((place - F.floor(place)) * fineness)})
+    merged = merged.withColumn("_pairs", F.lit(0).cast("decimal(38,0)"))
+    inside = _with_pairs(merged, ["label", "_step", "_fine"], "score", ties=True)
+    fine = _with_pairs(inside, ["label", "_step"], "_fine")
+    steps = _with_pairs(fine, ["label"], "_step")
+    area = F.try_divide(F.col("_pairs").cast("double"), 2.0 * F.col("pos").cast("double") * F.col("neg").cast("double"))
+    return steps.select("label", F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"), area.alias("auc"))
+
+
+def _with_pairs(df: DataFrame, keys: Sequence[str], order: str, ties: bool = False) -> DataFrame:
+    """Rows added up by ``keys``: ``pos``, ``neg``, and twice the ordered pairs inside rows and across them, in order of ``order``."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    below = 2 * F.coalesce(F.sum("neg").over(earlier), F.lit(0))
+    ahead = df.withColumn("_below", below + F.col("neg") if ties else below)
+    # twice the pairs, so that ties stay whole numbers
+    across = F.col("pos").cast("decimal(19,0)") * F.col("_below").cast("decimal(19,0)")
+    return ahead.groupBy(*keys).agg(
+        F.sum(F.col("_pairs") + across).cast("decimal(38,0)").alias("_pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    return summed.select("label", "n_pos", "n_neg", area.alias("auc"))

@@ -28,7 +28,7 @@ def test_auc_ranks_scores_that_are_no_numbers_below_all_others(spark):
     data = [(1, [0.9, 0.1]), (2, [math.nan, 0.4]), (1, [0.2, math.nan]), (2, [0.3, 0.7]), (1, [None, -0.5]), (2, [-1.0, None])]
     df = spark.createDataFrame(data, "label int, probs array<double>")
     want = metrics.label_auc(df, [1, 2]).orderBy("label").collect()
-    assert metrics.label_auc(df, [1, 2], rows_per_bucket=1).orderBy("label").collect() == want
+    assert metrics.label_auc(df, [1, 2], fineness=1).orderBy("label").collect() == want
 
     def area(place):
         known = [(v if (v := p[place]) is not None and v == v else -math.inf, y == place + 1) for y, p in data]

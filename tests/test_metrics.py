@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -97,13 +98,13 @@ def test_auc_is_null_with_one_side(spark):
     assert {r["label"]: r["auc"] for r in metrics.label_auc(df, [1, 2]).collect()} == {1: None, 2: None}
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40, 7])
-def test_auc_equals_pair_counting(spark, rows_per_bucket):
+@pytest.mark.parametrize("fineness", [4096, 3, 1])
+def test_auc_equals_pair_counting(spark, fineness):
     rng = random.Random(9)
-    scores = [0.0, 0.0, 0.0, 1.0, 0.25, 0.5]
+    scores = [0.0, 0.0, 0.0, 1.0, 0.25, 0.5, -0.0, 5e-324, -5e-324, 1e308, -1e308, math.inf, -math.inf, math.nextafter(0.5, 0), math.nextafter(0.5, 1), -0.5]
     data = [(rng.randint(1, 3), [rng.choice(scores) if rng.random() < 0.6 else rng.random() for _ in range(3)]) for _ in range(300)]
     df = spark.createDataFrame(data, "label int, probs array<double>").repartition(4)
-    got = {r["label"]: r["auc"] for r in metrics.label_auc(df, [1, 2, 3], rows_per_bucket=rows_per_bucket).collect()}
+    got = {r["label"]: r["auc"] for r in metrics.label_auc(df, [1, 2, 3], fineness=fineness).collect()}
     for label in (1, 2, 3):
         pos = [p[label - 1] for true, p in data if true == label]
         neg = [p[label - 1] for true, p in data if true != label]
@@ -111,6 +112,15 @@ def test_auc_equals_pair_counting(spark, rows_per_bucket):
         assert got[label] == pytest.approx(pairs / len(pos) / len(neg))
 
 
+def test_order_keys_grow_with_scores(spark):
+    rng = random.Random(4)
+    near = [math.nextafter(2.0**e, side) for e in range(-1074, 1023, 7) for side in (0, math.inf)]
+    scores = sorted({*near, *(-x for x in near), *(rng.random() for _ in range(2000)), *(rng.gauss(0, 10.0 ** rng.randint(-300, 300)) for _ in range(2000)), 0.0})
+    df = spark.createDataFrame([(x,) for x in scores], "x double")
+    keys = [r["key"] for r in df.select("x", metrics._order_key(F.col("x")).alias("key")).orderBy("x").collect()]
+    assert all(a <= b for a, b in zip(keys, keys[1:])) and len(set(keys)) > 0.8 * len(scores)
+
+
 def test_category_scores(spark):
     df = spark.createDataFrame(
         [(1, [0.9, 0.1]), (1, [0.4, 0.6]), (2, [0.3, 0.7])], "label int, probs array<double>"
