@@ -48,7 +48,11 @@ def class_distribution(df: DataFrame, by: str = "sdg", flag: str = "is_test", mo
 
 def confusion_matrix(df: DataFrame, labels: Labels, keys: Sequence[str] = ()) -> DataFrame:
     """Long form ``(keys, prediction, label, n)``, zero-filled; pairs off the list are ignored."""
-    counts = pair_counts(df, keys)
+    return confusion_of_counts(pair_counts(df, keys), labels, keys)
+
+
+def confusion_of_counts(counts: DataFrame, labels: Labels, keys: Sequence[str] = ()) -> DataFrame:
+    """The same from pair counts, such as those stored of each run: ``(keys, label, prediction, n)``, one row or several a pair."""
     zeros = (
         _one_row_per_key(counts, keys)
         .withColumn("label", F.explode(_values(labels)))

@@ -15,14 +15,17 @@ from tagloom.sources import stores
 def store_predictions(
     predictions: DataFrame, root: str, name: str, train_set: str, test_set: str, seed: int = 0
 ) -> DataFrame:
-    """Put one run's predictions into the predictions table, beside those of other runs and seeds.
+    """Put one run's predictions into the predictions table, beside those of other runs and seeds, and their pair counts beside.
 
-    Returns the stored rows, so nothing that follows computes the predictions again.
+    A run that is repeated replaces its own predictions and counts alone. Returns the stored rows, so nothing that follows computes the
+    predictions again.
     """
     keys = dict(zip(stores.REPORT_KEYS, (name, train_set, test_set, str(seed))))
-    path = "/".join([f"{root}/predictions", *[f"{key}={value}" for key, value in keys.items()]])
+    run = "/".join(f"{key}={value}" for key, value in keys.items())
+    path = f"{root}/predictions/{run}"
     predictions.drop(*keys).write.mode("overwrite").parquet(path)
     stored = predictions.sparkSession.read.parquet(path)
+    metrics.pair_counts(stored).coalesce(1).write.mode("overwrite").parquet(f"{root}/counts/{run}")
     return stored.withColumns({key: F.lit(value) for key, value in keys.items()})
 
 
@@ -153,8 +156,19 @@ def by_source(stored: DataFrame, corpus: DataFrame, root: str, name: str, train_
     ]
 
 
+def stored_counts(spark, root: str) -> DataFrame:
+    """``(label, prediction, n)`` and the run's keys, of every stored run. A few rows a run, however many predictions it has."""
+    fields = ["label int", "prediction int", "n bigint", *[f"{key} string" for key in stores.REPORT_KEYS]]
+    return spark.read.schema(", ".join(fields)).parquet(f"{root}/counts")
+
+
 def stored_confusion(spark, root: str, labels: Sequence[int]) -> DataFrame:
-    """The confusion matrix of every stored run, as one job over the predictions table."""
-    fields = ["label int", "prediction int", *[f"{key} string" for key in stores.REPORT_KEYS]]
-    predictions = spark.read.schema(", ".join(fields)).parquet(f"{root}/predictions")
-    return metrics.confusion_matrix(predictions, labels, stores.REPORT_KEYS)
+    """The confusion matrix of every stored run, from the counts alone; no prediction is read again."""
+    return metrics.confusion_of_counts(stored_counts(spark, root), labels, stores.REPORT_KEYS)
+
+
+def merged_confusion(spark, root: str, labels: Sequence[int], over: str = "seed") -> DataFrame:
+    """The same with the counts of all values of one key added up, such as all seeds of a run."""
+    keys = [key for key in stores.REPORT_KEYS if key != over]
+    counts = stored_counts(spark, root).groupBy(*keys, "label", "prediction").agg(F.sum("n").alias("n"))
+    return metrics.confusion_of_counts(counts, labels, keys)

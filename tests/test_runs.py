@@ -62,3 +62,24 @@ def test_repeated_keys_raise(spark):
     assert got == [(1, 1, 2), (1, 2, 2), (2, 1, None), (None, 1, None)]
     with pytest.raises(Exception, match="row_id has several probabilities: 1"):
         labels.predictions_table(docs, probs.union(probs), [1, 2]).collect()
+
+
+def test_counts_of_runs_are_replaced_one_by_one(spark, tmp_path):
+    def run(seed, pairs):
+        df = spark.createDataFrame([(k, y, p) for k, (y, p) in enumerate(pairs)], "row_id long, label int, prediction int")
+        train.store_predictions(df, str(tmp_path), "linear", "a", "a", seed)
+
+    def stored():
+        return {(r["seed"], r["label"], r["prediction"]): r["n"] for r in train.stored_confusion(spark, str(tmp_path), [1, 2]).collect() if r["n"]}
+
+    run(0, [(1, 1), (1, 1), (2, 1), (3, 3)])
+    run(13, [(1, 2)])
+    assert stored() == {("0", 1, 1): 2, ("0", 2, 1): 1, ("13", 1, 2): 1}
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.glob("counts/*/*/*/seed=0/*.parquet")}
+    run(13, [(2, 2), (2, 2)])
+    assert stored() == {("0", 1, 1): 2, ("0", 2, 1): 1, ("13", 2, 2): 2}
+    assert before == {p: p.stat().st_mtime_ns for p in tmp_path.glob("counts/*/*/*/seed=0/*.parquet")} and len(before) == 1
+    merged = {(r["label"], r["prediction"]): r["n"] for r in train.merged_confusion(spark, str(tmp_path), [1, 2]).collect()}
+    assert merged == {(1, 1): 2, (2, 1): 1, (1, 2): 0, (2, 2): 2}
+    files = train.stored_confusion(spark, str(tmp_path), [1, 2]).inputFiles()
+    assert files and all("/counts/" in f for f in files)
