@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom import __main__ as cli
 from tagloom.functions import labels
-from tagloom.operators import rows, sparse
+from tagloom.operators import model, rows, sparse
 from tagloom.plans import train
 from tagloom.sources import stores
 
@@ -83,3 +83,23 @@ def test_counts_of_runs_are_replaced_one_by_one(spark, tmp_path):
     assert merged == {(1, 1): 2, (2, 1): 1, (1, 2): 0, (2, 2): 2}
     files = train.stored_confusion(spark, str(tmp_path), [1, 2]).inputFiles()
     assert files and all("/counts/" in f for f in files)
+
+
+def test_stored_pipeline_scores_raw_rows_in_another_session(spark, tmp_path):
+    rng = random.Random(6)
+    data = [(k, 1 + k % 2, [rng.choice("ab" if k % 2 else "cd") for _ in range(20)], rng.choice(["x", "y", "", None])) for k in range(80)]
+    df = spark.createDataFrame(data, "row_id long, sdg int, tokens array<string>, faculty string")
+    for columns in (["faculty"], []):
+        fitted = model.fit_pipeline(df.filter("row_id < 60"), columns, max_iter=20, partitions=1)
+        path = f"{tmp_path}/p{len(columns)}"
+        model.save_model(fitted, path)
+        raw = df.filter("row_id >= 60").union(spark.createDataFrame([(99, 1, ["c", "new"], "unseen"), (98, 2, [], None)], df.schema))
+        want = {r["row_id"]: (r["prediction"], r["probability"]) for r in model.predict(fitted, raw).collect()}
+        fresh = spark.newSession()
+        again = fresh.createDataFrame(raw.collect(), raw.schema)
+        got = {r["row_id"]: (r["prediction"], r["probability"]) for r in model.predict(model.load_pipeline(path, again), again).collect()}
+        assert got == want and len(got) == 22 and sum(got[k][0] == 1 + k % 2 for k in range(60, 80)) == 20
+        with pytest.raises(ValueError, match="tokens"):
+            model.load_pipeline(path, raw.drop("tokens"))
+    with pytest.raises(ValueError, match="categories"):
+        model.fit_pipeline(df, ["faculty"], max_categories=1)
