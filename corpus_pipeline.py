@@ -23,14 +23,17 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the machine learns from the labelled ones among them."""
+    """Documents that score below one half; the machine learns from the labelled ones among them.
+
+    A null or empty text gets the score of a text without terms. Repeated rows stay or go together.
+    """
     machine = queries.machine(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, machine, out="__score")
     return scored.filter(F.col("__score") < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of equal texts; of rows that repeat with id and text, one as well."""
+    """One document of equal texts; of rows that repeat with id and text, one as well. A null text equals an empty one."""
     judged = stored(exact_dedup.dedup(docs), "judged-copies")
     kept = _without(docs, judged.filter(~F.col("kept")))
     again = judged.filter("kept").groupBy("doc_id", "origin").count().filter("count > 1")
@@ -40,20 +43,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of links, of rows that share it the first.
 
-    Links follow op8's rule. Each row is judged by its own text, also where rows share an id.
+    Links follow op8's rule. Each row is judged by its own text, also where rows share an id. Texts without words link with
+    nothing and stay. A column named like one made here keeps its values.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
+    whole = F.struct(*docs.columns).alias("__doc")
+    rows = stored(docs.select(whole, "doc_id", "text", F.monotonically_increasing_id().alias("__row")), "numbered-documents")
     joined = ngram_join.join(rows, key="__row", width=WIDTH, percent=PERCENT).select(F.col("doc_id").alias("__row"), "component_id")
     joined = stored(joined.join(rows.select("__row", "doc_id"), "__row"), "judged-near-copies")
     first = joined.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
     gone = stored(joined.join(first, "__row", "left_anti").select("__row"), "dropped-rows")
     if gone.count() <= SMALL:
         gone = F.broadcast(gone)
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__row", "left_anti").select("__doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which hit words of benchmark items make less than a twentieth."""
+    """Documents of which hit words of benchmark items make less than a twentieth; a text without words is such a one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__body"))
     judged = decontaminate.judge(decontaminate.scan(packed, benchmark, text="__body", keep=["__row"]))
@@ -61,7 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences. A null or empty text is packed as its end mark alone; repeated rows each for itself."""
     return queries.pieces(docs)
 
 
