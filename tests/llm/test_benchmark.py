@@ -149,3 +149,17 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_columns_with_clashing_names_and_texts_of_any_kind(spark, sf_dir):
+    long = " ".join(f"z{k}" for k in range(60_000))
+    near = " ".join(f"n{k}" for k in range(200))
+    rows = [(1, None, "en", "a", 0, "p", "q", 7), (2, "", "en", "a", 0, "r", "s", 8), (3, long, None, None, None, None, None, None), (4, near, "en", "a", 1, "t", "u", 9), (5, near + " x", "en", "a", 1, "v", "w", 10), (4, near, "en", "a", 1, "t", "u", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string, __doc string, component_id int")
+    kept = {"toxicity": {1, 2, 3, 4, 5}, "exact_dedup": {1, 3, 4, 5}, "ngram_jaccard": {1, 2, 3, 4}, "decontaminate": {1, 2, 3, 4, 5}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        assert out.columns == docs.columns and {r["doc_id"] for r in got} == kept[name], name
+        assert all(tuple(r) in rows for r in got)
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
