@@ -5,8 +5,8 @@
    block by block, and their verified links form provisional components, cut into groups of bounded size.
 3. The matrix tells which token occurs in which component. Tokens stand in one fixed order, tokens known
    to be frequent last. Of a set of ``n``, the first ``n - ceil(t * n) + l`` are entered: two sets that reach the
-   threshold ``t`` share at least ``l`` of them. A token that stands in one component only can meet nothing, so a node
-   with fewer than ``l`` others is done with. Of the rest, the tokens that fewest nodes have are asked for, as many as
+   threshold ``t`` share at least ``l`` of them, and one of the first ``n - ceil(t * n) + 1``. A token that stands in one
+   component only can meet nothing, so a node with fewer than ``l`` others, or none among those first, is done with. Of the rest, the tokens that fewest nodes have are asked for, as many as
    must hold one of any ``l``: a node is a candidate for a component that has one of these.
 4. A group is opened for a node only if the node's overlap with the union of the group's tokens can
    reach the threshold; then the node is compared with the members, token by token.
@@ -293,10 +293,11 @@ def _shared_least(n: int, percent: int) -> int:
 
 
 def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
-    """``(f1, f2, rare, common, asked, mins)`` of every text with words; equal sets repeat.
+    """``(f1, f2, rare, common, asked, edge, mins)`` of every text with words; equal sets repeat.
 
     ``rare`` and then ``common`` are the entered tokens; those known to be frequent are common, the most frequent last. Any
-    ``asked`` of the tokens hold one that a linked set enters, too. The minimum hashes are taken of the
+    ``asked`` of the tokens hold one that a linked set enters, too, and so do the first ``n - ceil(t * n) + 1``, of which ``edge``
+    is the last (null if it is common). The minimum hashes are taken of the
     tokens that are not frequent, where a set has any.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common.tobytes())
@@ -327,18 +328,20 @@ def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
                         known = ranked[np.sort(by_value[at[frequent]])][: size - len(rare)]
                 of = rare if len(rare) else tokens
                 asked = size - _shared_least(least, percent) + 1
-                rows[_identity(tokens)] = _signed(rare[:size]), _signed(known), asked, [int(_signed((of * m).min())) for m in MIX[:rounds]]
+                edge = int(_signed(rare[n - least])) if len(rare) > n - least else None
+                rows[_identity(tokens)] = _signed(rare[:size]), _signed(known), asked, edge, [int(_signed((of * m).min())) for m in MIX[:rounds]]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f for f, _ in rows], pa.int64()), pa.array([f for _, f in rows], pa.int64()),
                         *(lists([r[i] for r in rows.values()]) for i in (0, 1)),
-                        pa.array([r[2] for r in rows.values()], pa.int32()), pa.array([r[3] for r in rows.values()], pa.list_(pa.int64())),
+                        pa.array([r[2] for r in rows.values()], pa.int32()), pa.array([r[3] for r in rows.values()], pa.int64()),
+                        pa.array([r[4] for r in rows.values()], pa.list_(pa.int64())),
                     ],
-                    names=["f1", "f2", "rare", "common", "asked", "mins"],
+                    names=["f1", "f2", "rare", "common", "asked", "edge", "mins"],
                 )
 
-    schema = "f1 bigint, f2 bigint, rare array<bigint>, common array<bigint>, asked int, mins array<bigint>"
+    schema = "f1 bigint, f2 bigint, rare array<bigint>, common array<bigint>, asked int, edge bigint, mins array<bigint>"
     return docs.select(F.col(text).alias("text")).mapInArrow(read, schema)
 
 
@@ -356,11 +359,15 @@ def _candidates(heads: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     met = entered.select("node", "token", *[f("component").over(of_token).alias(n) for f, n in ((F.min, "low"), (F.max, "high"), (F.count, "times"))])
     met = met.filter("low != high").groupBy("node")
     met = stored(met.agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("met")), "met-tokens")  # of one set, at most
-    facts = heads.groupBy(*keys).agg(F.first("common").alias("common"), F.first(F.size("rare")).alias("rares"), F.first("asked").alias("asked"))
+    facts = heads.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("common", "asked")], F.first("edge", ignorenulls=False).alias("edge"), F.first(F.size("rare")).alias("rares")
+    )
     live = facts.join(nodes, keys).join(met, "node", "left")
     found = F.coalesce(F.transform("met", lambda t: t["token"]), F.array().cast("array<bigint>"))
     alone = F.col("rares") - F.size(found)
-    live = live.filter(F.col("asked") > alone)
+    place = lambda token: token.bitwiseXOR(F.lit(NONE))  # noqa: E731  # hashes are ordered as unsigned numbers
+    early = F.col("edge").isNull() | F.exists(found, lambda t: place(t) <= place(F.col("edge")))
+    live = live.filter((F.col("asked") > alone) & early)
     live = live.select("node", "component", "size", "n", F.concat(found, "common").alias("tokens"), (F.col("asked") - alone).alias("ask"))
     live = stored(live, "live-nodes")
     asking = live.select("node", "component", "size", "n", F.explode(F.slice("tokens", F.lit(1), F.col("ask"))).alias("token"))

@@ -95,7 +95,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 # --- pipeline ----------------------------------------------------------------------------------
