@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import licenses, lm, queries, toxicity, url_filter
+from tagloom.llm.common import stored
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -128,7 +129,7 @@ def test_long_word_in_many_rows_is_not_gathered(spark):
     url = "https://example.org/" + "a" * 60
     rows = [(k, f"{url} x{k % 7} " + f"{url} " * (k % 3)) for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("held_out", F.col("doc_id") % 5 == 1)
-    encoded = lm._encode(docs, ["x0", "x1"]).localCheckpoint()
+    encoded = stored(lm._encode(docs, ["x0", "x1"]), "encoded")
     rare, words, times = lm._rare_counts(encoded)
     spread = rare._jdf.queryExecution().toString()
     assert "MapInArrow" not in spread and "BroadcastHashJoin" in spread
