@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import labels
 from tagloom.operators import features, language, metrics, rows
 from tagloom.plans import prepare
-from tagloom.session import collect_small, pin_small
+from tagloom.session import collect_small, pin_small, spread
 from tagloom.sources import tsv
 
 
@@ -124,3 +124,18 @@ def test_small_tables_are_bounded_in_rows_and_bytes(spark):
     assert collect_small(df, max_rows=9) is None and collect_small(df, max_bytes=500) is None
     assert pin_small(df, max_rows=1) is df
     assert rows.head(df, 3, "s").count() == 3
+
+
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
+    """Its splits are several, but one of them holds all rows."""
+    spark.range(4000).selectExpr("id", "repeat(md5(string(id)), 10) AS text").coalesce(1).write.parquet(f"{tmp_path}/one")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (file,) = (tmp_path / "one").glob("*.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(file.stat().st_size // 4 + 1))
+    try:
+        df = spark.read.parquet(f"{tmp_path}/one")
+        sizes = lambda d: [r[0] for r in d.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert df.rdd.getNumPartitions() > 1 and max(sizes(df)) == 4000
+        assert max(sizes(spread(df, "id"))) < 1000 and spread(df, "id", tasks=1) is df
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
