@@ -351,6 +351,12 @@ def _candidates(heads: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     ``heads`` come from ``_prefixes``, ``nodes`` have ``f1, f2, node, component, size, n``. The rare tokens are shuffled once; none
     of them is hot, as frequent ones are known and taken for shared. Only tokens asked for by nodes whose entries are shared almost
     throughout are joined to components.
+
+    A ``whole`` node has entered all its rare tokens. Those of a node that no other component has entered are in no whole node of
+    one; what remains, ``open``, bounds the overlap. All nodes hold their open tokens in one order, by count and hash, common ones
+    last by rank. Of a pair the first shared token decides: none before it is shared, so on either side only the open tokens from
+    there on count, and a pair that fails by this is left to its earlier tokens, if it has any. So texts that share a very common
+    passage meet only where it makes up enough of both.
     """
     keys = ["f1", "f2"]
     entered = heads.groupBy(*keys).agg(F.first("rare").alias("rare")).join(nodes.select(*keys, "node", "component"), keys)
@@ -368,14 +374,21 @@ def _candidates(heads: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     place = lambda token: token.bitwiseXOR(F.lit(NONE))  # noqa: E731  # hashes are ordered as unsigned numbers
     early = F.col("edge").isNull() | F.exists(found, lambda t: place(t) <= place(F.col("edge")))
     live = live.filter((F.col("asked") > alone) & early)
-    live = live.select("node", "component", "size", "n", F.concat(found, "common").alias("tokens"), (F.col("asked") - alone).alias("ask"))
+    live = live.select(
+        "node", "component", "size", "n", F.concat(found, "common").alias("tokens"), (F.col("asked") - alone).alias("ask"),
+        (F.col("n") - alone).alias("open"), (F.size("common") > 0).alias("whole"),
+    )
     live = stored(live, "live-nodes")
-    asking = live.select("node", "component", "size", "n", F.explode(F.slice("tokens", F.lit(1), F.col("ask"))).alias("token"))
+    asking = live.select("node", "component", "size", "n", "open", "whole", F.posexplode(F.slice("tokens", F.lit(1), F.col("ask"))).alias("at", "token"))
+    asking = asking.withColumn("open", F.col("open") - F.col("at")).drop("at")
     wanted = asking.groupBy("token").agg(F.count("*").alias("asks"))
     wanted = stored(wanted, "asked-tokens")
-    there = live.select(F.col("component").alias("target"), "size", "n", F.explode("tokens").alias("token"))
+    there = live.select(F.col("component").alias("target"), "size", "n", "open", "whole", F.posexplode("tokens").alias("at", "token"))
     # one row per token and component, however many nodes have the token there
-    there = there.groupBy("token", "target").agg(F.first("size").alias("target_size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    there = there.groupBy("token", "target").agg(
+        F.first("size").alias("target_size"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(F.col("open") - F.col("at")).alias("target_open"), F.bool_and("whole").alias("target_whole"),
+    )
     there = there.join(wanted, "token")
     owners = stored(there.drop("asks"), "asked-components")
     counted = stored(owners.groupBy("token").agg(F.count("*").alias("owners")).join(wanted, "token"), "asked-counts")
@@ -387,6 +400,9 @@ def _candidates(heads: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     owners = owners.withColumn("block", F.pmod(F.xxhash64("target"), blocks)).drop("owners")
     smaller = F.struct("size", "component") < F.struct(F.col("target_size").alias("size"), F.col("target").alias("component"))
     near = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    # As much as both may share; the partner is no smaller than the smallest there.
+    overlap = F.least(F.when(F.col("target_whole"), F.col("open")).otherwise(F.col("n")), F.when(F.col("whole"), F.col("target_open")).otherwise(F.col("most")))
+    near = near & (overlap * 100 >= (F.col("n") + F.col("least") - overlap) * percent)
     pairs = asking.join(owners, ["token", "block"]).filter(smaller & near)
     return pairs.select("node", F.col("target").alias("component")).distinct()
 
