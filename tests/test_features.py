@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -131,3 +132,26 @@ def test_cross_corpus_and_ngrams(spark, tokens):
     assert counts == {"own": english.filter("is_test").count(), "other": others.count()}
     bow = model.bag_of_ngrams(tokens, n=3, num_features=1 << 10, max_iter=3)
     assert bow.count() == tokens.filter("is_test").count()
+
+
+def test_many_categories_are_fitted_in_blocks(spark, tmp_path, monkeypatch):
+    """Beyond a number of coefficients Spark's regression is not called; predictions are those of the same optimum."""
+    rng = random.Random(6)
+    rows = [(k, rng.randint(1, 3), rng.random() < 0.3, f"a{rng.randint(0, 4)}", rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, sdg int, is_test boolean, author string, x double, y double")
+    df = df.select("row_id", "sdg", "is_test", "author", features.array_to_vector(F.array("x", "y")).alias("v"))
+    encoded = features.encode_categories(df, ["author"])
+    train, test = encoded.filter("not is_test"), encoded.filter("is_test")
+    used = ["v", "author_encoded"]
+    want = {r["row_id"]: r for r in model.predict(model.fit_features(train, used), test).collect()}
+    with monkeypatch.context() as patched:
+        patched.setattr(model, "fit_classifier", None)
+        wide = model.fit_features(train, used, most=10)
+    got = model.predict(wide, test).collect()
+    assert len(got) == len(want) == test.count()
+    for r in got:
+        assert r["label"] == want[r["row_id"]]["label"] and len(r["probability"]) == 4
+        assert r["probability"] == pytest.approx(want[r["row_id"]]["probability"], abs=2e-3)
+    for _ in range(2):
+        model.save_model(wide, f"{tmp_path}/m")
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/m/inputs").collect()) == sorted(used)
