@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.storagelevel import StorageLevel
 from tagloom.functions.text import char_ngrams, collapse_whitespace
 from tagloom.operators.features import each, item_counts
 
+GRAMS = 1 << 21  # n-grams that a task sorts at once
 POINT_BITS = 21  # a Unicode code point fits, and three of them fit a 64-bit integer
 
 
@@ -31,9 +33,40 @@ def _squeezed(text: str) -> Column:
 
 
 def language_profile(df: DataFrame, text: str = "text", lang: str = "lang", n: int = 3) -> DataFrame:
-    """``(lang, gram, n)`` counts of a labelled table, summed inside each task before the shuffle."""
-    grams = each(df.withColumnRenamed(lang, "lang"), char_ngrams(_squeezed(text), n), "gram", ["lang"])
-    return grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    """``(lang, gram, n)`` counts of a labelled table, summed inside each task before the shuffle.
+
+    N-grams that fit an integer are counted by sorting them, some texts at a time; no row per n-gram arises.
+    """
+    if n * POINT_BITS >= 64:
+        grams = each(df.withColumnRenamed(lang, "lang"), char_ngrams(_squeezed(text), n), "gram", ["lang"])
+        return grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    packed, unpacked, at_once = _packer(n), _unpacker(n), GRAMS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+
+        def flush(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                grams, times = np.unique(np.concatenate(parts), return_counts=True)
+                columns = [pa.array([name] * len(grams), kind), pa.array(unpacked(grams), pa.string()), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
+
+        for batch in batches:
+            kind = batch.column("lang").type
+            for name, body in zip(batch.column("lang").to_pylist(), batch.column("body")):
+                if body.is_valid:
+                    grams = packed(body.as_py())
+                    held.setdefault(name, []).append(grams)
+                    size += len(grams)
+                    if size >= at_once:
+                        yield from flush(kind)
+                        held, size = {}, 0
+        if held:
+            yield from flush(kind)
+
+    labelled = df.select(F.col(lang).alias("lang"), _squeezed(text).alias("body"))
+    counted = labelled.mapInArrow(count, f"lang {df.schema[lang].dataType.simpleString()}, gram string, n bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(profile: DataFrame, languages: Sequence[str]) -> DataFrame:
@@ -82,9 +115,9 @@ def _detect_by_join(
     below = [float(total["grams"] + (total[f"n{i}"] or 0)) for i in places]
     logs = [F.log((F.col(f"n{i}") + 1) / below[i]).alias(f"w{i}") for i in places]
     weights = counts.select("gram", sum((F.col(f"n{i}") for i in places), F.lit(0)).alias("seen"), *logs)
-    grams = item_counts(df, char_ngrams(_squeezed(text), n), "gram", [key])
-    # n-grams of over a thousandth of the profile, fewer than a thousand, are broadcast; the rest is never hot
-    hot = F.col("seen") * 1000 > sum((total[f"n{i}"] or 0) for i in places)
+    grams = _text_grams(df, text, key, n)
+    # n-grams of over a 50,000th of the profile, fewer than 50,000, are broadcast; the rest is shuffled, and never hot
+    hot = F.col("seen") * 50_000 > sum((total[f"n{i}"] or 0) for i in places)
     common, rare = F.broadcast(weights.filter(hot)), weights.filter(~hot)
     met = grams.join(common, "gram").unionByName(grams.join(common, "gram", "left_anti").join(rare, "gram"))
     sums = F.array(*[F.sum(F.col("n") * F.col(f"w{i}")) for i in places])
@@ -132,6 +165,46 @@ def _packer(n: int):
     return packed
 
 
+def _unpacker(n: int):
+    """The n-grams of integers that hold their characters."""
+
+    def unpacked(grams: np.ndarray) -> list[str]:
+        points = np.stack([grams >> np.uint64(POINT_BITS * place) & np.uint64((1 << POINT_BITS) - 1) for place in range(n)[::-1]], axis=1)
+        joined = points.astype("<u4").tobytes().decode("utf-32-le")
+        return [joined[begin : begin + n] for begin in range(0, len(joined), n)]
+
+    return unpacked
+
+
+def _text_grams(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
+    """``(key, gram, n)``: how often each n-gram occurs in its own text, by sorting the text's n-grams; nothing is shuffled."""
+    if n * POINT_BITS >= 64:
+        return item_counts(df, char_ngrams(_squeezed(text), n), "gram", [key])
+    packed, unpacked, at_once = _packer(n), _unpacker(n), GRAMS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            grams, times = (np.concatenate(c) for c in zip(*(c for _, *c in held)))
+            names = pa.array([name for name, *_ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(g) for _, g, _ in held])))
+            columns = [names, pa.array(unpacked(grams), pa.string()), pa.array(times, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "gram", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for name, body in zip(batch.column("key"), batch.column("body")):
+                if body.is_valid:
+                    held.append((name.as_py(), *np.unique(packed(body.as_py()), return_counts=True)))
+                    size += len(held[-1][1])
+                    if size * 8 >= at_once:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    rows = df.select(F.col(key).alias("key"), _squeezed(text).alias("body"))
+    return rows.mapInArrow(count, "key string, gram string, n bigint").withColumnRenamed("key", key)
+
+
 def _scorer(df: DataFrame, counts: pd.DataFrame, languages: Sequence[str], n: int):
     """A vectorised function ``text -> language`` over a profile that every task holds."""
     packed = _packer(n)

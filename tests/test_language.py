@@ -1,4 +1,5 @@
 import math
+import re
 import subprocess
 import sys
 from collections import Counter
@@ -94,3 +95,33 @@ def test_tasks_need_no_package():
     script = "import pickle, sys; print(pickle.loads(bytes.fromhex(sys.argv[1]))('abcd').tolist())"
     done = subprocess.run([sys.executable, "-I", "-c", script, sent.hex()], capture_output=True, text=True, cwd="/")
     assert done.stdout.strip() == str(language._packer(3)("abcd").tolist()), done.stderr
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_profile_counts_every_gram(spark, monkeypatch, n):
+    """Null languages, null and short texts, characters beyond 16 bits; counts of several turns of a task add up. No row per n-gram."""
+    monkeypatch.setattr(language, "GRAMS", 20)
+    rows = [*TRAIN, *TRAIN, ("en", None), (None, "no language"), ("de", ""), ("de", "ab"), ("fr", "\U0001f600\U0001f600 \u00c9t\u00e9\u00a0 \t!\x00z")]
+    profile = language.language_profile(spark.createDataFrame(rows, "lang string, text string").repartition(2), n=n)
+    want = Counter()
+    for lang, body in rows:
+        squeezed = re.sub(r"\s+", " ", (body or "").lower())
+        want.update((lang, squeezed[i : i + n]) for i in range(len(squeezed) - n + 1))
+    assert {(r["lang"], r["gram"]): r["n"] for r in profile.collect()} == want
+    assert ("Generate" in profile._jdf.queryExecution().toString()) == (n == 4)
+
+
+@pytest.mark.parametrize("n", [2, 4])
+def test_grams_of_texts(spark, monkeypatch, n):
+    """Counts per text, for texts that share a key, too; short and null texts have none. N-grams are not listed row by row first."""
+    monkeypatch.setattr(language, "GRAMS", 40)
+    rows = [("a", "the the"), ("a", "the the"), ("b", None), ("c", ""), ("d", "x"), (None, "noname"), ("e", "\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600")]
+    got = language._text_grams(spark.createDataFrame(rows, "key string, text string").repartition(2), "text", "key", n)
+    want = Counter()
+    for key, body in rows:
+        want.update((key, (body or "")[i : i + n]) for i in range(len(body or "") - n + 1))
+    summed = Counter()
+    for r in got.collect():
+        summed[r["key"], r["gram"]] += r["n"]
+    assert got.columns == ["key", "gram", "n"] and summed == want
+    assert ("Generate" in got._jdf.queryExecution().toString()) == (n == 4)
