@@ -28,3 +28,15 @@ def test_same_counts_and_fewer_rows(spark, least, slots):
 def test_slots_are_checked(spark):
     with pytest.raises(ValueError):
         floor.floor_counts(spark.createDataFrame([(["a"],)], "t array<string>"), F.col("t"), "w", 2, slots=100)
+
+
+def test_items_are_computed_once_per_pass_and_parts_follow_their_number(spark, monkeypatch):
+    """No filter on the items goes down to the rows; a task adds up at most so many items, without hash tables before the shuffle."""
+    df = spark.createDataFrame([([f"w{i % 7}", f"v{i}"],) for i in range(300)] + [(None,)], "tokens array<string>").repartition(3)
+    monkeypatch.setattr(floor, "PART", 50)
+    found = floor.floor_counts(df, F.transform("tokens", F.upper), "word", 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" in plan and ", 12)" in plan  # 600 items
+    assert plan.index("Exchange hashpartitioning(word") > plan.rindex("HashAggregate")  # the plan begins with the last step
+    assert "Filter (size(" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted((f"W{k}", len(range(k, 300, 7))) for k in range(7))
