@@ -60,8 +60,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which hit words of benchmark items make less than a twentieth; a text without words is such a one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__body"))
-    judged = decontaminate.judge(decontaminate.scan(packed, benchmark, text="__body", keep=["__row"]))
+    packed = docs.select(F.struct(*docs.columns).alias("__row"))
+    judged = decontaminate.judge(decontaminate.scan(packed, benchmark, text="__row.text", keep=["__row"]))
     return judged.filter(~F.col("contaminated")).select("__row.*")
 
 

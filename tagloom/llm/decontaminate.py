@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import ALNUM, blobs, chunks, portable, stored
@@ -96,37 +96,37 @@ def scan(
     one after the other, whose spans are joined row by row, so its size has no limit.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    ranges = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    found = pa.struct([
+        ("n_words", pa.int64()),
+        ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+        ("items", pa.list_(pa.string())),
+    ])
     spark = docs.sparkSession
 
-    def scanned(rows: DataFrame, items: list[tuple[str, bytes]], keep: list[str], fields: str) -> DataFrame:
+    def scanned(rows: DataFrame, items: list[tuple[str, bytes]], text: Column, keep: list[str]) -> DataFrame:
+        """Texts alone travel to Python, once; the kept columns wait where they are."""
         sent = spark.sparkContext.broadcast(items)
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             windows = _Windows(sent.value, width)
-            for batch in chunks(batches, "__text"):
-                found = [windows.find(b) for b in blobs(batch, "__text")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c) for c in keep),
-                        pa.array([n for n, _, _ in found], pa.int64()),
-                        pa.array([[{"begin": b, "end": e} for b, e in spans] for _, spans, _ in found], ranges),
-                        pa.array([sorted(names) for _, _, names in found], pa.list_(pa.string())),
-                    ],
-                    names=[*keep, "n_words", "spans", "items"],
-                )
-
-        schema = f"{fields}, n_words bigint, spans array<struct<begin:int,end:int>>, items array<string>"
-        return rows.mapInArrow(search, schema.lstrip(", "))
-
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+            for batch in texts:
+                rows = []
+                for part in chunks(iter([pa.RecordBatch.from_arrays([batch], names=["text"])]), "text", 1 << 20):
+                    for n, spans, names in map(windows.find, blobs(part)):
+                        rows.append({"n_words": n, "spans": [{"begin": b, "end": e} for b, e in spans], "items": sorted(names)})
+                yield pa.array(rows, found)
+
+        kind = "n_words bigint, spans array<struct<begin:int,end:int>>, items array<string>"
+        scan_text = F.arrow_udf(search, kind).asNondeterministic()  # so that no plan computes it twice
+        return rows.select(*keep, scan_text(text).alias("__found")).select(*keep, "__found.n_words", "__found.spans", "__found.items")
+
     blocks = _blocks(benchmark, item, item_text, block_bytes)
     first, second = next(blocks), next(blocks, None)
     if second is None:
-        return scanned(rows, first, keep, fields)
-    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "decontamination-rows")
-    parts = [stored(scanned(rows, b, ["__row"], "`__row` bigint"), "decontamination-block") for b in chain((first, second), blocks)]
+        return scanned(docs, first, F.col(text), keep)
+    rows = docs.select(*keep, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    rows = stored(rows, "decontamination-rows")
+    parts = [stored(scanned(rows, b, F.col("__text"), ["__row"]), "decontamination-block") for b in chain((first, second), blocks)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

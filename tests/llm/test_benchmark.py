@@ -163,3 +163,17 @@ def test_stages_keep_columns_with_clashing_names_and_texts_of_any_kind(spark, sf
         assert out.columns == docs.columns and {r["doc_id"] for r in got} == kept[name], name
         assert all(tuple(r) in rows for r in got)
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_texts_alone_travel_to_the_scan(spark):
+    """Kept columns stay in the JVM, a text is sent once, and neither a filter nor several columns make a plan scan twice."""
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y")], "doc_id long, text string, more string")
+    benchmark = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    packed = docs.select(F.struct("*").alias("row"))
+    found = decontaminate.judge(decontaminate.scan(packed, benchmark, text="row.text", keep=["row"]))
+    kept = found.filter("not contaminated").select("row.*")
+    for plan in (found, kept):
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+        assert shown.count("ArrowEvalPython") == 1 and "MapInArrow" not in shown
+    assert [tuple(r) for r in kept.collect()] == [(2, None, "y")]
+    assert [(r["row"]["more"], r["n_words"], r["n_hit"], r["items"]) for r in found.orderBy("n_words").collect()] == [("y", 0, 0, []), ("x", 3, 2, ["i"])]
