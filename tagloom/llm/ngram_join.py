@@ -297,8 +297,8 @@ def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
 
     ``rare`` and then ``common`` are the entered tokens; those known to be frequent are common, the most frequent last. Any
     ``asked`` of the tokens hold one that a linked set enters, too, and so do the first ``n - ceil(t * n) + 1``, of which ``edge``
-    is the last (null if it is common). The minimum hashes are taken of the
-    tokens that are not frequent, where a set has any.
+    is the last (null if it is common). The minimum hashes are taken of the rare tokens, but of all tokens where frequent ones
+    had to be entered: in a large group of near copies only the words that differ are rare, and no two sets share these.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common.tobytes())
 
@@ -326,7 +326,7 @@ def _prefixes(docs, text, width, percent, rounds, common) -> DataFrame:
                     rare = tokens[~frequent]
                     if len(rare) < size:
                         known = ranked[np.sort(by_value[at[frequent]])][: size - len(rare)]
-                of = rare if len(rare) else tokens
+                of = tokens if len(known) else rare
                 asked = size - _shared_least(least, percent) + 1
                 edge = int(_signed(rare[n - least])) if len(rare) > n - least else None
                 rows[_identity(tokens)] = _signed(rare[:size]), _signed(known), asked, edge, [int(_signed((of * m).min())) for m in MIX[:rounds]]

@@ -219,3 +219,22 @@ def test_candidates_grow_in_proportion(spark, monkeypatch):
         rows = passages(random.Random(n), n)
         same(ngram_join.join(frame(spark, rows), rounds=0).drop("origin").collect(), plain_components(rows))
     assert found[0] <= 2 * 2 and found[1] <= 2 * 10
+
+
+def test_a_crowd_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Near copies whose shared shingles are all frequent meet by minimum hashes, at one size as at five times that."""
+    found = []
+    real = ngram_join._candidates
+
+    def counted(*args):
+        out = real(*args)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    body = [f"c{k}" for k in range(240)]
+    for n in (60, 300):
+        rng = random.Random(n)
+        rows = [(k, " ".join(edited(rng, body, rng.randint(1, 3)))) for k in range(n)]
+        same(ngram_join.join(frame(spark, rows)).drop("origin").collect(), plain_components(rows))
+    assert found[0] <= 60 and found[1] <= 300
