@@ -32,7 +32,7 @@ from tagloom.llm.components import components
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NONE = -(1 << 63)  # stands for a null id
 MEMBERS = 128  # of a block or group
-STRETCH = 4 << 20  # bytes of text that a task hashes at once; it needs some 15 times as much memory
+STRETCH = 1 << 20  # bytes of text that a task hashes at once; it needs some 15 times as much memory
 
 
 class _Shingles:
@@ -42,7 +42,7 @@ class _Shingles:
     gives every word at once.
     """
 
-    STRETCH = 1 << 20
+    STRETCH = 1 << 17
 
     def __init__(self, width: int):
         self.width = width
@@ -123,6 +123,14 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
+def _repeated(values: np.ndarray, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values found ``often`` times, and how often. Sorts its argument and holds no copy of it."""
+    values.sort()
+    last = len(values) - often + 1
+    found = np.unique(values[:last][values[:last] == values[often - 1 :]]) if last > 0 else values[:0]
+    return found, np.searchsorted(values, found, side="right") - np.searchsorted(values, found)
+
+
 def sets_of(docs: DataFrame, text: str, key: str, width: int, often: int = 3) -> DataFrame:
     """Per row ``doc_id, origin, n, f1, f2``; besides, rows ``token, times`` of shingles found often among some four million."""
 
@@ -134,11 +142,11 @@ def sets_of(docs: DataFrame, text: str, key: str, width: int, often: int = 3) ->
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            held.clear()
-            tokens, times = _signed(tokens[times >= often]), times[times >= often]
+            whole = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
+            held.clear()  # of some four million hashes there is this one copy, sorted in place
+            tokens, times = _repeated(whole, often)
             none = [pa.nulls(len(tokens), pa.int64())] * 5
-            return pa.RecordBatch.from_arrays([*none, pa.array(tokens, pa.int64()), pa.array(times.astype(np.int64), pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([*none, pa.array(_signed(tokens), pa.int64()), pa.array(times, pa.int64())], names=names)
 
         for batch in chunks(batches, "text", STRETCH):
             sets = shingles(batch.column("text"))
