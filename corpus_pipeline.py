@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import decontaminate, exact_dedup, ngram_join, queries, toxicity
-from tagloom.llm.common import stored
+from tagloom.llm.common import small_batches, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 SMALL = 200_000  # rows of two numbers that may be broadcast
 #: Near copies: shingles of so many words, alike by so many percent; op8's values.
@@ -22,6 +27,18 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, same, "left_anti")
 
 
+def _bounded(stage: Stage) -> Stage:
+    """The stage with small batches, as whole rows with their texts go through Python in several of them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_bounded
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the machine learns from the labelled ones among them.
 
@@ -32,6 +49,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col("__score") < 0.5).select(*docs.columns)
 
 
+@_bounded
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of equal texts; of rows that repeat with id and text, one as well. A null text equals an empty one."""
     judged = stored(exact_dedup.dedup(docs), "judged-copies")
@@ -40,6 +58,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
+@_bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of links, of rows that share it the first.
 
@@ -57,6 +76,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(gone, "__row", "left_anti").select("__doc.*")
 
 
+@_bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which hit words of benchmark items make less than a twentieth; a text without words is such a one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -65,6 +85,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.filter(~F.col("contaminated")).select("__row.*")
 
 
+@_bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences. A null or empty text is packed as its end mark alone; repeated rows each for itself."""
     return queries.pieces(docs)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.session import scratch_path
@@ -32,6 +32,15 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on rows go to Python in batches of ``most`` bytes and not of 64 MB, which an executor holds outside its heap, in
+    buffers of twice that, for every running task. A value that the session was given stays. No task reads more into batches than their rows.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b"):
+        spark.conf.set(name, str(most))
+
+
 def blobs(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A batch's texts as UTF-8 bytes; null counts as empty."""
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]

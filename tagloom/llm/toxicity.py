@@ -149,9 +149,12 @@ def _descend(ids, data, width, rounds, shrink, seed) -> Machine:
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row and its score from 0 to 1.
 
-    The whole text counts; a null or empty text gets the score of a text without terms.
+    The whole text counts; a null or empty text gets the score of a text without terms. A text that is kept is sent to Python
+    once, not a second time to be scored.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
+    scoring = text if text in keep else "__text"
+    sent_columns = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(scoring))
     used = np.flatnonzero((machine.linear != 0) | (machine.factors != 0).any(axis=1))  # the others change nothing
     small = machine.ids[used], machine.bias, machine.linear[used], machine.factors[used]
     sent = docs.sparkSession.sparkContext.broadcast(small)
@@ -172,13 +175,13 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
                 found += at
             return found
 
-        for batch in chunks(batches, "__text"):
-            lists = [places(b) for b in blobs(batch, "__text")]
+        for batch in chunks(batches, scoring):
+            lists = [places(b) for b in blobs(batch, scoring)]
             got = pa.array(model.score(*_triples(lists), len(lists)), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), got], names=[*keep, out])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scored, f"{fields}, `{out}` double")
+    return sent_columns.mapInArrow(scored, f"{fields}, `{out}` double")
 
 
 portable(__name__)
