@@ -33,8 +33,8 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """From now on rows go to Python in batches of ``most`` bytes and not of 64 MB, which an executor holds outside its heap, in
-    buffers of twice that, for every running task. A value that the session was given stays. No task reads more into batches than their rows.
+    """From now on rows of this session go to Python in batches of some ``most`` bytes, not of up to 64 MB, which an executor holds
+    outside its heap for every running task. A value that the session was given stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, "67108864b"):
