@@ -155,3 +155,19 @@ def test_many_categories_are_fitted_in_blocks(spark, tmp_path, monkeypatch):
     for _ in range(2):
         model.save_model(wide, f"{tmp_path}/m")
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/m/inputs").collect()) == sorted(used)
+
+
+def test_many_categories_are_not_named_in_schemas(spark, monkeypatch):
+    """Spark's encoder and assembler list a name for each category on the driver; for many categories neither is called."""
+    rows = [(k, k % 3, f"a{k % 40}" if k % 5 else "often", float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, sdg int, author string, x double").withColumn("v", features.array_to_vector(F.array("x", F.lit(0.0))))
+    small = features.encode_categories(df, ["author"])
+    monkeypatch.setattr(features, "OneHotEncoder", None)
+    many = features.encode_categories(df, ["author"], max_categories=3)
+    assert not many.schema["author_encoded"].metadata and many.schema["author_encoded"].dataType == small.schema["author_encoded"].dataType
+    assert sorted(map(str, small.collect())) == sorted(map(str, many.select(small.columns).collect()))
+    monkeypatch.setattr(model, "VectorAssembler", None)
+    found = {r["row_id"]: dict(zip(r["slots"], r["values"])) for r in model.feature_entries(many, ["v", "author_encoded"], ["row_id"]).collect()}
+    for r in small.collect():
+        whole = [*r["v"].toArray(), *r["author_encoded"].toArray()]
+        assert found[r["row_id"]] == {i: x for i, x in enumerate(whole) if x}
