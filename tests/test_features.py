@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -171,3 +172,19 @@ def test_many_categories_are_not_named_in_schemas(spark, monkeypatch):
     for r in small.collect():
         whole = [*r["v"].toArray(), *r["author_encoded"].toArray()]
         assert found[r["row_id"]] == {i: x for i, x in enumerate(whole) if x}
+
+
+def test_a_large_vocabulary_is_not_held_by_the_driver(spark, tokens, monkeypatch):
+    """Beyond a number of words Spark's Word2Vec is not called; words, vector sizes, rows and means are as it would give them."""
+    rows = tokens.select("row_id", "sdg", "is_test", "tokens").unionByName(spark.createDataFrame([(None, 1, True, []), (-1, 1, True, ["unseen"])], "row_id long, sdg int, is_test boolean, tokens array<string>"))
+    few = features.fit_embedding(rows, "tokens", "v", partitions=2)
+    monkeypatch.setattr(features, "Word2Vec", None)
+    many = features.fit_embedding(rows, "tokens", "v", partitions=2, spark_words=10)
+    words = {r["word"]: r["vector"] for r in features.word_vectors(many).collect()}
+    assert words.keys() == {r["word"] for r in features.word_vectors(few).collect()}
+    assert many.getVectors().schema["vector"].dataType == few.getVectors().schema["vector"].dataType
+    found, like = many.transform(rows), few.transform(rows)
+    assert found.columns == like.columns and found.dtypes == like.dtypes and found.count() == rows.count()
+    for r in found.collect():
+        want = np.sum([words.get(t, [0.0] * 10) for t in r["tokens"]], axis=0) / max(1, len(r["tokens"])) if r["tokens"] else np.zeros(10)
+        assert np.abs(r["v"].toArray() - want).max() < 1e-9
